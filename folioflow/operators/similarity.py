@@ -255,11 +255,14 @@ def _block_pairs(
 
     left = blocked(side, "id", "cb", chunk_blocks, "qb", query_blocks)
     right = blocked(asked, "variant", "qb", query_blocks, "cb", chunk_blocks)
+    # fresh names: both sides may stem from one table, and a cogroup mixes up equal columns
+    right = right.select([F.col(c).alias(f"asked_{c}") for c in right.columns])
     columns = out.names
 
     def meet(chunk_rows: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk_rows) or not len(query_part):
             return pd.DataFrame({c: [] for c in columns})
+        query_part.columns = [c.removeprefix("asked_") for c in query_part.columns]
         best = _Best(_query_block(query_part, wanted), carried)
         best.add(
             _ids(chunk_rows["id"]),
@@ -268,7 +271,8 @@ def _block_pairs(
         )
         return pd.DataFrame(best.table())[columns]
 
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, out)
+    pairs = left.groupBy("cb", "qb").cogroup(right.groupBy("asked_cb", "asked_qb"))
+    return pairs.applyInPandas(meet, out)
 
 
 def _merge(partial: DataFrame, most: int) -> DataFrame:

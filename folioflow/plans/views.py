@@ -257,3 +257,308 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q % 4 == 1, F.lit(True)).when(q % 4 == 2, F.lit(False)).alias("lessons_learned"),
         F.when(q % 7 == 5, F.lit(False)).alias("section_type_fallback"),
     )
+
+
+# --- calls, file names, portal links -----------------------------------------------------------
+
+CALL_NAMES = (
+    "HORIZON-CL4-2024-DATA-01-02",
+    "H2020-SU-ICT-2019-FINAL",
+    "HE-Widera-Part",
+    "HORIZON_EUROPE",
+    "horizon-cl7-2023-annex-draft",
+    "HORIZON_CL3-2021",
+    "DIGITAL-2022-AI",
+    "XH2020-glued",
+)
+BULLETS = ("- ", "* ", "1. ")
+
+
+def call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call excerpt per document, its prose taken from the whole document text."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    lines = F.split("text", "\n")
+    bullet = element(BULLETS, doc % 3)
+    marked = F.transform(lines, lambda x, i: F.when(i % 2 == 0, F.concat(bullet, x)).otherwise(x))
+    outcomes = F.when(doc % 4 == 3, F.array_join(lines, "\n\n")).otherwise(
+        F.array_join(marked, "\n")
+    )
+    eol = F.when(doc % 5 == 0, "\r\n").otherwise("\n")
+    raw = F.concat(
+        F.when(doc % 6 == 0, "\ufeff").otherwise(""),
+        F.lit("Programme: Research\nCall: "), element(CALL_NAMES, doc % 8),
+        F.lit("\nTopic: "), (950000 + doc).cast("string"),
+        F.when(doc % 3 != 1, F.concat(F.lit("\n  topic title : Title "), F.col("source"))).otherwise(""),
+        F.lit("\nDestination: Area "), F.col("lang"),
+        F.lit("\n\n\n\nExpected Outcomes:\n"), outcomes,
+        F.when(doc % 7 != 2, F.concat(F.lit("\nScope\n"), F.array_join(lines, "\n \n"))).otherwise(""),
+        F.lit("\nMethodology guidance:\nUse sound   methods.\n"),
+        F.when(doc % 2 == 0, "Impact guidance\n\nShow impact.\n").otherwise(""),
+        F.lit("Type of action: RIA\n"),
+    )
+    return d.select("doc_id", F.replace(raw, F.lit("\n"), eol).alias("text"))
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    doc = F.col("doc_id")
+    name = F.concat(
+        F.when(doc % 3 == 0, "proposal_").otherwise(""),
+        element(CALL_NAMES, doc % 8),
+        F.when(doc % 5 < 2, F.concat(F.lit("_"), (880000 + doc).cast("string"))).otherwise(""),
+        F.when(doc % 4 == 1, "-PartB").when(doc % 4 == 2, "-SEALED-Final").otherwise(""),
+        F.when(doc % 7 == 0, "").when(doc % 7 == 1, ".PDF").otherwise(".pdf"),
+    )
+    return d.select("doc_id", "source", "lang", name.alias("file_name"))
+
+
+def portal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portal links in every accepted and refused form, each with a stored search payload."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    page = F.col("page_id")
+    topic = F.format_string("HORIZON-CL%d-2026-%06d-A", page % 9, page)
+    base = F.lit("https://ec.europa.eu/info/portal/screen/topic-details/")
+    url = (
+        F.when(page % 8 == 0, F.concat(base, topic, F.lit("?keywords=/topic-details/none")))
+        .when(page % 8 == 1, F.concat(base, topic, F.lit("/")))
+        .when(page % 8 == 2, F.concat(base, topic, F.lit(".json#top")))
+        .when(page % 8 == 3, F.concat(F.lit(" HTTP://user@Commission.Europa.EU:443/topic-details/"), topic, F.lit(";v=1 ")))
+        .when(page % 8 == 4, F.col("url"))
+        .when(page % 8 == 5, F.concat(F.lit("https://ec.europa.eu/list?topic="), topic))
+        .when(page % 8 == 6, F.concat(base, F.lit("short")))
+        .otherwise(F.concat(F.lit("ftp://ec.europa.eu/topic-details/"), topic))
+    )
+    other = F.concat(topic, F.lit("-X"))
+    first = F.when(page % 3 == 0, other).otherwise(topic)
+    second = F.when(page % 5 == 0, other).otherwise(topic)
+    title = F.when(page % 7 == 0, '""').otherwise(
+        F.concat(F.lit('["Topic page '), page.cast("string"), F.lit('", "second"]'))
+    )
+
+    def result(ident: Column) -> Column:
+        return F.concat(
+            F.lit('{"metadata": {"identifier": ["'), ident,
+            F.lit('"], "callIdentifier": "CALL-'), ident,
+            F.lit('", "title": '), title, F.lit(', "callTitle": ["Call of '), ident, F.lit('"]}}'),
+        )
+
+    payload = F.concat(F.lit('{"results": ['), result(first), F.lit(", "), result(second), F.lit("]}"))
+    return p.select(
+        "page_id", url.alias("url"), F.when(page % 11 != 0, payload).alias("payload")
+    )
+
+
+# --- duplicates -----------------------------------------------------------------------------------
+
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document presented again: same bytes under a new id, new bytes under the same
+    id, same title and call under a new id, or a new proposal that meets others in the batch."""
+    p = proposals(spark, sf_dir)
+    doc = F.col("doc_id")
+    kind = doc % 4
+    k = F.floor(doc / 4)
+
+    def by_kind(copy: Column, same: Column, alt: Column, new: Column) -> Column:
+        return F.when(kind == 0, copy).when(kind == 1, same).when(kind == 2, alt).otherwise(new)
+
+    ident = F.col("document_id")
+    revised = content_hash(F.concat("content_hash", F.lit(" revised")))
+    fresh = content_hash(F.concat(F.lit("fresh "), F.floor(k / 2).cast("string")))
+    return p.select(
+        doc.alias("position"),
+        by_kind(
+            F.concat(F.lit("copy_"), ident),
+            ident,
+            F.concat(F.lit("alt_"), ident),
+            F.concat(F.lit("new_"), F.floor(k / 3).cast("string")),
+        ).alias("document_id"),
+        by_kind(
+            F.col("content_hash"), revised, F.when(doc % 16 != 2, revised), fresh
+        ).alias("content_hash"),
+        by_kind(
+            F.col("proposal_title"),
+            F.col("proposal_title"),
+            F.when(doc % 12 != 6, F.col("proposal_title")).otherwise("  "),
+            F.concat(F.lit("Fresh proposal "), F.floor(k / 5).cast("string")),
+        ).alias("proposal_title"),
+        by_kind(F.col("call_id"), F.col("call_id"), F.col("call_id"), F.lit("CALL-NEW")).alias(
+            "call_id"
+        ),
+    )
+
+
+# --- drafts ----------------------------------------------------------------------------------------
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as a draft version with citations, some of them flawed."""
+    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    n = ((conv + turn) % 6).cast("int")
+    flaw = conv % 12
+
+    def citation(i: Column) -> Column:
+        key = conv + i
+        return F.struct(
+            F.when((flaw == 1) & (i == 2), 1).when((flaw == 2) & (i == 2), 9).otherwise(i).cast("int").alias("citation_id"),
+            F.when((flaw == 3) & (i == 1), F.lit(None)).otherwise(element(vocab.SOURCE_STATUSES, key % 4)).alias("source_status"),
+            F.when((flaw == 4) & (i == 1), F.lit(" ")).otherwise(element(vocab.PROGRAMMES, key % 5)).alias("programme"),
+            F.when((flaw == 5) & (i == 1), F.lit("")).otherwise(F.concat(F.lit("CALL|"), key.cast("string"))).alias("call_id"),
+            F.when(key % 3 != 0, F.concat(F.lit("Proposal "), key.cast("string"))).alias("proposal_title"),
+            F.when(key % 4 != 1, element(HEADINGS, key % 12)).alias("section_heading"),
+            F.when(key % 5 != 2, (1 + key % 30).cast("int")).alias("page"),
+            F.concat(doc_key(key), F.lit("::0")).alias("chunk_id"),
+            F.when((flaw == 6) & (i == 1), F.lit("  ")).otherwise(F.concat(F.lit("Excerpt "), key.cast("string"))).alias("snippet"),
+        )
+
+    citations = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), citation)).otherwise(
+        F.array().cast(_CITATIONS)
+    )
+    cited = F.when(
+        n > 0,
+        F.concat(
+            F.lit(" Evidence"),
+            F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(" ["), i.cast("string"), F.lit("]"))), ""),
+        ),
+    ).otherwise("")
+    text = F.concat(
+        F.col("text"),
+        cited,
+        F.when(flaw == 7, F.concat(F.lit(" See ["), (conv * 3 + turn).cast("string"), F.lit("] and [012] again [100]."))).otherwise(""),
+        F.when(flaw == 8, "\n## References\nAs said [1].").otherwise(""),
+        F.when(flaw == 9, F.concat(F.lit(" "), F.lit(vocab.NO_EVIDENCE_SENTENCE))).otherwise(""),
+        F.when(flaw == 10, " This sentence references retrieved example [1] as supporting evidence.").otherwise(""),
+        F.when(conv % 5 == 0, " \n").otherwise(""),
+    )
+    return turns.select(
+        F.concat(F.lit("drafts/"), conv.cast("string"), F.lit("/"), turn.cast("string"), F.lit(".json")).alias("draft_path"),
+        conv.alias("draft_id"),
+        F.floor((turn + 1) / 2).cast("int").alias("iteration"),
+        element(vocab.SECTION_TYPES, conv % 11).alias("section_type"),
+        text.alias("text"),
+        citations.alias("citations"),
+        (conv * 7 % 900 + turn).cast("int").alias("elapsed_ms"),
+        (1 + conv % 20).cast("int").alias("top_k"),
+        F.when(conv % 6 == 0, "  ").otherwise(F.col("text")).alias("critique"),
+    )
+
+
+_CITATIONS = (
+    "array<struct<citation_id: int, source_status: string, programme: string, call_id: string, "
+    "proposal_title: string, section_heading: string, page: int, chunk_id: string, snippet: string>>"
+)
+
+
+# --- events -------------------------------------------------------------------------------------------
+
+
+def pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pilot per user with its mode and probe results."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id")
+    return e.select("user_id").distinct().select(
+        user.alias("pilot_id"),
+        F.when(user % 3 == 0, "smoke").otherwise("coordinator").alias("mode"),
+        (user % 17 != 0).alias("smoke_passed"),
+        (user % 13 != 0).alias("audit_passed"),
+        (user % 6 == 0).alias("smoke_blocking"),
+    )
+
+
+def pilot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of each pilot: users with an id divisible by 19 have none."""
+    ps = pilots(spark, sf_dir).select("pilot_id")
+    count = F.when(F.col("pilot_id") % 19 != 0, (1 + F.col("pilot_id") % 3).cast("int")).otherwise(0)
+    return ps.filter(count > 0).select(
+        "pilot_id", F.explode(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).alias("section_pos")
+    ).select(
+        "pilot_id", "section_pos", element(vocab.SECTION_TYPES, F.col("section_pos")).alias("section_type")
+    )
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coordinator rating per event; some are pending, some name a section that is not there."""
+    e = table(spark, sf_dir, "events")
+    event, user = F.col("event_id"), F.col("user_id")
+    return e.select(
+        event.alias("rating_id"),
+        user.alias("pilot_id"),
+        element(vocab.SECTION_TYPES, event % 4).alias("section_type"),
+        F.concat(F.lit("coord_"), (event % 7).cast("string")).alias("coordinator_id"),
+        F.when(event % 10 != 3, (5 - F.when(user % 2 == 0, event % 2).otherwise(event % 4)).cast("int")).alias("rating"),
+        F.when(event % 4 != 2, (event % 90).cast("int")).alias("time_saved_minutes"),
+    )
+
+
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("probe"),
+        F.floor("value").cast("int").alias("elapsed_ms"),
+        (F.col("event_id") % 6).alias("result_count"),
+    )
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines of the four usage types, with every kind of schema violation."""
+    e = F.col("event_id")
+    s = lambda c: c.cast("string")
+    section = element(vocab.SECTION_TYPES, e % 11)
+    flaw = e % 50
+    started = F.concat(
+        F.lit('"event_type": "draft_started", "section_type": "'), section,
+        F.lit('", "top_k_examples": '), s(F.when(flaw == 7, 0).otherwise(1 + e % 20)),
+        F.lit(', "lessons_learned": '), s(e % 2 == 0),
+        F.when(flaw == 11, "").otherwise(', "model": "m1"'),
+        F.lit(', "drafting_profile": null, "topic_context_present": false'),
+    )
+    completed = F.concat(
+        F.lit('"event_type": "draft_completed", "section_type": "'), section,
+        F.lit('", "generation_time_ms": '), F.when(flaw == 13, F.lit('"slow"')).otherwise(s(F.floor("value"))),
+        F.lit(', "citation_count": '), s(F.when(flaw == 17, -1).otherwise(e % 6)),
+        F.lit(', "source_status_mix": {"funded": '), s(e % 6), F.lit('}, "model": "m2", "iteration_count": '), s(1 + e % 5),
+    )
+    export = F.concat(F.lit('"event_type": "export", "kind": "markdown", "byte_count": '), s(F.floor(F.col("value") * 10)))
+    feedback = F.concat(
+        F.lit('"event_type": "'), F.when(flaw == 19, "comment").otherwise("feedback"),
+        F.lit('", "feedback_type": "thumbs_up", "accepted": '), s(e % 3 == 0),
+    )
+    body = F.when(e % 4 == 0, started).when(e % 4 == 1, completed).when(e % 4 == 2, export).otherwise(feedback)
+    line = F.concat(
+        F.lit("{"), body, F.lit(', "timestamp": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"'),
+        F.when(flaw == 0, ', "user_intent": "secret"').when(flaw == 26, ', "snippet": ["x"]').otherwise(""),
+        F.when(flaw == 33, "").otherwise("}"),
+    )
+    return table(spark, sf_dir, "events").select(e.alias("event_id"), line.alias("value"))
+
+
+ALLOWLIST = (
+    (0, "EC.europa.eu", 443, "portal"),
+    (1, "thther.example.org", 443, "mirror"),
+    (2, "thther.example.org", 443, "second entry for the same host"),
+    (3, "therha.example.com", 80, "plain mirror"),
+)
+LOOPBACKS = ("localhost", "127.0.0.1", "[::1]", "::ffff:127.0.0.9", "127.1", "LOCALHOST ", "128.0.0.1", "0:0:0:0:0:0:0:1")
+
+
+def allowlist(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ALLOWLIST), "position int, host string, port int, reason string")
+
+
+def egress_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outbound call per page link, and loopback spellings on every fourth page."""
+    p = table(spark, sf_dir, "pages")
+    page = F.col("page_id")
+    scheme = F.regexp_extract("url", r"\A([a-z]+)://", 1)
+    host = F.regexp_extract("url", r"\A[a-z]+://([^/?#]*)", 1)
+    path = F.regexp_extract("url", r"\A[a-z]+://[^/?#]*(.*)\z", 1)
+    return p.select(
+        "page_id",
+        F.timestamp_seconds(F.lit(1_700_000_000) + page * 61).alias("ts"),
+        F.when(page % 4 == 3, element(LOOPBACKS, F.floor(page / 4) % 8)).otherwise(F.initcap(host)).alias("host"),
+        F.when(scheme == "https", 443).otherwise(80).alias("port"),
+        F.upper(scheme).alias("scheme"),
+        path.alias("path"),
+        F.concat(F.lit("job_"), (page % 3).cast("string")).alias("source"),
+    )
