@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from folioflow import vocab
 from folioflow.functions.text import (
     WS,
-    blank_to_null,
     collapse_whitespace,
     empty_to_null,
     is_blank,
@@ -29,56 +28,71 @@ _LINE_END = "[\\n\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _PARAGRAPH_BREAK = rf"(?U)\n{WS}*\n"
 
 
-def programme_of(text: Column) -> Column:
-    token = F.regexp_extract(
-        text, rf"(?i){_EDGE_BEFORE}({vocab.PROGRAMME_TOKEN}){_EDGE_AFTER}", 1
+def _call_run(text: Column) -> Column:
+    """Run of letters, digits and dashes that starts with the first programme token."""
+    return F.regexp_extract(
+        text,
+        rf"(?i){_EDGE_BEFORE}(?=(?:{vocab.PROGRAMME_TOKEN}){_EDGE_AFTER})[\p{{L}}\p{{N}}_-]+",
+        0,
     )
+
+
+def _programme_of_run(run: Column) -> Column:
+    token = F.regexp_extract(run, rf"(?i)\A(?:{vocab.PROGRAMME_TOKEN}){_EDGE_AFTER}", 0)
     return lookup(F.upper(token), vocab.PROGRAMME_ALIASES)
 
 
+def _call_id_of_run(run: Column) -> Column:
+    cleaned = F.regexp_replace(F.regexp_extract(run, r"\A[^_]*", 0), _STOP_TAIL, "")
+    return F.when(_programme_of_run(run).isNotNull() & cleaned.contains("-"), cleaned)
+
+
+def programme_of(text: Column) -> Column:
+    return let(_call_run(text), _programme_of_run)
+
+
 def call_id_of(text: Column) -> Column:
-    """Run of letters, digits and dashes from the programme token, junk tail removed."""
-    run = F.regexp_extract(
-        text,
-        rf"(?i){_EDGE_BEFORE}(?=(?:{vocab.PROGRAMME_TOKEN}){_EDGE_AFTER})([\p{{L}}\p{{N}}-]+)",
-        1,
-    )
-    cleaned = F.regexp_replace(run, _STOP_TAIL, "")
-    return F.when(programme_of(text).isNotNull() & cleaned.contains("-"), cleaned)
+    """The run from the programme token up to the first other character, junk tail removed;
+    only a dashed run after a known programme is a call id."""
+    return let(_call_run(text), _call_id_of_run)
+
+
+def _topic_digits(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?<!\d)\d{6,7}(?!\d)", 0)
 
 
 def topic_id_of(text: Column) -> Column:
-    return empty_to_null(F.regexp_extract(text, r"(?<!\d)(\d{6,7})(?!\d)", 1))
+    return let(_topic_digits(text), empty_to_null)
+
+
+def _label_value(text: Column, label: str) -> Column:
+    return strip(
+        F.regexp_extract(
+            text, rf"(?imd)^[ \t]*{re.escape(label)}[ \t]*:[ \t]*(.+?)[ \t]*$", 1
+        )
+    )
 
 
 def labelled_line(text: Column, *labels: str) -> Column:
     """Value after ``Label:`` on one line; labels are tried in the given order."""
-    return F.coalesce(
-        *[
-            blank_to_null(
-                strip(
-                    F.regexp_extract(
-                        text,
-                        rf"(?imd)^[ \t]*{re.escape(label)}[ \t]*:[ \t]*(.+?)[ \t]*$",
-                        1,
-                    )
-                )
-            )
-            for label in labels
-        ]
+    return F.coalesce(*[let(_label_value(text, label), empty_to_null) for label in labels])
+
+
+def _block(text: Column, heading: str) -> Column:
+    stops = "|".join(re.escape(t) for t in _TERMINATORS)
+    return strip(
+        F.regexp_extract(
+            text,
+            rf"(?imd)^[ \t]*{re.escape(heading)}[ \t]*:?[ \t]*$((?s:.*?))"
+            rf"(?=^[ \t]*(?:{stops})[ \t]*(?::|$)|\z)",
+            1,
+        )
     )
 
 
 def block_after(text: Column, heading: str) -> Column:
     """Text below a heading line, up to the next known heading line or the end."""
-    stops = "|".join(re.escape(t) for t in _TERMINATORS)
-    block = F.regexp_extract(
-        text,
-        rf"(?imd)^[ \t]*{re.escape(heading)}[ \t]*:?[ \t]*$((?s:.*?))"
-        rf"(?=^[ \t]*(?:{stops})[ \t]*(?::|$)|\z)",
-        1,
-    )
-    return empty_to_null(strip(block))
+    return let(_block(text, heading), empty_to_null)
 
 
 def split_bullets(block: Column) -> Column:
@@ -123,43 +137,58 @@ def collapse_paragraphs(block: Column) -> Column:
     kept = F.filter(
         F.transform(F.split(block, _PARAGRAPH_BREAK), collapse_whitespace), lambda p: p != ""
     )
-    return empty_to_null(F.array_join(kept, "\n\n"))
+    return let(F.array_join(kept, "\n\n"), empty_to_null)
 
 
 def section_guidance(text: Column) -> Column:
     """Map of section type to its guidance block, for the headings that are present."""
     pairs: list[Column] = []
     for heading, section in vocab.GUIDANCE_HEADINGS.items():
-        pairs += [F.lit(section), block_after(text, heading)]
-    return F.map_filter(F.create_map(*pairs), lambda _k, v: v.isNotNull())
+        pairs += [F.lit(section), _block(text, heading)]
+    return F.map_filter(F.create_map(*pairs), lambda _k, v: v != "")
 
 
 def topic_context(text: Column, source_path: Column | None = None) -> Column:
-    """Struct of every field that can be read out of a call text."""
+    """Struct of every field that can be read out of a call text.
 
-    def fields(t: Column) -> Column:
-        topic = topic_id_of(t)
-        title = labelled_line(t, "Topic title", "Topic")
-        numeric = title.rlike(r"\A\d{6,7}\z")
-        path = F.lit(None).cast("string") if source_path is None else source_path
+    Each pattern scans the text once: the raw finds are bound first, and everything derived
+    from them works on the short finds.
+    """
+    path = F.lit(None).cast("string") if source_path is None else source_path
+
+    def finds(t: Column) -> Column:
         return F.struct(
-            programme_of(t).alias("programme"),
-            call_id_of(t).alias("call_id"),
-            topic.alias("topic_id"),
-            F.when(~numeric, title).alias("topic_title"),
-            F.coalesce(
-                split_bullets(block_after(t, "Expected Outcomes")),
-                F.array().cast("array<string>"),
-            ).alias("expected_outcomes"),
-            collapse_paragraphs(block_after(t, "Scope")).alias("scope"),
-            labelled_line(t, "Destination", "Cluster").alias("destination"),
-            section_guidance(t).alias("section_guidance"),
-            t.alias("raw_text"),
+            t.alias("text"),
+            _call_run(t).alias("run"),
+            _topic_digits(t).alias("topic"),
+            _label_value(t, "Topic title").alias("title"),
+            _label_value(t, "Topic").alias("short_title"),
+            _label_value(t, "Destination").alias("destination"),
+            _label_value(t, "Cluster").alias("cluster"),
+            _block(t, "Expected Outcomes").alias("outcomes"),
+            _block(t, "Scope").alias("scope"),
+            section_guidance(t).alias("guidance"),
+        )
+
+    def fields(f: Column) -> Column:
+        title = F.coalesce(empty_to_null(f["title"]), empty_to_null(f["short_title"]))
+        return F.struct(
+            _programme_of_run(f["run"]).alias("programme"),
+            _call_id_of_run(f["run"]).alias("call_id"),
+            empty_to_null(f["topic"]).alias("topic_id"),
+            F.when(~title.rlike(r"\A\d{6,7}\z"), title).alias("topic_title"),
+            split_bullets(f["outcomes"]).alias("expected_outcomes"),
+            collapse_paragraphs(f["scope"]).alias("scope"),
+            F.coalesce(empty_to_null(f["destination"]), empty_to_null(f["cluster"])).alias(
+                "destination"
+            ),
+            f["guidance"].alias("section_guidance"),
+            f["text"].alias("raw_text"),
             F.when(path.isNull(), F.lit("pasted_text")).otherwise("pdf_excerpt").alias("source"),
             path.alias("source_path"),
         )
 
-    return let(normalise_text(text), fields)
+    return let(let(normalise_text(text), finds), fields)
 
 
 def topic_is_empty(context: Column) -> Column:

@@ -92,48 +92,67 @@ def decide_batch(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
 
     Solved in rounds instead of one by one. In each round a document is decided as soon as
     no earlier undecided document shares the key that matters; all copies behind an admitted
-    document fall in the same round, so a hot key does not add rounds. A record that a
-    re-index replaces keeps blocking until the batch is over.
+    document fall in the same round, so a hot key does not add rounds. A round only touches
+    what is still undecided and what the round before admitted. A record that a re-index
+    replaces keeps blocking until the batch is over.
     """
     title_key = F.when(
         ~is_blank(F.col("proposal_title")), F.struct("proposal_title", "call_id")
     )
-    state = _with_matches(incoming, indexed).select(
-        *incoming.columns,
-        "hash_match",
-        F.coalesce("id_match", F.lit(False)).alias("id_match"),
-        "title_match",
-        title_key.alias("title_key"),
-        F.when(F.col("hash_match").isNotNull(), BLOCK_HARD).alias("action"),
-        F.col("hash_match").alias("conflict"),
-    )
-    state = materialise(state)
-    while not state.filter(F.col("action").isNull()).isEmpty():
-        state = materialise(_decide_round(state))
-    return state.select(
+    nobody = F.lit(None).cast("struct<position: bigint, document_id: string>")
+    state = materialise(
+        _with_matches(incoming, indexed).select(
+            *incoming.columns,
+            "hash_match",
+            F.coalesce("id_match", F.lit(False)).alias("id_match"),
+            "title_match",
+            title_key.alias("title_key"),
+            *[nobody.alias(f"{tag}_in") for tag in _BATCH_KEYS],
+            F.when(F.col("hash_match").isNotNull(), BLOCK_HARD).alias("action"),
+            F.col("hash_match").alias("conflict"),
+        )
+    )
+    waiting = F.col("action").isNull()
+    decided = [state.filter(~waiting)]
+    fresh = state.limit(0)
+    while (pending := state.filter(waiting)).count():
+        state = materialise(_decide_round(pending, fresh))
+        fresh = state.filter(F.col("action").isin(NONE, REINDEX))
+        decided.append(state.filter(~waiting))
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out.select(
         *incoming.columns, "action", F.col("conflict").alias("conflicting_document_id")
     )
 
 
-def _decide_round(state: DataFrame) -> DataFrame:
-    pending = F.col("action").isNull()
-    admitted = F.col("action").isin(NONE, REINDEX)
+_BATCH_KEYS = {"h": "content_hash", "i": "document_id", "t": "title_key"}
+
 
-    def firsts(key: str, tag: str) -> DataFrame:
-        return (
-            state.filter(F.col(key).isNotNull() & (pending | admitted))
+def _decide_round(pending: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Pending documents with the decisions that are certain now; ``fresh`` holds what the
+    last round admitted. ``<tag>_in`` is the earliest admitted document per key."""
+    both = pending.unionByName(fresh)
+    x = pending
+    for tag, key in _BATCH_KEYS.items():
+        is_waiting = F.col("action").isNull()
+        firsts = (
+            both.filter(F.col(key).isNotNull())
             .groupBy(key)
             .agg(
-                F.min(F.when(pending, F.col("position"))).alias(f"{tag}_waiting"),
-                F.min(F.when(admitted, F.struct("position", "document_id"))).alias(f"{tag}_in"),
+                F.min(F.when(is_waiting, F.col("position"))).alias(f"{tag}_waiting"),
+                F.min(
+                    F.when(
+                        ~is_waiting,
+                        F.struct(F.col("position").cast("bigint").alias("position"), "document_id"),
+                    )
+                ).alias(f"{tag}_new"),
             )
         )
-
-    x = (
-        state.join(firsts("content_hash", "h"), "content_hash", "left")
-        .join(firsts("document_id", "i"), "document_id", "left")
-        .join(firsts("title_key", "t"), "title_key", "left")
-    )
+        x = x.join(firsts, key, "left").withColumn(
+            f"{tag}_in", F.least(f"{tag}_in", f"{tag}_new")
+        )
     at = F.col("position")
 
     def admitted_before(tag: str) -> Column:
@@ -146,8 +165,7 @@ def _decide_round(state: DataFrame) -> DataFrame:
     title_taken = F.col("title_match").isNotNull() | admitted_before("t")
     undecided = F.lit(None).cast("string")
     decision = (
-        F.when(~pending, F.col("action"))
-        .when(admitted_before("h"), BLOCK_HARD)
+        F.when(admitted_before("h"), BLOCK_HARD)
         .when(~first_waiting("h"), undecided)
         .when(id_known, REINDEX)
         .when(~first_waiting("i"), undecided)
@@ -156,16 +174,12 @@ def _decide_round(state: DataFrame) -> DataFrame:
         .otherwise(NONE)
     )
     conflict = (
-        F.when(~pending, F.col("conflict"))
-        .when(decision == BLOCK_HARD, F.col("h_in.document_id"))
+        F.when(decision == BLOCK_HARD, F.col("h_in.document_id"))
         .when(decision == REINDEX, F.col("document_id"))
         .when(decision == BLOCK_SOFT, F.coalesce("title_match", F.col("t_in.document_id")))
     )
-    return x.withColumns({"next_action": decision, "next_conflict": conflict}).select(
-        *[c for c in state.columns if c not in ("action", "conflict")],
-        F.col("next_action").alias("action"),
-        F.col("next_conflict").alias("conflict"),
-    )
+    kept = [c for c in pending.columns if c not in ("action", "conflict")]
+    return x.select(*kept, decision.alias("action"), conflict.alias("conflict"))
 
 
 def admission(decisions: DataFrame, force: bool = False) -> DataFrame:

@@ -642,17 +642,21 @@ oracle(
 
 # --- duplicates --------------------------------------------------------------------------------------------------------------
 
+def slot(values: tuple) -> str:
+    return f"({list(values)})[1 + doc_id // 4 % 6]"
+
+
 view(
     "incoming",
     ("proposals",),
-    """
+    f"""
 SELECT doc_id AS position,
   CASE doc_id % 4 WHEN 0 THEN 'copy_' || document_id WHEN 1 THEN document_id WHEN 2 THEN 'alt_' || document_id
-       ELSE 'new_' || (doc_id // 4 // 3) END AS document_id,
+       ELSE 'new_' || (doc_id // 24 * 10 + {slot(views.FRESH_IDS)}) END AS document_id,
   CASE doc_id % 4 WHEN 0 THEN content_hash WHEN 1 THEN sha256(content_hash || ' revised')
        WHEN 2 THEN CASE WHEN doc_id % 16 <> 2 THEN sha256(content_hash || ' revised') END
-       ELSE sha256('fresh ' || (doc_id // 4 // 2)) END AS content_hash,
-  CASE doc_id % 4 WHEN 3 THEN 'Fresh proposal ' || (doc_id // 4 // 5)
+       ELSE sha256('fresh ' || (doc_id // 24 * 10 + {slot(views.FRESH_HASHES)})) END AS content_hash,
+  CASE doc_id % 4 WHEN 3 THEN 'Fresh proposal ' || (doc_id // 24 * 10 + {slot(views.FRESH_TITLES)})
        WHEN 2 THEN CASE WHEN doc_id % 12 <> 6 THEN proposal_title ELSE '  ' END ELSE proposal_title END AS proposal_title,
   CASE doc_id % 4 WHEN 3 THEN 'CALL-NEW' ELSE call_id END AS call_id
 FROM proposals""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow import vocab
 from folioflow.functions.ids import content_hash
-from folioflow.functions.text import lookup
+from folioflow.functions.text import let, lookup
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.embedding import hash_embedding
 from folioflow.operators.structure import attach_tables, tables_of
@@ -132,25 +132,31 @@ def raw_tables_of(doc_id: Column, text: Column) -> Column:
     )
 
 
+def section_count(lines: Column) -> Column:
+    return (F.floor((F.size(lines) - 1) / LINES_PER_SECTION) + 1).cast("int")
+
+
 def plain_sections(doc_id: Column, lang: Column, text: Column) -> Column:
     """Four lines per section; odd documents separate lines by a blank line."""
-    lines = F.split(text, "\n")
     gap = F.when(doc_id % 2 == 1, "\n\n").otherwise("\n")
-    last = F.floor((F.size(lines) - 1) / LINES_PER_SECTION).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda p: F.struct(
-            heading_of(doc_id, lang, p).alias("heading"),
-            F.lit(1).alias("level"),
-            F.call_function(
-                "array_join",
-                F.slice(lines, p * LINES_PER_SECTION + 1, F.lit(LINES_PER_SECTION)),
-                gap,
-            ).alias("text"),
-            (p + 1).alias("page_start"),
-            (p + 1).alias("page_end"),
-        ),
-    )
+
+    def cut(lines: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), section_count(lines) - 1),
+            lambda p: F.struct(
+                heading_of(doc_id, lang, p).alias("heading"),
+                F.lit(1).alias("level"),
+                F.call_function(
+                    "array_join",
+                    F.slice(lines, p * LINES_PER_SECTION + 1, F.lit(LINES_PER_SECTION)),
+                    gap,
+                ).alias("text"),
+                (p + 1).alias("page_start"),
+                (p + 1).alias("page_end"),
+            ),
+        )
+
+    return let(F.split(text, "\n"), cut)
 
 
 def parsed_sections() -> Column:
@@ -173,8 +179,6 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout items with every irregularity the section builder has to handle."""
     d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
-    lines = F.split("text", "\n")
-    last = F.floor((F.size(lines) - 1) / LINES_PER_SECTION).cast("int")
 
     def item(kind: str, depth: Column, text: Column, level: Column, prov: Column) -> Column:
         return F.struct(
@@ -194,7 +198,7 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         prov = F.when(p % 4 == 3, nothing).otherwise(F.array(F.lit(0), p + 1))
         return item("section_header", one, F.when(blank, "  ").otherwise(heading), (doc + p) % 9, prov)
 
-    def body(p: Column) -> Column:
+    def body(lines: Column, p: Column) -> Column:
         return F.transform(
             F.slice(lines, p * LINES_PER_SECTION + 1, F.lit(LINES_PER_SECTION)),
             lambda x, j: item(
@@ -206,8 +210,14 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
 
-    items = F.flatten(
-        F.transform(F.sequence(F.lit(0), last), lambda p: F.concat(F.array(header(p)), body(p)))
+    items = let(
+        F.split("text", "\n"),
+        lambda lines: F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), section_count(lines) - 1),
+                lambda p: F.concat(F.array(header(p)), body(lines, p)),
+            )
+        ),
     )
     title = F.when(
         doc % 4 == 0,
@@ -352,27 +362,38 @@ def portal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- duplicates -----------------------------------------------------------------------------------
 
 
+FRESH_HASHES = (0, 0, 1, 2, 3, 3)
+FRESH_IDS = (0, 1, 1, 2, 1, 3)
+FRESH_TITLES = (0, 1, 2, 2, 3, 0)
+
+
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document presented again: same bytes under a new id, new bytes under the same
     id, same title and call under a new id, or a new proposal that meets others in the batch."""
     p = proposals(spark, sf_dir)
     doc = F.col("doc_id")
     kind = doc % 4
-    k = F.floor(doc / 4)
+    k = F.floor(doc / 4).cast("bigint")
 
     def by_kind(copy: Column, same: Column, alt: Column, new: Column) -> Column:
         return F.when(kind == 0, copy).when(kind == 1, same).when(kind == 2, alt).otherwise(new)
 
     ident = F.col("document_id")
     revised = content_hash(F.concat("content_hash", F.lit(" revised")))
-    fresh = content_hash(F.concat(F.lit("fresh "), F.floor(k / 2).cast("string")))
+    block = (F.floor(k / 6) * 10).cast("bigint")
+
+    def shared(slots: tuple) -> Column:
+        """Key of a new proposal: equal slots of a block of six share one key."""
+        return (block + element(slots, k % 6)).cast("string")
+
+    fresh = content_hash(F.concat(F.lit("fresh "), shared(FRESH_HASHES)))
     return p.select(
         doc.alias("position"),
         by_kind(
             F.concat(F.lit("copy_"), ident),
             ident,
             F.concat(F.lit("alt_"), ident),
-            F.concat(F.lit("new_"), F.floor(k / 3).cast("string")),
+            F.concat(F.lit("new_"), shared(FRESH_IDS)),
         ).alias("document_id"),
         by_kind(
             F.col("content_hash"), revised, F.when(doc % 16 != 2, revised), fresh
@@ -381,7 +402,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("proposal_title"),
             F.col("proposal_title"),
             F.when(doc % 12 != 6, F.col("proposal_title")).otherwise("  "),
-            F.concat(F.lit("Fresh proposal "), F.floor(k / 5).cast("string")),
+            F.concat(F.lit("Fresh proposal "), shared(FRESH_TITLES)),
         ).alias("proposal_title"),
         by_kind(F.col("call_id"), F.col("call_id"), F.col("call_id"), F.lit("CALL-NEW")).alias(
             "call_id"
