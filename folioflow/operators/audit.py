@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import vocab
+from folioflow.functions.rows import unnest
 from folioflow.functions.text import citation_markers, is_blank, let, lookup
 from folioflow.operators.citations import citation_ids
 from folioflow.operators.rendering import render
@@ -99,7 +100,7 @@ def id_findings(citations: Column) -> Column:
                 ),
             ),
         )
-        ordered = F.array_sort(xs)
+        ordered = F.sort_array(xs)
         gap = (F.size(xs) > 0) & (ordered != F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1))))
         listing = F.array_join(F.transform(ordered, lambda i: i.cast("string")), ", ")
         return F.concat(
@@ -242,7 +243,8 @@ def audit_drafts(drafts: DataFrame, rendered: bool = True) -> DataFrame:
 
 
 def finding_rows(audited: DataFrame) -> DataFrame:
-    return audited.select("draft_path", F.explode("findings").alias("f")).select(
+    rows = unnest(audited, F.col("findings"), "draft_path", item="f")
+    return rows.select(
         "draft_path", "f.severity", "f.code", "f.citation_id"
     )
 
@@ -250,7 +252,8 @@ def finding_rows(audited: DataFrame) -> DataFrame:
 def error_issues(audited: DataFrame) -> DataFrame:
     """Release-blocking findings only, one row each."""
     errors = F.filter("findings", lambda f: f["severity"] == ERROR)
-    return audited.select("draft_path", "section_type", F.explode(errors).alias("f")).select(
+    rows = unnest(audited, errors, "draft_path", "section_type", item="f")
+    return rows.select(
         "draft_path", "section_type", "f.code", "f.citation_id", "f.message"
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow import vocab
 from folioflow.functions.ids import chunk_id
+from folioflow.functions.rows import unnest
 from folioflow.functions.text import infer_section_type, is_blank, let
 from folioflow.operators.structure import table_text
 
@@ -185,7 +186,7 @@ def chunk_documents(parsed: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> Data
         ),
         lambda p: ~is_blank(p["text"]),
     )
-    exploded = parsed.select(*carried, F.posexplode(pieces).alias("chunk_index", "piece"))
+    exploded = unnest(parsed, pieces, *carried, pos="chunk_index", item="piece")
     flat = exploded.select(*carried, "chunk_index", "piece.*")
     return flat.select(
         chunk_id(F.col("document_id"), F.col("heading"), F.col("chunk_index")).alias("chunk_id"),

@@ -42,7 +42,7 @@ def citation_lists(rows: DataFrame) -> DataFrame:
     """(query_id, citations) with citations in rank order; a list holds at most ``top_k``."""
     fields = [c for c in rows.columns if c != "query_id"]
     return rows.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("citations")
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("citations")
     )
 
 
@@ -74,7 +74,7 @@ def citation_ids(citations: Column) -> Column:
 def marker_check(drafts: DataFrame) -> DataFrame:
     """Bounded ``[N]`` markers that name no citation; a draft without markers only warns."""
     markers = citation_markers(F.col("text"), max_digits=2)
-    invalid = F.array_sort(
+    invalid = F.sort_array(
         F.transform(
             F.array_except(markers, citation_ids(F.col("citations"))), lambda m: m.cast("int")
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.rows import unnest
+
 DEFAULT_SEED = 42
 
 
@@ -35,9 +37,8 @@ def draft_results(audited: DataFrame) -> DataFrame:
 
 def citation_audit_rows(audited: DataFrame) -> DataFrame:
     """Every citation with its source; an unlabelled one is listed as ``unknown``."""
-    return audited.select(
-        "draft_path", "section_type", F.explode("citations").alias("c")
-    ).select(
+    rows = unnest(audited, F.col("citations"), "draft_path", "section_type", item="c")
+    return rows.select(
         "draft_path",
         "section_type",
         "c.citation_id",

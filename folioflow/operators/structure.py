@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.rows import unnest
 from folioflow.functions.text import empty_to_null, let, strip
 
 ITEM = "struct<kind: string, depth: int, text: string, level: int, prov: array<int>>"
@@ -133,7 +134,7 @@ def table_grid(table: Column) -> Column:
             lambda r: F.transform(F.slice(cells, r * cols + 1, cols), lambda c: c["text"]),
         )
 
-    return let(let(F.array_sort(F.concat(blank, written)), last_writes), cut)
+    return let(let(F.sort_array(F.concat(blank, written)), last_writes), cut)
 
 
 def tables_of(raw_tables: Column) -> Column:
@@ -221,9 +222,8 @@ def parse_structure(layout: DataFrame) -> DataFrame:
 
 def explode_sections(parsed: DataFrame) -> DataFrame:
     """One row per section with its 0-based position."""
-    return parsed.select(
-        "document_id", F.posexplode("sections").alias("section_pos", "section")
-    ).select("document_id", "section_pos", "section.*")
+    rows = unnest(parsed, F.col("sections"), "document_id", pos="section_pos", item="section")
+    return rows.select("document_id", "section_pos", "section.*")
 
 
 def parse_summary(parsed: DataFrame) -> DataFrame:

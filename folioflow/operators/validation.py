@@ -196,7 +196,7 @@ def check_events(lines: DataFrame, column: str = "value") -> DataFrame:
         F.when(F.col("raw").isNotNull() & ~known, F.array(F.lit("event_type"))).otherwise(
             F.array().cast("array<string>")
         ),
-        tag("extra", F.array_sort(F.array_except(keys, allowed))),
+        tag("extra", F.sort_array(F.array_except(keys, allowed))),
         tag("missing", missing),
         tag("type", wrong),
         F.when(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow import vocab
 from folioflow.functions import ids, network, portal, text, topics
+from folioflow.functions.rows import unnest
 from folioflow.operators import (
     audit,
     chunking,
@@ -59,8 +60,8 @@ def document_titles(spark, d):
 @query
 def table_grids(spark, d):
     """Sparse cells to dense grids, as text."""
-    grids = views.layout(spark, d).select(
-        "document_id", F.explode(structure.tables_of(F.col("raw_tables"))).alias("t")
+    grids = unnest(
+        views.layout(spark, d), structure.tables_of(F.col("raw_tables")), "document_id", item="t"
     )
     return grids.select(
         "document_id",
@@ -74,12 +75,15 @@ def table_grids(spark, d):
 def table_sections(spark, d):
     """The section each table lands in."""
     parsed = structure.parse_structure(views.layout(spark, d))
-    return structure.explode_sections(parsed).select(
+    rows = unnest(
+        structure.explode_sections(parsed),
+        F.col("tables"),
         "document_id",
         "section_pos",
         "heading",
-        F.explode("tables").alias("t"),
-    ).select("document_id", "section_pos", "heading", F.col("t.page").alias("page"))
+        item="t",
+    )
+    return rows.select("document_id", "section_pos", "heading", F.col("t.page").alias("page"))
 
 
 @query
@@ -100,11 +104,9 @@ def chunk_spans(spark, d):
     """Span offsets alone, with non-default sizes."""
     sizes = chunking.ChunkSizes(target=300, overlap=60, minimum=50, tolerance=40)
     sections = structure.explode_sections(views.parsed_documents(spark, d))
-    return sections.select(
-        "document_id",
-        "section_pos",
-        F.posexplode(chunking.text_spans(F.col("text"), sizes)).alias("k", "span"),
-    ).select("document_id", "section_pos", "k", "span.char_start", "span.char_end")
+    spans = chunking.text_spans(F.col("text"), sizes)
+    rows = unnest(sections, spans, "document_id", "section_pos", pos="k", item="span")
+    return rows.select("document_id", "section_pos", "k", "span.char_start", "span.char_end")
 
 
 @query
@@ -155,15 +157,16 @@ def topic_fields(spark, d):
 
 @query
 def topic_outcomes(spark, d):
-    return _topic_contexts(spark, d).select(
-        "doc_id", F.posexplode("topic.expected_outcomes").alias("n", "outcome")
-    )
+    t = _topic_contexts(spark, d)
+    return unnest(t, F.col("topic.expected_outcomes"), "doc_id", pos="n", item="outcome")
 
 
 @query
 def topic_guidance(spark, d):
-    return _topic_contexts(spark, d).select(
-        "doc_id", F.explode("topic.section_guidance").alias("section_type", "guidance")
+    entries = F.map_entries("topic.section_guidance")
+    rows = unnest(_topic_contexts(spark, d), entries, "doc_id", item="e")
+    return rows.select(
+        "doc_id", F.col("e.key").alias("section_type"), F.col("e.value").alias("guidance")
     )
 
 
@@ -238,7 +241,7 @@ def chunk_snippets(spark, d):
 @query
 def citation_labels(spark, d):
     """Humanised codes, placeholders and pipe escapes of every citation."""
-    c = views.drafts(spark, d).select("draft_path", F.posexplode("citations").alias("pos", "c"))
+    c = unnest(views.drafts(spark, d), F.col("citations"), "draft_path", item="c")
     return c.select(
         "draft_path",
         "pos",
@@ -301,7 +304,7 @@ def source_paths(spark, d):
 
 @query
 def content_hashes(spark, d):
-    t = views.table(spark, d, "documents")
+    t = views.table(spark, d, "documents", spread=True)
     return t.select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
@@ -406,7 +409,7 @@ def request_validation(spark, d):
 def result_count_check(spark, d):
     """Drafts whose declared number of citations differs from the listed one."""
     t = views.drafts(spark, d)
-    rows = t.select(F.col("draft_path").alias("query_id"), F.explode("citations").alias("c"))
+    rows = unnest(t, F.col("citations"), "draft_path").withColumnRenamed("draft_path", "query_id")
     declared = t.select(
         F.col("draft_path").alias("query_id"),
         ((F.col("draft_id") + 2 * F.col("iteration") - 1) % 6 + F.when(F.col("draft_id") % 5 == 2, 1).otherwise(0)).alias("result_count"),
@@ -440,7 +443,7 @@ def model_vectors(spark, d):
     def load():
         return lambda batch: [[len(t), len(t.split(" ")), t.count("\n") + 1] for t in batch]
 
-    t = views.table(spark, d, "documents")
+    t = views.table(spark, d, "documents", spread=True)
     v = t.select("doc_id", embedding.model_embedding(F.col("text"), load, dim=3).alias("v"))
     return v.select("doc_id", *[F.get("v", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(("chars", "words", "lines"))])
 
@@ -469,7 +472,7 @@ def cosine_neighbours(spark, d):
 
 
 def _vector_search(spark, d, filters=(), **how) -> DataFrame:
-    e = views.table(spark, d, "embeddings").select(
+    e = views.table(spark, d, "embeddings", spread=True).select(
         "vec_id", "embedding", F.col("label").cast("string").alias("label")
     )
     queries = e.select(F.col("vec_id").alias("query_id"), F.lit(5).alias("n"), "embedding", "label")

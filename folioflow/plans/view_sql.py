@@ -130,7 +130,7 @@ view(
     """
 SELECT doc_id, line_no AS r, (j - 1) % 5 AS c, arg_max(word, j) AS cell
 FROM (SELECT doc_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS j
-      FROM (SELECT doc_id, line_no, n_lines, string_split(line, ' ') AS ws FROM doc_lines)
+      FROM (SELECT doc_id, line_no, n_lines, string_split(line, ', ') AS ws FROM doc_lines)
      ) GROUP BY doc_id, line_no, (j - 1) % 5""",
 )
 

@@ -42,16 +42,16 @@ PROGRAMME_BY_LANG = {
 }
 
 
-# rows of these tables are long texts or vectors: worth spreading over all cores
-HEAVY_TABLES = ("documents", "conversations", "pages", "embeddings")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table.
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A heavy one that comes in fewer splits than there are cores (one small
-    file) is dealt out evenly; a table of cluster size has more splits and is left alone."""
+    ``spread`` is for work that is heavy per row: a table that comes in fewer splits than
+    there are cores (one small file) is dealt out evenly. A table of cluster size has more
+    splits than that and is left as it is, so nothing is shuffled.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY_TABLES and df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
     return df
 
@@ -80,7 +80,7 @@ def outcome_of(quality: Column, toxic: Column) -> Column:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return table(spark, sf_dir, "documents", spread=True).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 def proposal_columns() -> list[Column]:
@@ -107,14 +107,14 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tables_of(doc_id: Column, text: Column) -> Column:
-    """One sparse table per document: a row per line, word j of a line written to column
+    """One sparse table per document: a row per line, phrase j of a line written to column
     j mod 5 of a four-column grid. Odd documents declare one row too few."""
     lines = F.split(text, "\n")
     cells = F.flatten(
         F.transform(
             lines,
             lambda line, i: F.transform(
-                F.split(line, " "),
+                F.split(line, ", "),
                 lambda w, j: F.struct(
                     i.alias("row"), (j % 5).alias("col"), w.alias("text")
                 ),
@@ -168,7 +168,7 @@ def parsed_sections() -> Column:
 
 
 def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         doc_key(F.col("doc_id")).alias("document_id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         parsed_sections().alias("sections"),
@@ -177,7 +177,7 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout items with every irregularity the section builder has to handle."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     doc = F.col("doc_id")
 
     def item(kind: str, depth: Column, text: Column, level: Column, prov: Column) -> Column:
@@ -286,7 +286,7 @@ BULLETS = ("- ", "* ", "1. ")
 
 def call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call excerpt per document, its prose taken from the whole document text."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     doc = F.col("doc_id")
     lines = F.split("text", "\n")
     bullet = element(BULLETS, doc % 3)
@@ -415,7 +415,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as a draft version with citations, some of them flawed."""
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    turns = table(spark, sf_dir, "conversations", spread=True).filter(F.col("role") == "assistant")
     conv, turn = F.col("conv_id"), F.col("turn")
     n = ((conv + turn) % 6).cast("int")
     flaw = conv % 12
@@ -551,7 +551,8 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flaw == 0, ', "user_intent": "secret"').when(flaw == 26, ', "snippet": ["x"]').otherwise(""),
         F.when(flaw == 33, "").otherwise("}"),
     )
-    return table(spark, sf_dir, "events").select(e.alias("event_id"), line.alias("value"))
+    events = table(spark, sf_dir, "events", spread=True)
+    return events.select(e.alias("event_id"), line.alias("value"))
 
 
 ALLOWLIST = (

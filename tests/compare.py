@@ -7,7 +7,7 @@ import math
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else value + 0.0
     if hasattr(value, "item"):
         return _plain(value.item())
     return value
