@@ -29,6 +29,20 @@ def registry(chunks: DataFrame) -> DataFrame:
     )
 
 
+def matching_documents(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The part of ``registry`` a batch can meet: documents that share a hash, an id or a
+    title and call with it.
+
+    Three scans of the narrow key columns against the batch's keys. A batch is small next to
+    the table, so Spark ships its keys and nothing of the table is shuffled but the hits.
+    """
+    columns = ["document_id", "content_hash", "proposal_title", "call_id"]
+    narrow = chunks.select(*columns)
+    keys = (["content_hash"], ["document_id"], ["proposal_title", "call_id"])
+    hits = [narrow.join(incoming.select(*k).distinct(), k, "left_semi").select(*columns) for k in keys]
+    return hits[0].union(hits[1]).union(hits[2]).distinct()
+
+
 def by_content_hash(indexed: DataFrame) -> DataFrame:
     """content_hash, first document id, number of documents."""
     return (

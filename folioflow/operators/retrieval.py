@@ -149,6 +149,7 @@ def retrieve(
 ) -> DataFrame:
     """Ranked results: (query_id, rank, chunk_id, source_status, score, policy_reason).
 
+    ``query_id`` is a whole number; filters and overrides of a request may be null.
     ``chunks`` needs chunk_id, the filter columns and ``embedding``. Requests with
     ``top_k < 1`` are refused by ``validation.request_errors`` beforehand.
     """

@@ -21,7 +21,7 @@ from folioflow.plans.view_sql import (
     view,
     with_views,
 )
-from folioflow.sources import dimensions
+from folioflow.sources import dimensions, reports
 
 ORACLES: dict[str, str] = {}
 
@@ -1128,16 +1128,58 @@ oracle(
     ("section_means",),
     "SELECT pilot_id, section_pos, section_type, round(mean_rating, 6) AS mean_rating, ratings, deciding FROM section_means",
 )
-oracle(
-    "pilot_verdicts",
+view(
+    "pilot_verdict",
     ("section_means", "pilots"),
     """
-SELECT pilot_id, mode, CASE WHEN NOT smoke_passed OR (mode = 'coordinator' AND NOT audit_passed)
+SELECT pilot_id, mode, smoke_passed, CASE WHEN NOT smoke_passed OR (mode = 'coordinator' AND NOT audit_passed)
               OR (mode = 'smoke' AND smoke_blocking) THEN 'no_go'
             WHEN mode = 'smoke' THEN 'conditional' ELSE coalesce(deciding, 'go') END AS verdict
 FROM pilots LEFT JOIN (SELECT DISTINCT ON (pilot_id) pilot_id, deciding FROM section_means WHERE deciding IS NOT NULL
                        ORDER BY pilot_id, section_pos) USING (pilot_id)""",
 )
+oracle("pilot_verdicts", ("pilot_verdict",), "SELECT pilot_id, mode, verdict FROM pilot_verdict")
+view(
+    "pilot_ratings",
+    ("pilot_sections",),
+    f"""
+SELECT * FROM (SELECT event_id, user_id AS pilot_id, {pick(vocab.SECTION_TYPES, "event_id % 4")} AS section_type,
+         'coord_' || (event_id % 7) AS coordinator_id,
+         CASE WHEN event_id % 10 <> 3 THEN 5 - CASE WHEN user_id % 2 = 0 THEN event_id % 2 ELSE event_id % 4 END END AS rating,
+         CASE WHEN event_id % 4 <> 2 THEN event_id % 90 END AS saved
+       FROM events WHERE user_id % 5 <> 1) SEMI JOIN pilot_sections USING (pilot_id, section_type)""",
+)
+oracle(
+    "pilot_report",
+    ("pilot_verdict", "pilot_ratings", "pilot_sections"),
+    f"""
+SELECT pilot_id, 0 AS part, '' AS key, '# MVP Pilot Validation Report' || {NL} || {NL} || '- **Mode:** `' || mode || '`' || {NL}
+  || '- **Verdict:** **' || upper(verdict) || '**' || {NL} || {NL} || {lit(reports.PILOT_SECTIONS_HEAD)} AS value FROM pilot_verdict
+UNION ALL
+SELECT pilot_id, 1, printf('%06d', section_pos), '| ' || (section_pos + 1) || ' | ' || section_type || ' | '
+  || (pilot_id + section_pos) % 6 || ' | ' || (pilot_id + section_pos) * 31 || ' | ' || (pilot_id + section_pos) % 90
+  || CASE WHEN (pilot_id + section_pos) % 4 <> 0 THEN ' | PASS' ELSE ' | FAIL' END || ' | `d/' || (pilot_id + section_pos) || '` |'
+FROM pilot_sections
+UNION ALL
+SELECT pilot_id, 2, '', {lit(reports.PILOT_RATINGS_HEAD)}
+  || CASE WHEN pilot_id IN (SELECT pilot_id FROM pilot_ratings) THEN '' ELSE {NL} || {lit(reports.PILOT_NO_RATINGS)} END
+FROM pilot_verdict
+UNION ALL
+SELECT pilot_id, 3, section_type || '/' || printf('%012d', event_id), '| ' || section_type || ' | ' || coordinator_id || ' | '
+  || coalesce(CAST(rating AS VARCHAR), '<pending>') || ' | ' || coalesce(CAST(saved AS VARCHAR), '<pending>') || ' |  |'
+FROM pilot_ratings
+UNION ALL
+SELECT pilot_id, 4, '', {lit(reports.PILOT_ISSUES_HEAD)} || {NL}
+  || CASE WHEN pilot_id IN (SELECT pilot_id FROM pilot_sections WHERE (pilot_id + section_pos) % 4 = 0)
+          THEN {lit(reports.PILOT_ISSUES_TABLE)} ELSE {lit(reports.PILOT_NO_ISSUES)} END FROM pilot_verdict
+UNION ALL
+SELECT pilot_id, 5, section_type || '/d/' || (pilot_id + section_pos) || '/missing_status', '| ' || section_type
+  || ' | `missing_status` | no status | `d/' || (pilot_id + section_pos) || '` |'
+FROM pilot_sections WHERE (pilot_id + section_pos) % 4 = 0
+UNION ALL
+SELECT pilot_id, 6, '', {lit(reports.PILOT_SMOKE_HEAD)} || '- Verdict: **' || CASE WHEN smoke_passed THEN 'PASS' ELSE 'FAIL' END
+  || '**' || {NL} || {lit(reports.PILOT_VERDICT_HEAD)} || '**' || upper(verdict) || '**' FROM pilot_verdict""",
+)
 oracle(
     "section_results",
     ("drafts", "verdicts"),

@@ -849,6 +849,32 @@ def pilot_verdicts(spark, d):
     return ratings.verdicts(views.pilots(spark, d), o)
 
 
+@query
+def pilot_report(spark, d):
+    """Lines of every pilot's report in Markdown."""
+    sections = views.pilot_sections(spark, d)
+    rated = views.ratings(spark, d)
+    known, _ = ratings.attach_ratings(sections, rated.filter(F.col("pilot_id") % 5 != 1))
+    verdict = ratings.verdicts(
+        views.pilots(spark, d), ratings.section_outcomes(sections, rated)
+    ).join(views.pilots(spark, d).select("pilot_id", "smoke_passed"), "pilot_id")
+    k = F.col("pilot_id") + F.col("section_pos")
+    shown = sections.select(
+        "*",
+        (k % 6).alias("citation_count"),
+        (k * 31).alias("draft_length"),
+        (k % 90).alias("elapsed_ms"),
+        (k % 4 != 0).alias("audit_passed"),
+        F.concat(F.lit("d/"), k.cast("string")).alias("draft_path"),
+    )
+    issues = shown.filter(~F.col("audit_passed")).select(
+        "pilot_id", "section_type", F.lit("missing_status").alias("code"), F.lit("no status").alias("message"), "draft_path"
+    )
+    return reports.pilot_markdown(
+        verdict, shown, known.withColumn("notes", F.lit(None).cast("string")), issues
+    )
+
+
 @query
 def section_results(spark, d):
     return ratings.section_results(_audited(spark, d))

@@ -88,35 +88,107 @@ def release_markdown(
     )
 
 
-def pilot_markdown(pilots: DataFrame, sections: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(pilot_id, part, key, value) lines; missing ratings are shown as pending."""
+# fixed values: headings and notes of the pilot report
+PILOT_SECTIONS_HEAD = (
+    "## Generated sections (AC1)\n\n"
+    "| # | Section | Citations | Draft length (chars) | Elapsed (ms) | Audit | Artefact |\n"
+    "|---|---------|-----------|----------------------|--------------|-------|----------|"
+)
+PILOT_RATINGS_HEAD = (
+    "\n## Coordinator satisfaction (AC2)\n\n"
+    "| Section | Coordinator | Rating (1-5) | Time saved (min) | Notes |\n"
+    "|---------|-------------|--------------|------------------|-------|"
+)
+PILOT_NO_RATINGS = (
+    "| _all_ | `<pending>` | `<pending>` | `<pending>` | "
+    "_smoke-mode run — no coordinator ratings yet_ |"
+)
+PILOT_ISSUES_HEAD = "\n## Citation issues (AC3)\n"
+PILOT_NO_ISSUES = "_No release-blocking citation issues found._"
+PILOT_ISSUES_TABLE = (
+    "| Section | Code | Message | Draft |\n|---------|------|---------|-------|"
+)
+PILOT_SMOKE_HEAD = "\n## Network isolation smoke (AC3)\n\n"
+PILOT_VERDICT_HEAD = "\n## Go / No-Go recommendation (AC3)\n\n"
+
+
+def pilot_markdown(
+    pilots: DataFrame, sections: DataFrame, ratings: DataFrame, issues: DataFrame
+) -> DataFrame:
+    """(pilot_id, part, key, value) lines of one report per pilot.
+
+    ``pilots`` (pilot_id, mode, verdict, smoke_passed), ``sections`` (pilot_id, section_pos,
+    section_type, citation_count, draft_length, elapsed_ms, audit_passed, draft_path),
+    ``ratings`` (pilot_id, rating_id, section_type, coordinator_id, rating,
+    time_saved_minutes, notes), ``issues`` (pilot_id, section_type, code, message,
+    draft_path). What is not there yet is shown as pending.
+    """
+
+    def lines(part: int, key: Column, text: Column, df: DataFrame) -> DataFrame:
+        return df.select(
+            "pilot_id", F.lit(part).alias("part"), key.cast("string").alias("key"), text.alias("value")
+        )
+
+    def ticks(c: str) -> Column:
+        return F.concat(F.lit("`"), F.col(c), F.lit("`"))
+
+    def has(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("pilot_id").agg(F.lit(True).alias(name))
+
     pending = F.lit("<pending>")
+    known = pilots.join(has(ratings, "rated"), "pilot_id", "left").join(
+        has(issues, "flawed"), "pilot_id", "left"
+    )
     head = F.concat_ws(
         "\n",
         F.lit("# MVP Pilot Validation Report\n"),
-        F.concat(F.lit("- **Mode:** `"), F.col("mode"), F.lit("`")),
-        F.concat(F.lit("- **Verdict:** **"), F.upper("verdict"), F.lit("**")),
-        F.lit("\n| # | Section | Mean rating |\n|---|---------|-------------|"),
+        F.concat(F.lit("- **Mode:** "), ticks("mode")),
+        F.concat(F.lit("- **Verdict:** **"), F.upper("verdict"), F.lit("**\n")),
+        F.lit(PILOT_SECTIONS_HEAD),
     )
-    section_line = table_row(
-        F.col("section_pos"), F.col("section_type"), F.coalesce(F.col("mean_rating").cast("string"), pending)
+    section = table_row(
+        F.col("section_pos") + 1,
+        F.col("section_type"),
+        F.col("citation_count"),
+        F.col("draft_length"),
+        F.col("elapsed_ms"),
+        F.when(F.col("audit_passed"), "PASS").otherwise("FAIL"),
+        ticks("draft_path"),
+    )
+    ratings_head = F.concat_ws(
+        "\n", F.lit(PILOT_RATINGS_HEAD), F.when(F.col("rated").isNull(), F.lit(PILOT_NO_RATINGS))
     )
-    rating_line = table_row(
+    rating = table_row(
         F.col("section_type"),
         F.col("coordinator_id"),
         F.coalesce(F.col("rating").cast("string"), pending),
         F.coalesce(F.col("time_saved_minutes").cast("string"), pending),
+        F.coalesce("notes", F.lit("")),
     )
-
-    def lines(part: int, key: Column, text: Column, df: DataFrame) -> DataFrame:
-        return df.select(
-            "pilot_id", F.lit(part).alias("part"), key.cast("string").alias("key"), text.alias("value")
-        )
-
+    issues_head = F.concat_ws(
+        "\n",
+        F.lit(PILOT_ISSUES_HEAD),
+        F.when(F.col("flawed"), F.lit(PILOT_ISSUES_TABLE)).otherwise(F.lit(PILOT_NO_ISSUES)),
+    )
+    issue = table_row(F.col("section_type"), ticks("code"), F.col("message"), ticks("draft_path"))
+    tail = F.concat(
+        F.lit(PILOT_SMOKE_HEAD + "- Verdict: **"),
+        F.when(F.col("smoke_passed"), "PASS").otherwise("FAIL"),
+        F.lit("**\n" + PILOT_VERDICT_HEAD + "**"),
+        F.upper("verdict"),
+        F.lit("**"),
+    )
+    none = F.lit("")
+    rating_key = F.concat_ws("/", "section_type", F.format_string("%012d", "rating_id"))
+    issue_key = F.concat_ws("/", "section_type", "draft_path", "code")
     return (
-        lines(0, F.lit(""), head, pilots)
-        .union(lines(1, F.format_string("%06d", "section_pos"), section_line, sections))
-        .union(lines(2, F.concat_ws("/", "section_type", "coordinator_id"), rating_line, ratings))
+        lines(0, none, head, pilots)
+        .union(lines(1, F.format_string("%06d", "section_pos"), section, sections))
+        .union(lines(2, none, ratings_head, known))
+        .union(lines(3, rating_key, rating, ratings))
+        .union(lines(4, none, issues_head, known))
+        .union(lines(5, issue_key, issue, issues))
+        .union(lines(6, none, tail, pilots))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.chunking import ChunkSizes, chunk_documents
-from folioflow.operators.dedup import admission, decide_batch, registry
+from folioflow.operators.dedup import admission, decide_batch, matching_documents
 from folioflow.operators.embedding import hash_embedding
 from folioflow.sources.chunk_table import ChunkTable
 from folioflow.sources.documents import SECTION
@@ -42,7 +42,7 @@ def ingest_batch(
     if live is None:
         known = keys.limit(0).drop("position")
     else:
-        known = registry(live)
+        known = matching_documents(live, keys)
     admitted = admission(decide_batch(keys, known), force)
     # later rows of one document in the batch replace earlier ones: keep the last
     chosen = (
