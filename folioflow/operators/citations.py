@@ -10,7 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import vocab
-from folioflow.functions.text import citation_markers, empty_to_null, humanise, lookup, rstrip, snippet
+from folioflow.functions.text import (
+    citation_markers,
+    empty_to_null,
+    humanise,
+    lookup,
+    rstrip,
+    snippet,
+)
+from folioflow.operators.lineage import broadcast_if_small, materialise
 
 CITATION = (
     "struct<citation_id: int, source_status: string, programme: string, call_id: string, "
@@ -19,8 +27,12 @@ CITATION = (
 
 
 def citation_rows(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One citation per ranked result. Results are few; the join reads from the chunk table
-    only the columns a citation shows, and Spark ships the small result side to it."""
+    """One citation per ranked result.
+
+    Results are settled first, since their number decides the join: a small set travels to
+    the chunk table, whose texts then stay where they are.
+    """
+    results = broadcast_if_small(materialise(results))
     shown = chunks.select(
         "chunk_id", "programme", "call_id", "proposal_title", "section_heading", "page", "text"
     )

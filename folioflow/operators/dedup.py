@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import is_blank
-from folioflow.operators.lineage import materialise
+from folioflow.operators.lineage import broadcast_if_small, materialise
 
 NONE, REINDEX, BLOCK_HARD, BLOCK_SOFT = "none", "reindex", "block_hard", "block_soft"
 
@@ -33,13 +33,17 @@ def matching_documents(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
     """The part of ``registry`` a batch can meet: documents that share a hash, an id or a
     title and call with it.
 
-    Three scans of the narrow key columns against the batch's keys. A batch is small next to
-    the table, so Spark ships its keys and nothing of the table is shuffled but the hits.
+    Three scans of the narrow key columns against the batch's keys. The keys of a small batch
+    travel to the table, so nothing of it is shuffled but the hits.
     """
+    incoming = materialise(incoming.select("content_hash", "document_id", "proposal_title", "call_id"))
     columns = ["document_id", "content_hash", "proposal_title", "call_id"]
     narrow = chunks.select(*columns)
     keys = (["content_hash"], ["document_id"], ["proposal_title", "call_id"])
-    hits = [narrow.join(incoming.select(*k).distinct(), k, "left_semi").select(*columns) for k in keys]
+    hits = [
+        narrow.join(broadcast_if_small(incoming.select(*k)), k, "left_semi").select(*columns)
+        for k in keys
+    ]
     return hits[0].union(hits[1]).union(hits[2]).distinct()
 
 

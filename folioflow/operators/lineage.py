@@ -1,10 +1,13 @@
-"""Cutting lineage between rounds of an iterative job."""
+"""Cutting lineage, and broadcasting what has been counted."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -19,3 +22,12 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a side that has at most ``rows`` rows; leave a larger one alone.
+
+    Without the hint a join with a computed side of unknown size shuffles the big side too.
+    The caller passes a stored or materialised table, so counting it is cheap.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

@@ -696,14 +696,17 @@ def evidence_blocks(spark, d):
 def _prompt_requests(spark, d) -> DataFrame:
     """Each request with the call text of the document that has its number, if there is one."""
     calls = views.call_texts(spark, d).select(
-        F.col("doc_id").alias("query_id"), topics.topic_context(F.col("text")).alias("topic")
+        F.col("doc_id").alias("topic_key"), F.col("text").alias("call_text")
     )
     q = F.col("query_id")
+    # fields are read only out of the texts that some request names
+    topic = F.when(F.col("call_text").isNotNull(), topics.topic_context(F.col("call_text")))
     return (
         views.search_requests(spark, d)
         .withColumn("call_context", F.when(q % 3 == 0, F.concat(F.lit(" Note "), q.cast("string"))).otherwise(""))
         .withColumn("topic_key", F.when(q % 5 != 4, q))
-        .join(calls.withColumnRenamed("query_id", "topic_key"), "topic_key", "left")
+        .join(calls, "topic_key", "left")
+        .withColumn("topic", topic)
     )
 
 

@@ -17,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.lineage import broadcast_if_small, materialise
+
 
 @dataclass(frozen=True)
 class ChunkTable:
@@ -110,10 +112,11 @@ class ChunkTable:
         if live is not None:
             gone = []
             if replaced is not None:
-                ids = replaced.select("document_id").distinct()
+                ids = broadcast_if_small(materialise(replaced.select("document_id").distinct()))
                 gone.append(live.join(ids, "document_id", "left_semi").select("chunk_id"))
             if new is not None:
-                gone.append(live.select("chunk_id").join(new.select("chunk_id"), "chunk_id", "left_semi"))
+                ids = broadcast_if_small(new.select("chunk_id"))
+                gone.append(live.select("chunk_id").join(ids, "chunk_id", "left_semi"))
             if gone:
                 superseded = gone[0]
                 for more in gone[1:]:
