@@ -15,7 +15,7 @@ from folioflow.session import ship_package  # noqa: E402
 
 # started on import: columns at module level of a test need an active session
 SESSION = (
-    SparkSession.builder.master("local[8]")
+    SparkSession.builder.master("local[4]")
     .appName("folioflow-tests")
     .config("spark.sql.shuffle.partitions", "4")
     .config("spark.sql.session.timeZone", "UTC")

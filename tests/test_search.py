@@ -180,3 +180,28 @@ def test_pool_is_over_fetched_by_four_up_to_100(spark):
 def test_policy_bounds():
     with pytest.raises(ValueError):
         RetrievalPolicy(relevance_threshold=1.5)
+
+
+def test_filters_shared_by_all_queries_reach_the_scan(spark, corpus, tmp_path, capsys):
+    path = str(tmp_path / "chunks")
+    corpus.write.parquet(path)
+    stored = spark.read.parquet(path)
+    asked = [(1, "deep learning", 5, "cef", None, None, None, None), (2, "sea", 5, "other", None, None, None, None)]
+    got = retrieve(stored, spark.createDataFrame(asked, REQUEST))
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(programme, [cef,other])" in plan
+    assert "text" not in plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert {r["query_id"] for r in got.collect()} == {1, 2}
+
+
+def test_top_n_ships_winners_only(spark, capsys):
+    """Two salted merges of small rows; the vectors themselves are never exchanged."""
+    chunks = spark.createDataFrame([("c", [1.0])], "chunk_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, 2, [1.0])], "query_id bigint, n int, embedding array<float>")
+    similarity.top_n(chunks, queries).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("WindowGroupLimit") == 4
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.index("Exchange") < plan.index("MapInArrow")
