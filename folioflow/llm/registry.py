@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from folioflow.llm.decontamination import OP5_SQL, op5_spaced_seed_overlaps
 from folioflow.llm.jaccard import op10_ngram_jaccard
+from folioflow.llm.line_dedup import OP1_SQL, op1_line_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op5_spaced_seed_overlaps": op5_spaced_seed_overlaps,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op5_spaced_seed_overlaps": OP5_SQL,
+}
