@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
 from folioflow.llm.shared import Scratch, mix, shingle_hashes, text_chunks, word_hashes
+from folioflow.llm.sketch import filled, may_hold, set_filter
 
 WORDS = 4
 PERCENT = 85
-#: Frequencies are counted in 2^20 hash buckets: a table of 1 MB whatever the corpus.
+#: Seeds of the second and the third order.
+_SEEDS = (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C)
+#: Frequencies are counted in 2^20 hash buckets: a table of 1 MB sent to tasks, whatever the corpus.
 BUCKET_BITS = 20
-_BLOCK = 4096
-
-_PROFILE = "doc_id bigint, n_shingles bigint, fp bigint, first array<bigint>, second array<int>, third array<int>"
-
-
 def _sets(batch, k: int):
     """(row, sorted distinct shingle hashes) for each row of an Arrow batch."""
     words, counts = word_hashes(batch.column("text"))
@@ -52,51 +50,18 @@ def _fingerprint(found: np.ndarray) -> int:
 
 
 def shingle_levels(documents: DataFrame, k: int = WORDS) -> np.ndarray:
-    """The binary magnitude of the corpus count of every hash bucket, over all documents.
-
-    Each task adds up its counts and sends 256 blocks; the result has one byte a bucket.
-    """
+    """The binary magnitude of the corpus count of every hash bucket, over all documents."""
     shift = np.uint64(64 - BUCKET_BITS)
 
-    def count(batches):
-        totals = np.zeros(1 << BUCKET_BITS, np.int64)
+    def count(batches, totals):
         for piece in text_chunks(batches):
             found = [s for _, s in _sets(piece, k)]
             if found:
-                totals += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=len(totals))
-        blocks = totals.reshape(-1, _BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        salt = int(totals.sum() % 16)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array(used.astype(np.int32)),
-                "salt": pa.array(np.full(len(used), salt, np.int32)),
-                "counts": pa.array([blocks[b].tobytes() for b in used], pa.binary()),
-            }
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK, np.int64)
-        for value in table.column("counts"):
-            total += np.frombuffer(value.as_buffer(), np.int64)
-        return pa.table(
-            {
-                "block": table.column("block")[:1].cast(pa.int32()),
-                "salt": pa.array([0], pa.int32()),
-                "counts": pa.array([total.tobytes()], pa.binary()),
-            }
-        )
+                places = (np.concatenate(found) >> shift).astype(np.int64)
+                totals += np.bincount(places, minlength=len(totals)).astype(np.uint32)
 
-    schema = "block int, salt int, counts binary"
-    parts = documents.select("text").mapInArrow(count, schema)
-    parts = parts.groupBy("block", "salt").applyInArrow(add, schema)
-    parts = parts.groupBy("block").applyInArrow(add, schema)
-    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for row in parts.toLocalIterator():  # at most 256 rows of 32 kB
-        counts = np.frombuffer(row["counts"], np.int64)
-        start = row["block"] * _BLOCK
-        levels[start : start + _BLOCK] = np.ceil(np.log2(counts + 1.0)).astype(np.uint8)
-    return levels
+    totals = filled(documents.select("text"), count, 1 << BUCKET_BITS, np.uint32, np.add)
+    return np.ceil(np.log2(totals + 1.0)).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -104,69 +69,85 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _first_order(found: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix by corpus frequency, rarest first; ties by the hash."""
+    places = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    rank = (level[places].astype(np.uint64) << np.uint64(58)) | (found & np.uint64((1 << 58) - 1))
+    p = prefix_length(len(found), percent)
+    return found[np.argpartition(rank, p - 1)[:p]] if p < len(found) else found
+
+
+def _hash_order(found: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The prefix in a hash order; 32 bits of each hash, since a filter may pass too much."""
+    order = mix(found ^ np.uint64(seed))
+    p = prefix_length(len(found), percent)
+    kept = np.partition(order, p - 1)[:p] if p < len(found) else order
+    return (kept >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def profiles(documents: DataFrame, levels, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: set size, set fingerprint, and the prefixes under three global orders."""
-    shift = np.uint64(64 - BUCKET_BITS)
-    seeds = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C3C3C3C3C3C3C3C))
+    """(doc_id, n_shingles, fp, prefix): set size, set fingerprint and prefix in the first order."""
 
     def describe(batches):
-        level = levels.value
         for piece in text_chunks(batches):
-            sizes, prints, first, others = [], [], [], ([], [])
-            for _, found in _sets(piece, k):
-                sizes.append(len(found))
-                if not len(found):
-                    for column in (prints, first, *others):
-                        column.append(None)
-                    continue
-                prints.append(_fingerprint(found))
-                p = prefix_length(len(found), percent)
-                # one sortable number: frequency level above 58 bits of the hash
-                rank = (level[(found >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (
-                    found & np.uint64((1 << 58) - 1)
-                )
-                best = np.argpartition(rank, p - 1)[:p] if p < len(found) else np.arange(p)
-                first.append(found[best].view(np.int64))
-                for column, seed in zip(others, seeds, strict=True):
-                    order = mix(found ^ seed)
-                    kept = np.partition(order, p - 1)[:p] if p < len(found) else order
-                    column.append((kept >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            sets = [found for _, found in _sets(piece, k)]
+            prefixes = [_first_order(s, levels.value, percent).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id").cast(pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(prints, pa.int64()),
-                    pa.array(first, pa.list_(pa.int64())),
-                    pa.array(others[0], pa.list_(pa.int32())),
-                    pa.array(others[1], pa.list_(pa.int32())),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "fp", "first", "second", "third"],
+                names=["doc_id", "n_shingles", "fp", "prefix"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(describe, _PROFILE)
+    schema = "doc_id bigint, n_shingles bigint, fp bigint, prefix array<bigint>"
+    return documents.select("doc_id", "text").mapInArrow(describe, schema)
 
 
-def _whole_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(fp, shingles) of rows (fp, text); a row whose text has another fingerprint is left out."""
+def _whole_sets(documents: DataFrame, wanted, k: int, percent: int) -> DataFrame:
+    """(fp, doc_id, second, third, shingles) of the documents whose ids pass a set filter."""
 
     def describe(batches):
-        for piece in text_chunks(batches):
-            wanted = piece.column("fp").to_numpy(zero_copy_only=False)
-            kept = [
-                (wanted[row], found.view(np.int64))
-                for row, found in _sets(piece, k)
-                if len(found) and _fingerprint(found) == wanted[row]
-            ]
+        for batch in batches:
+            passed = may_hold(wanted.value, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+            for piece in text_chunks([batch.filter(pa.array(passed))]):
+                ids = piece.column("doc_id").to_pylist()
+                kept = [(_fingerprint(s), ids[row], s) for row, s in _sets(piece, k) if len(s)]
+                orders = [[_hash_order(s, seed, percent) for _, _, s in kept] for seed in _SEEDS]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([fp for fp, _, _ in kept], pa.int64()),
+                        pa.array([i for _, i, _ in kept], pa.int64()),
+                        pa.array(orders[0], pa.list_(pa.int32())),
+                        pa.array(orders[1], pa.list_(pa.int32())),
+                        pa.array([s.view(np.int64) for _, _, s in kept], pa.list_(pa.int64())),
+                    ],
+                    names=["fp", "doc_id", "second", "third", "shingles"],
+                )
+
+    schema = "fp bigint, doc_id bigint, second array<int>, third array<int>, shingles array<bigint>"
+    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    return texts.mapInArrow(describe, schema)
+
+
+def _tokens(rows: DataFrame, shared) -> DataFrame:
+    """(token, fp, n) of prefix shingles that pass a set filter."""
+
+    def spread(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            values = prefix.flatten().to_numpy()
+            kept = may_hold(shared.value, values)
+            lengths = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([fp for fp, _ in kept], pa.int64()),
-                    pa.array([s for _, s in kept], pa.list_(pa.int64())),
-                ],
-                names=["fp", "shingles"],
+                [pa.array(values[kept]), batch.column("fp").take(row), batch.column("n_shingles").take(row)],
+                names=["token", "fp", "n"],
             )
 
-    found = texts.select("fp", "text").mapInArrow(describe, "fp bigint, shingles array<bigint>")
-    return found.dropDuplicates(["fp"])
+    return rows.select("fp", "n_shingles", "prefix").mapInArrow(spread, "token bigint, fp bigint, n bigint")
 
 
 class _Join:
@@ -174,37 +155,46 @@ class _Join:
 
     def __init__(self, documents: DataFrame, scratch: Scratch, k: int, percent: int):
         self.documents, self.scratch, self.k, self.percent = documents, scratch, k, percent
-        levels = documents.sparkSession.sparkContext.broadcast(shingle_levels(documents, k))
+        self.context = documents.sparkSession.sparkContext
+        levels = self.context.broadcast(shingle_levels(documents, k))
         self.rows = scratch.save(profiles(documents, levels, k, percent), "profiles")
         self.linkable = self.rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
 
     def shared_shingles(self) -> DataFrame:
-        """(token, fp, n, pivot, pivot_n) of every prefix shingle that different sets share."""
-        held = self.linkable.select(
-            F.explode("first").alias("token"), "fp", F.col("n_shingles").alias("n")
-        )
+        """(token, fp, n, pivot) of every prefix shingle that different sets share."""
+        held = self.linkable.select(F.explode("prefix").alias("token"), "fp")
         pivots = (
             held.groupBy("token")
-            .agg(
-                F.min("fp").alias("pivot"), F.max("fp").alias("last"), F.min_by("n", "fp").alias("pivot_n")
-            )
+            .agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
             .where("pivot <> last")
             .drop("last")
         )
-        return self.scratch.save(held.join(pivots, "token"), "tokens")
+        pivots = self.scratch.save(pivots, "pivots")
+        shared = self.context.broadcast(set_filter(pivots.select("token"), pivots.count()))
+        tokens = self.scratch.save(_tokens(self.linkable, shared).join(pivots, "token"), "tokens")
+        self.scratch.drop("pivots")
+        return tokens
+
+    def sizes(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the set sizes na and nb."""
+        sizes = self.linkable.groupBy("fp").agg(F.max("n_shingles").alias("n"))
+        return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b, na, nb), those that reach the threshold."""
         fits = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
         wanted = self.scratch.save(pairs.where(fits).distinct(), f"pairs-{name}")
-        holders = self.holders(wanted)
-        orders = self.scratch.save(
-            self.linkable.select("fp", "doc_id", "second", "third")
+        ends = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
+        firsts = self.linkable.select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        holders = self.scratch.save(firsts.join(ends, "fp", "left_semi"), f"holders-{name}")
+        passing = self.context.broadcast(set_filter(holders.select("doc_id"), holders.count()))
+        sets = self.scratch.save(
+            _whole_sets(self.documents, passing, self.k, self.percent)
             .join(holders, ["fp", "doc_id"], "left_semi")
-            .dropDuplicates(["fp"])
-            .drop("doc_id"),
-            f"orders-{name}",
+            .dropDuplicates(["fp"]),
+            f"sets-{name}",
         )
+        orders = sets.select("fp", "second", "third")
         passed = self.scratch.save(
             wanted.join(orders.toDF("a", "a2", "a3"), "a")
             .join(orders.toDF("b", "b2", "b3"), "b")
@@ -212,35 +202,23 @@ class _Join:
             .select("a", "b", "na", "nb"),
             f"passed-{name}",
         )
-        self.scratch.drop(f"orders-{name}")
-        texts = self.documents.select("doc_id", "text").join(self.holders(passed), "doc_id")
-        sets = self.scratch.save(_whole_sets(texts, self.k), f"sets-{name}")
+        whole = sets.select("fp", "shingles")
         common = F.size(F.array_intersect("sa", "sb"))
         reached = F.lit(100) * F.col("common") >= F.lit(self.percent) * (
             F.col("na") + F.col("nb") - F.col("common")
         )
         found = self.scratch.save(
-            passed.join(sets.toDF("a", "sa"), "a")
-            .join(sets.toDF("b", "sb"), "b")
+            passed.join(whole.toDF("a", "sa"), "a")
+            .join(whole.toDF("b", "sb"), "b")
             .select("a", "b", "na", "nb", common.alias("common"))
             .where(reached)
             .select("a", "b"),
             f"links-{name}",
         )
-        for table in ("sets", "passed", "pairs"):
+        for table in ("sets", "passed", "pairs", "holders"):
             self.scratch.drop(f"{table}-{name}")
         return found
 
-    def holders(self, pairs: DataFrame) -> DataFrame:
-        """(fp, doc_id): for each end of the pairs, the smallest document with that set."""
-        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        return (
-            self.linkable.select("fp", "doc_id")
-            .groupBy("fp")
-            .agg(F.min("doc_id").alias("doc_id"))
-            .join(ends, "fp", "left_semi")
-        )
-
 
 def _across(tokens: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b, na, nb) sharing a shingle whose ends are in different groups.
@@ -288,10 +266,8 @@ def jaccard_groups(
     """
     join = _Join(documents, scratch, k, percent)
     tokens = join.shared_shingles()
-    stars = tokens.where("fp <> pivot").select(
-        F.col("pivot").alias("a"), F.col("fp").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
-    )
-    near = join.links(stars, "pivot")
+    stars = tokens.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    near = join.links(join.sizes(stars), "pivot")
     groups = components(near, scratch, "groups")
     rest = join.links(_across(tokens, groups, scratch), "rest")
     scratch.drop("open")
