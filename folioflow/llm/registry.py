@@ -6,9 +6,11 @@ from folioflow.llm.bpe import op6_byte_bpe
 from folioflow.llm.decontamination import OP5_SQL, op5_spaced_seed_overlaps
 from folioflow.llm.jaccard import op10_ngram_jaccard
 from folioflow.llm.line_dedup import OP1_SQL, op1_line_dedup
+from folioflow.llm.quality import op2_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op5_spaced_seed_overlaps": op5_spaced_seed_overlaps,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,
