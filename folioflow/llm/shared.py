@@ -65,7 +65,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def text_chunks(batches, name: str = "text"):
+def text_chunks(batches, name: str = "text", rows: int = 1 << 20):
     """Arrow batches cut into pieces of about CHUNK_BYTES of text (a longer text stays whole)."""
     for batch in batches:
         if not batch.num_rows:
@@ -74,7 +74,7 @@ def text_chunks(batches, name: str = "text"):
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1
-            stop = min(max(stop, start + 1), batch.num_rows)
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
