@@ -3,7 +3,8 @@
 Two sets that reach the threshold must share a shingle within their prefixes (the first
 ``n - ceil(t n) + 1`` shingles) under *every* total order of all shingles. The first order is by
 corpus frequency, rarest first; the others are independent hash orders. A pair is verified only if
-it passes the filter of each order.
+it passes the filter of each order, and if parity sketches of the two sets do not rule it out (they
+bound the symmetric difference from below, so they lose nothing).
 
 A shingle of many documents must not become all their pairs. Sets are nodes of a graph, so equal
 sets are one node, and work runs in two steps that together are exact for connected groups:
@@ -20,6 +21,8 @@ their set size, have a null component and link with nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,30 +109,83 @@ def profiles(documents: DataFrame, levels, k: int = WORDS, percent: int = PERCEN
     return documents.select("doc_id", "text").mapInArrow(describe, schema)
 
 
-def _whole_sets(documents: DataFrame, wanted, k: int, percent: int) -> DataFrame:
-    """(fp, doc_id, second, third, shingles) of the documents whose ids pass a set filter."""
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of shingles falls on them; four to eight bits a shingle.
 
-    def describe(batches):
+    The bits in which two sketches of one length differ are at most the shingles that only one of
+    the sets has. A sketch of half the length is the exclusive or of its halves.
+    """
+    bits = 1 << max(6, (4 * len(found) - 1).bit_length())
+    places = (mix(found ^ np.uint64(0x0F0F0F0F0F0F0F0F)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_difference(left: np.ndarray, right: np.ndarray) -> int:
+    """A lower bound of the shingles that only one of two sets has, from their sketches."""
+    while len(left) != len(right):
+        if len(left) < len(right):
+            left, right = right, left
+        half = len(left) // 2
+        left = left[:half] ^ left[half:]
+    return int(np.bitwise_count(left ^ right).sum())
+
+
+def _described(documents: DataFrame, wanted, k: int, schema: str, describe: Callable) -> DataFrame:
+    """(fp, ...) of the documents whose ids pass a set filter, one row for each set."""
+
+    def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            passed = may_hold(wanted.value, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
-            for piece in text_chunks([batch.filter(pa.array(passed))]):
-                ids = piece.column("doc_id").to_pylist()
-                kept = [(_fingerprint(s), ids[row], s) for row, s in _sets(piece, k) if len(s)]
-                orders = [[_hash_order(s, seed, percent) for _, _, s in kept] for seed in _SEEDS]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([fp for fp, _, _ in kept], pa.int64()),
-                        pa.array([i for _, i, _ in kept], pa.int64()),
-                        pa.array(orders[0], pa.list_(pa.int32())),
-                        pa.array(orders[1], pa.list_(pa.int32())),
-                        pa.array([s.view(np.int64) for _, _, s in kept], pa.list_(pa.int64())),
-                    ],
-                    names=["fp", "doc_id", "second", "third", "shingles"],
-                )
-
-    schema = "fp bigint, doc_id bigint, second array<int>, third array<int>, shingles array<bigint>"
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for piece in text_chunks([batch.filter(pa.array(may_hold(wanted.value, ids)))]):
+                kept = {}
+                for _, found in _sets(piece, k):
+                    if len(found) and (fp := _fingerprint(found)) not in seen:
+                        seen.add(fp)
+                        kept[fp] = found
+                columns = [pa.array(list(kept), pa.int64()), *describe(list(kept.values()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    return texts.mapInArrow(describe, schema)
+    return texts.mapInArrow(run, schema).dropDuplicates(["fp"])
+
+
+def _signatures(documents: DataFrame, wanted, k: int, percent: int) -> DataFrame:
+    """(fp, second, third, sketch): the prefixes in the hash orders and the parity sketch."""
+
+    def describe(sets):
+        orders = [[_hash_order(s, seed, percent) for s in sets] for seed in _SEEDS]
+        sketches = [parity_sketch(s).tobytes() for s in sets]
+        return [*(pa.array(o, pa.list_(pa.int32())) for o in orders), pa.array(sketches, pa.binary())]
+
+    schema = "fp bigint, second array<int>, third array<int>, sketch binary"
+    return _described(documents, wanted, k, schema, describe)
+
+
+def _whole_sets(documents: DataFrame, wanted, k: int) -> DataFrame:
+    def describe(sets):
+        return [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+
+    return _described(documents, wanted, k, "fp bigint, shingles array<bigint>", describe)
+
+
+def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, sa, sb) whose sketches do not rule the threshold out."""
+
+    def keep(batches):
+        for batch in batches:
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+            # the threshold holds if and only if (100 + percent) * difference <= (100 - percent) * total
+            passed = [
+                (100 + percent) * least_difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                <= (100 - percent) * n
+                for x, y, n in zip(sa, sb, total, strict=True)
+            ]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(passed, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a bigint, b bigint, na bigint, nb bigint")
 
 
 def _tokens(rows: DataFrame, shared) -> DataFrame:
@@ -184,41 +240,42 @@ class _Join:
         """Of candidate pairs (a, b, na, nb), those that reach the threshold."""
         fits = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
         wanted = self.scratch.save(pairs.where(fits).distinct(), f"pairs-{name}")
-        ends = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
-        firsts = self.linkable.select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        holders = self.scratch.save(firsts.join(ends, "fp", "left_semi"), f"holders-{name}")
-        passing = self.context.broadcast(set_filter(holders.select("doc_id"), holders.count()))
-        sets = self.scratch.save(
-            _whole_sets(self.documents, passing, self.k, self.percent)
-            .join(holders, ["fp", "doc_id"], "left_semi")
-            .dropDuplicates(["fp"]),
-            f"sets-{name}",
+        signatures = self.scratch.save(
+            _signatures(self.documents, self.holders(wanted, name), self.k, self.percent), f"signatures-{name}"
         )
-        orders = sets.select("fp", "second", "third")
-        passed = self.scratch.save(
-            wanted.join(orders.toDF("a", "a2", "a3"), "a")
-            .join(orders.toDF("b", "b2", "b3"), "b")
+        passed = (
+            wanted.join(signatures.toDF("a", "a2", "a3", "sa"), "a")
+            .join(signatures.toDF("b", "b2", "b3", "sb"), "b")
             .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-            .select("a", "b", "na", "nb"),
-            f"passed-{name}",
         )
-        whole = sets.select("fp", "shingles")
+        passed = self.scratch.save(_near_enough(passed, self.percent), f"passed-{name}")
+        for table in ("signatures", "pairs", "holders"):
+            self.scratch.drop(f"{table}-{name}")
+        sets = _whole_sets(self.documents, self.holders(passed, name), self.k)
+        sets = self.scratch.save(sets, f"sets-{name}")
         common = F.size(F.array_intersect("sa", "sb"))
         reached = F.lit(100) * F.col("common") >= F.lit(self.percent) * (
             F.col("na") + F.col("nb") - F.col("common")
         )
         found = self.scratch.save(
-            passed.join(whole.toDF("a", "sa"), "a")
-            .join(whole.toDF("b", "sb"), "b")
+            passed.join(sets.toDF("a", "sa"), "a")
+            .join(sets.toDF("b", "sb"), "b")
             .select("a", "b", "na", "nb", common.alias("common"))
             .where(reached)
             .select("a", "b"),
             f"links-{name}",
         )
-        for table in ("sets", "passed", "pairs", "holders"):
+        for table in ("sets", "passed", "holders"):
             self.scratch.drop(f"{table}-{name}")
         return found
 
+    def holders(self, pairs: DataFrame, name: str):
+        """A broadcast set filter of, for each end of the pairs, the smallest document with that set."""
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        firsts = self.linkable.select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        held = self.scratch.save(firsts.join(ends, "fp", "left_semi").select("doc_id"), f"holders-{name}")
+        return self.context.broadcast(set_filter(held, held.count()))
+
 
 def _across(tokens: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b, na, nb) sharing a shingle whose ends are in different groups.
