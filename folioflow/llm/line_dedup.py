@@ -149,7 +149,8 @@ def deduplicated_documents(
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - F.lit(1)), F.col("cut"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    joined = keyed.join(cuts, "__row", "left").drop("__row")
+    # a merge at every size: texts move once, and the plan does not turn with the number of cuts
+    joined = keyed.join(cuts.hint("merge"), "__row", "left").drop("__row")
     return joined.select(
         *[c for c in documents.columns if c != "text"],
         F.when(F.col("cut").isNull(), F.col("text")).otherwise(shorter).alias("text"),
