@@ -135,27 +135,28 @@ def deduplicated_documents(
 ) -> DataFrame:
     """All rows and columns, text without later copies of repeated line runs; and n_lines, n_deleted.
 
-    n_lines counts the lines of the given text, n_deleted those cut from it.
+    n_lines counts the lines of the given text, n_deleted those cut from it; given columns of these
+    names are replaced.
     """
     cuts = scratch.save(
         later_runs(documents, scratch, min_words)
         .groupBy("doc_id", "row")
         .agg(F.array_distinct(F.flatten(F.collect_set("raws"))).alias("cut")),
         "cuts",
-    ).select(F.col("row").alias("__row"), "cut")
+    ).select(F.col("row").alias("__row"), F.col("cut").alias("__cut"))
     keyed = documents.withColumn(
         "__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
     )
     parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - F.lit(1)), F.col("cut"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - F.lit(1)), F.col("__cut"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     # a merge at every size: texts move once, and the plan does not turn with the number of cuts
     joined = keyed.join(cuts.hint("merge"), "__row", "left").drop("__row")
     return joined.select(
-        *[c for c in documents.columns if c != "text"],
-        F.when(F.col("cut").isNull(), F.col("text")).otherwise(shorter).alias("text"),
+        *[c for c in documents.columns if c not in ("text", "n_lines", "n_deleted")],
+        F.when(F.col("__cut").isNull(), F.col("text")).otherwise(shorter).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).alias("n_deleted"),
+        F.coalesce(F.size("__cut"), F.lit(0)).alias("n_deleted"),
     )
 
 

@@ -7,6 +7,7 @@ from folioflow.llm.chat import OP3_SQL, op3_chat_format
 from folioflow.llm.decontamination import OP5_SQL, op5_spaced_seed_overlaps
 from folioflow.llm.jaccard import op10_ngram_jaccard
 from folioflow.llm.langid import op9_language
+from folioflow.llm.licenses import OP4_SQL, op4_license_scan
 from folioflow.llm.line_dedup import OP1_SQL, op1_line_dedup
 from folioflow.llm.quality import op2_quality
 from folioflow.llm.vectors import op8_near_vectors
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
     "op5_spaced_seed_overlaps": op5_spaced_seed_overlaps,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_warc": op7_warc,
@@ -27,6 +29,7 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_license_scan": OP4_SQL,
     "op5_spaced_seed_overlaps": OP5_SQL,
     "op7_warc": OP7_SQL,
 }

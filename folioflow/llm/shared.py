@@ -132,9 +132,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, counts
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints of all words of a column, A-Z lower-cased, and each row's number of words."""
+def word_hashes(column: pa.Array, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit fingerprints of all words of a column, A-Z lower-cased, and each row's number of words.
+
+    `fold` gives the byte that each byte counts as; without it every byte counts as itself.
+    """
     data, offsets = column_bytes(column)
+    data = data if fold is None else fold[data]
     starts, ends, counts = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
