@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioflow import vocab
 from folioflow.functions.text import (
+    WHITESPACE,
     WS,
     collapse_whitespace,
     empty_to_null,
@@ -22,8 +23,10 @@ from folioflow.functions.text import (
 _EDGE_BEFORE = "(?<![A-Za-z0-9])"
 _EDGE_AFTER = "(?![A-Za-z0-9])"
 _STOP_TAIL = r"(?i)(?:-(?:%s))+\z" % "|".join(vocab.CALL_ID_STOP_TOKENS)
-_TERMINATORS = vocab.BLOCK_HEADINGS + tuple(sorted(h.title() for h in vocab.GUIDANCE_HEADINGS))
-_BULLET = rf"(?U)\A[ \t]*(?:[-*•]|\d+\.){WS}+"
+# what a line of a call text can begin with; everything else is body
+_HEADINGS = (*(h.lower() for h in vocab.BLOCK_HEADINGS), *vocab.GUIDANCE_HEADINGS)
+_LABELS = ("topic title", "topic", "destination", "cluster")
+_KNOWN = tuple(dict.fromkeys((*_HEADINGS, *_LABELS)))
 _LINE_END = "[\\n\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _PARAGRAPH_BREAK = rf"(?U)\n{WS}*\n"
 
@@ -65,71 +68,116 @@ def topic_id_of(text: Column) -> Column:
     return let(_topic_digits(text), empty_to_null)
 
 
-def _label_value(text: Column, label: str) -> Column:
-    return strip(
-        F.regexp_extract(
-            text, rf"(?imd)^[ \t]*{re.escape(label)}[ \t]*:[ \t]*(.+?)[ \t]*$", 1
+def classified(text: Column) -> Column:
+    """Struct of a text's ``lines`` and the ``marks`` among them.
+
+    A mark is a line whose part before the first colon is a known heading or label: its line number
+    ``at``, that part in lower case as ``name``, and ``rest``, what follows the colon (null without
+    one). All finds are made on the marks, so a text is read once.
+    """
+
+    def mark(line: Column, at: Column) -> Column:
+        cut = F.instr(line, ":")
+        before = F.when(cut > 0, F.substring(line, F.lit(1), cut - 1)).otherwise(line)
+        return F.struct(
+            at.alias("at"),
+            F.lower(F.btrim(before, F.lit(" \t"))).alias("name"),
+            F.when(cut > 0, F.substring(line, cut + 1, F.length(line))).alias("rest"),
         )
+
+    def over(lines: Column) -> Column:
+        known = F.filter(F.transform(lines, mark), lambda m: m["name"].isin(*_KNOWN))
+        return F.struct(lines.alias("lines"), known.alias("marks"))
+
+    return let(F.split(text, "\n"), over)
+
+
+def _first(marks: Column, wanted: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(marks, wanted), F.lit(0))
+
+
+def _label_value(parts: Column, label: str) -> Column:
+    """Text after the first ``Label:`` line that has any; null if none has."""
+    return strip(_first(parts["marks"], lambda m: (m["name"] == label.lower()) & (F.length(m["rest"]) > 0))["rest"])
+
+
+def _block(parts: Column, heading: str) -> Column:
+    """Lines between a bare heading line and the next line that begins with a heading."""
+
+    def between(start: Column) -> Column:
+        after = _first(parts["marks"], lambda m: (m["at"] > start["at"]) & m["name"].isin(*_HEADINGS))
+        stop = F.coalesce(after["at"], F.size(parts["lines"]))
+        body = F.slice(parts["lines"], start["at"] + 2, stop - start["at"] - 1)
+        return F.when(start.isNotNull(), strip(F.array_join(body, "\n")))
+
+    bare = _first(
+        parts["marks"],
+        lambda m: (m["name"] == heading.lower())
+        & F.coalesce(F.btrim(m["rest"], F.lit(" \t")) == "", F.lit(True)),
     )
+    return let(bare, between)
 
 
 def labelled_line(text: Column, *labels: str) -> Column:
     """Value after ``Label:`` on one line; labels are tried in the given order."""
-    return F.coalesce(*[let(_label_value(text, label), empty_to_null) for label in labels])
-
-
-def _block(text: Column, heading: str) -> Column:
-    stops = "|".join(re.escape(t) for t in _TERMINATORS)
-    return strip(
-        F.regexp_extract(
-            text,
-            rf"(?imd)^[ \t]*{re.escape(heading)}[ \t]*:?[ \t]*$((?s:.*?))"
-            rf"(?=^[ \t]*(?:{stops})[ \t]*(?::|$)|\z)",
-            1,
-        )
+    return let(
+        classified(text),
+        lambda parts: F.coalesce(*[empty_to_null(_label_value(parts, label)) for label in labels]),
     )
 
 
 def block_after(text: Column, heading: str) -> Column:
     """Text below a heading line, up to the next known heading line or the end."""
-    return let(_block(text, heading), empty_to_null)
+    return let(classified(text), lambda parts: empty_to_null(_block(parts, heading)))
+
+
+def _without_bullet(line: Column) -> Column:
+    """What follows a bullet (a sign, or digits and a dot, then white space); null for other lines."""
+    body = F.ltrim(line, F.lit(" \t"))
+    digits = F.length(body) - F.length(F.ltrim(body, F.lit("0123456789")))
+    numbered = (digits > 0) & (F.substring(body, digits + 1, F.lit(1)) == ".")
+    after = (
+        F.when(F.left(body, F.lit(1)).isin(*vocab.BULLET_SIGNS), F.substring(body, F.lit(2), F.length(body)))
+        .when(numbered, F.substring(body, digits + 2, F.length(body)))
+    )
+    trimmed = F.ltrim(after, F.lit(WHITESPACE))
+    return F.when(F.length(trimmed) < F.length(after), trimmed)
 
 
 def split_bullets(block: Column) -> Column:
-    """Bullets of a block; continuation lines join the open bullet.
+    """Bullets of a block; lines that follow a bullet belong to it.
 
-    Without any bullet marker every paragraph is one entry.
+    Without any bullet every paragraph is one entry.
     """
 
-    def bullets(lines: Column) -> Column:
-        starts = F.filter(
-            F.transform(lines, lambda x, i: F.when(x.rlike(_BULLET), i)),
-            lambda i: i.isNotNull(),
+    def group(kinds: Column) -> Column:
+        """One entry per bullet: an accumulator of finished entries, a line at a time."""
+        none = F.array().cast("array<string>")
+
+        def add(done: Column, line: Column) -> Column:
+            last = F.element_at(done, -1)
+            longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", last, line["body"])))
+            return (
+                F.when(line["bullet"], F.concat(done, F.array(line["body"])))
+                .when((F.size(done) == 0) | (line["body"] == ""), done)
+                .otherwise(longer)
+            )
+
+        entries = F.aggregate(kinds, none, add)
+        return F.filter(F.transform(entries, strip), lambda e: e != "")
+
+    def kind(line: Column) -> Column:
+        return let(
+            _without_bullet(line),
+            lambda rest: F.struct(rest.isNotNull().alias("bullet"), strip(F.coalesce(rest, line)).alias("body")),
         )
 
-        def from_starts(at: Column) -> Column:
-            def one(start: Column, k: Column) -> Column:
-                stop = F.coalesce(F.get(at, k + 1), F.size(lines))
-                parts = F.transform(
-                    F.slice(lines, start + 1, stop - start),
-                    lambda x, j: strip(
-                        F.when(j == 0, F.regexp_replace(x, _BULLET, "")).otherwise(x)
-                    ),
-                )
-                kept = F.filter(parts, lambda x, j: (j == 0) | (x != ""))
-                return strip(F.array_join(kept, " "))
-
-            return F.filter(F.transform(at, one), lambda b: b != "")
-
-        paragraphs = F.filter(
-            F.transform(F.split(block, _PARAGRAPH_BREAK), strip), lambda p: p != ""
-        )
-        return F.when(F.exists(lines, lambda x: x.rlike(_BULLET)), let(starts, from_starts)).otherwise(
-            paragraphs
-        )
+    def entries(kinds: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(block, _PARAGRAPH_BREAK), strip), lambda p: p != "")
+        return F.when(F.exists(kinds, lambda k: k["bullet"]), group(kinds)).otherwise(paragraphs)
 
-    split = let(F.split(block, _LINE_END), bullets)
-    return F.when(is_blank(block), F.array().cast("array<string>")).otherwise(split)
+    found = let(F.transform(F.split(block, _LINE_END), kind), entries)
+    return F.when(is_blank(block), F.array().cast("array<string>")).otherwise(found)
 
 
 def collapse_paragraphs(block: Column) -> Column:
@@ -140,34 +188,40 @@ def collapse_paragraphs(block: Column) -> Column:
     return let(F.array_join(kept, "\n\n"), empty_to_null)
 
 
-def section_guidance(text: Column) -> Column:
-    """Map of section type to its guidance block, for the headings that are present."""
+def _guidance(parts: Column) -> Column:
     pairs: list[Column] = []
     for heading, section in vocab.GUIDANCE_HEADINGS.items():
-        pairs += [F.lit(section), _block(text, heading)]
-    return F.map_filter(F.create_map(*pairs), lambda _k, v: v != "")
+        pairs += [F.lit(section), _block(parts, heading)]
+    return F.map_filter(F.create_map(*pairs), lambda _k, v: F.coalesce(v != "", F.lit(False)))
+
+
+def section_guidance(text: Column) -> Column:
+    """Map of section type to its guidance block, for the headings that are present."""
+    return let(classified(text), _guidance)
 
 
 def topic_context(text: Column, source_path: Column | None = None) -> Column:
     """Struct of every field that can be read out of a call text.
 
-    Each pattern scans the text once: the raw finds are bound first, and everything derived
-    from them works on the short finds.
+    The lines are classified once; every field is found on the few marked ones.
     """
     path = F.lit(None).cast("string") if source_path is None else source_path
 
     def finds(t: Column) -> Column:
-        return F.struct(
-            t.alias("text"),
-            _call_run(t).alias("run"),
-            _topic_digits(t).alias("topic"),
-            _label_value(t, "Topic title").alias("title"),
-            _label_value(t, "Topic").alias("short_title"),
-            _label_value(t, "Destination").alias("destination"),
-            _label_value(t, "Cluster").alias("cluster"),
-            _block(t, "Expected Outcomes").alias("outcomes"),
-            _block(t, "Scope").alias("scope"),
-            section_guidance(t).alias("guidance"),
+        return let(
+            F.struct(t.alias("text"), classified(t).alias("parts")),
+            lambda x: F.struct(
+                x["text"].alias("text"),
+                _call_run(x["text"]).alias("run"),
+                _topic_digits(x["text"]).alias("topic"),
+                _label_value(x["parts"], "topic title").alias("title"),
+                _label_value(x["parts"], "topic").alias("short_title"),
+                _label_value(x["parts"], "destination").alias("destination"),
+                _label_value(x["parts"], "cluster").alias("cluster"),
+                F.coalesce(_block(x["parts"], "expected outcomes"), F.lit("")).alias("outcomes"),
+                F.coalesce(_block(x["parts"], "scope"), F.lit("")).alias("scope"),
+                _guidance(x["parts"]).alias("guidance"),
+            ),
         )
 
     def fields(f: Column) -> Column:

@@ -126,6 +126,7 @@ BLOCK_HEADINGS = (
     "Cluster",
     "Expected Outcomes",
 )
+BULLET_SIGNS = ("-", "*", "•")
 PORTAL_HOSTS = ("ec.europa.eu", "commission.europa.eu")
 PORTAL_TOPIC_SHAPE = r"[A-Za-z0-9][A-Za-z0-9-]{6,}-[A-Za-z0-9-]+"
 
