@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from folioflow.llm.shared import Scratch
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("decimal(20,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("u").alias("node"), one.alias("hangs"), none.alias("holds")).union(
+        edges.select("v", none, one)
+    )
+    sums = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return sums.where("hangs > 1 OR (hangs > 0 AND holds > 0)").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -28,14 +31,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{name}-0",
     )
-    seen, turn = _digest(current), 0
-    while seen[0]:
+    turn = 0
+    while not _settled(current):
         turn += 1
         both = current.union(current.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (
             both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
+        )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = (
@@ -43,12 +46,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             .union(joined.select(F.col("u"), F.col("m").alias("v")))
             .distinct()
         )
-        following = scratch.save(small, f"{name}-{turn}")
+        current = scratch.save(small, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        now = _digest(following)
-        current = following
-        if now == seen:
-            break
-        seen = now
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(current.select(F.col("v"), F.col("v")).distinct())

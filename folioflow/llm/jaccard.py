@@ -9,7 +9,8 @@ bound the symmetric difference from below, so they lose nothing).
 A shingle of many documents must not become all their pairs. Sets are nodes of a graph, so equal
 sets are one node, and work runs in two steps that together are exact for connected groups:
 
-1. Each document is compared with one pivot per prefix shingle (linear). Links make groups.
+1. Each document is compared with one pivot per prefix shingle (linear), the one whose shingles are
+   shared most. Links make groups. Once more, with pivots outside each shingle's largest group.
 2. Candidate pairs whose ends are still in different groups are compared, driven by the documents
    outside the shingle's largest group. Pairs inside a group can add nothing.
 
@@ -25,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
@@ -73,11 +74,14 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _first_order(found: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix by corpus frequency, rarest first; ties by the hash."""
+    """The ranks of the prefix by corpus frequency, rarest first, ties by the hash; in order.
+
+    A rank, the level above 58 bits of the hash, names its shingle.
+    """
     places = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     rank = (level[places].astype(np.uint64) << np.uint64(58)) | (found & np.uint64((1 << 58) - 1))
     p = prefix_length(len(found), percent)
-    return found[np.argpartition(rank, p - 1)[:p]] if p < len(found) else found
+    return np.sort(np.partition(rank, p - 1)[:p] if p < len(found) else rank).view(np.int64)
 
 
 def _hash_order(found: np.ndarray, seed: int, percent: int) -> np.ndarray:
@@ -94,7 +98,7 @@ def profiles(documents: DataFrame, levels, k: int = WORDS, percent: int = PERCEN
     def describe(batches):
         for piece in text_chunks(batches):
             sets = [found for _, found in _sets(piece, k)]
-            prefixes = [_first_order(s, levels.value, percent).view(np.int64) if len(s) else None for s in sets]
+            prefixes = [_first_order(s, levels.value, percent) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id").cast(pa.int64()),
@@ -189,21 +193,30 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _tokens(rows: DataFrame, shared) -> DataFrame:
-    """(token, fp, n) of prefix shingles that pass a set filter."""
+    """(token, fp, n, pos, last, size) of prefix shingles that pass a set filter.
+
+    pos is the place in the prefix, last its last shingle, size its length.
+    """
 
     def spread(batches):
         for batch in batches:
             prefix = batch.column("prefix")
             values = prefix.flatten().to_numpy()
             kept = may_hold(shared.value, values)
-            lengths = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            lengths = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            stops = np.cumsum(lengths)
             row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
+            pos = (np.arange(len(values)) - np.repeat(stops - lengths, lengths))[kept]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[kept]), batch.column("fp").take(row), batch.column("n_shingles").take(row)],
-                names=["token", "fp", "n"],
+                [
+                    pa.array(values[kept]), batch.column("fp").take(row), batch.column("n_shingles").take(row),
+                    pa.array(pos), pa.array(values[stops[row] - 1]), pa.array(lengths[row]),
+                ],
+                names=["token", "fp", "n", "pos", "last", "size"],
             )
 
-    return rows.select("fp", "n_shingles", "prefix").mapInArrow(spread, "token bigint, fp bigint, n bigint")
+    schema = "token bigint, fp bigint, n bigint, pos bigint, last bigint, size bigint"
+    return rows.select("fp", "n_shingles", "prefix").mapInArrow(spread, schema)
 
 
 class _Join:
@@ -217,29 +230,34 @@ class _Join:
         self.linkable = self.rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
 
     def shared_shingles(self) -> DataFrame:
-        """(token, fp, n, pivot) of every prefix shingle that different sets share."""
+        """(token, fp, n, pos, last, own, score) of the prefix shingles that different sets share.
+
+        Of shingles that exactly the same sets hold, the first stands for all. The score is the share of
+        a set's shingles that others have in their prefixes, too: an original scores above its
+        changed copies. `own` is the number of shingles in its prefix that are in no other prefix.
+        """
         held = self.linkable.select(F.explode("prefix").alias("token"), "fp")
-        pivots = (
-            held.groupBy("token")
-            .agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
-            .where("pivot <> last")
-            .drop("last")
+        several = held.groupBy("token").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
+        several = self.scratch.save(several.where("least <> most").select("token"), "several")
+        passing = self.context.broadcast(set_filter(several, several.count()))
+        held = self.scratch.save(_tokens(self.linkable, passing).distinct(), "held")
+        lists = held.groupBy("token").agg(
+            F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("x"),
+            F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
+        )
+        chosen = lists.where("sets > 1").groupBy("sets", "x", "y").agg(F.min("token").alias("token"))
+        scores = held.groupBy("fp").agg(
+            (F.count("*") / F.max("n")).alias("score"), (F.max("size") - F.count("*")).alias("own")
         )
-        pivots = self.scratch.save(pivots, "pivots")
-        shared = self.context.broadcast(set_filter(pivots.select("token"), pivots.count()))
-        tokens = self.scratch.save(_tokens(self.linkable, shared).join(pivots, "token"), "tokens")
-        self.scratch.drop("pivots")
+        tokens = held.join(chosen.select("token"), "token").join(scores, "fp")
+        tokens = self.scratch.save(tokens.select("token", "fp", "n", "pos", "last", "own", "score"), "tokens")
+        self.scratch.drop("held")
+        self.scratch.drop("several")
         return tokens
 
-    def sizes(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the set sizes na and nb."""
-        sizes = self.linkable.groupBy("fp").agg(F.max("n_shingles").alias("n"))
-        return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b, na, nb), those that reach the threshold."""
-        fits = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
-        wanted = self.scratch.save(pairs.where(fits).distinct(), f"pairs-{name}")
+        wanted = self.scratch.save(pairs.distinct(), f"pairs-{name}")
         signatures = self.scratch.save(
             _signatures(self.documents, self.holders(wanted, name), self.k, self.percent), f"signatures-{name}"
         )
@@ -277,40 +295,79 @@ class _Join:
         return self.context.broadcast(set_filter(held, held.count()))
 
 
-def _across(tokens: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b, na, nb) sharing a shingle whose ends are in different groups.
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and prefixes leave it open that two sets reach the threshold.
 
-    One end is always outside the shingle's largest group, so a shingle of one large group and few
-    others gives few pairs.
+    What is in the prefix that ends first and in the other set is in the other prefix, too. So the
+    shingles that only this prefix has are not common to the two sets.
     """
-    held = scratch.save(
-        tokens.select("token", "fp", "n")
-        .distinct()
-        .join(groups.toDF("fp", "component"), "fp", "left")
-        .select("token", "fp", "n", F.coalesce("component", "fp").alias("component")),
-        "grouped",
+    nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
+    common = F.when(F.col(f"{x}_last") <= F.col(f"{y}_last"), nx - F.col(f"{x}_own")).otherwise(ny - F.col(f"{y}_own"))
+    sizes = F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)
+    return sizes & (F.lit(100 + percent) * common >= F.lit(percent) * (nx + ny))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    """Columns a, b, na, nb of a pair of sets, in the order of their numbers."""
+    first = F.col(x) < F.col(y)
+    nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
+    return [
+        F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
+        F.when(first, nx).otherwise(ny).alias("na"), F.when(first, ny).otherwise(nx).alias("nb"),
+    ]
+
+
+def _first_common(x: str, y: str, percent: int) -> Column:
+    """Whether the shingle can be the first that two sets share: enough of both must follow it."""
+    nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
+    after = F.least(nx - F.col(f"{x}_pos"), ny - F.col(f"{y}_pos"))
+    return F.lit(100 + percent) * after >= F.lit(percent) * (nx + ny)
+
+
+_OF_SET = ("n", "pos", "last", "own")
+
+
+def _stars(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each shingle's set of highest score with its other sets."""
+    pivots = tokens.groupBy("token").agg(F.max(F.struct("score", "fp", *_OF_SET)).alias("top"))
+    pivots = pivots.select("token", F.col("top.fp").alias("pivot"), *[F.col(f"top.{c}").alias(f"pivot_{c}") for c in _OF_SET])
+    others = tokens.select("token", "fp", *[F.col(c).alias(f"fp_{c}") for c in _OF_SET])
+    pairs = others.join(pivots, "token").where((F.col("fp") != F.col("pivot")) & _possible("fp", "pivot", percent))
+    return pairs.select(*_pair("fp", "pivot"))
+
+
+def _open(tokens: DataFrame, groups: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of the shingles whose sets are in several groups, with `component` and the largest, `main`."""
+    held = tokens.join(groups.toDF("fp", "component"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
     )
+    held = scratch.save(held, f"{name}-grouped")
     sizes = held.groupBy("token", "component").agg(F.count("*").alias("size"))
     mixed = (
         sizes.groupBy("token")
         .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"))
         .where("kinds > 1")
-        .drop("kinds")
-    )
-    open_rows = scratch.save(held.join(mixed, "token"), "open")
-    scratch.drop("grouped")
-    minor = open_rows.where("component <> main").select(
-        "token", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")
-    )
-    meets = open_rows.join(minor, "token").where(
-        "component <> cx AND (component = main OR x < fp)"
+        .select("token", "main")
     )
-    return meets.select(
-        F.least("x", "fp").alias("a"),
-        F.greatest("x", "fp").alias("b"),
-        F.when(F.col("x") < F.col("fp"), F.col("nx")).otherwise(F.col("n")).alias("na"),
-        F.when(F.col("x") < F.col("fp"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
+    rows = scratch.save(held.join(mixed, "token"), name)
+    scratch.drop(f"{name}-grouped")
+    return rows
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between the groups of each shingle.
+
+    One end is always outside the shingle's largest group, so a shingle of one large group and few
+    others gives few pairs. A pair comes from the first shingle that it shares, which lies early in
+    both prefixes; there a changed copy has shingles of its own.
+    """
+    minor = rows.where("component <> main").select(
+        "token", F.col("fp").alias("x"), F.col("component").alias("cx"), *[F.col(c).alias(f"x_{c}") for c in _OF_SET]
     )
+    others = rows.select("token", "fp", "component", "main", *[F.col(c).alias(f"fp_{c}") for c in _OF_SET])
+    between = F.expr("component <> cx AND (component = main OR x < fp)")
+    fits = between & _possible("x", "fp", percent) & _first_common("x", "fp", percent)
+    return others.join(minor, "token").where(fits).select(*_pair("x", "fp"))
 
 
 def jaccard_groups(
@@ -323,13 +380,19 @@ def jaccard_groups(
     """
     join = _Join(documents, scratch, k, percent)
     tokens = join.shared_shingles()
-    stars = tokens.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-    near = join.links(join.sizes(stars), "pivot")
-    groups = components(near, scratch, "groups")
-    rest = join.links(_across(tokens, groups, scratch), "rest")
-    scratch.drop("open")
-    final = components(near.union(rest), scratch, "final")
+    links = join.links(_stars(tokens, percent), "stars")
+    groups = components(links, scratch, "groups")
+    rows = _open(tokens, groups, scratch, "open")
     scratch.drop("tokens")
+    # what hangs together but not on the first pivots: pivots outside the largest group
+    more = join.links(_stars(rows.where("component <> main"), percent), "more")
+    links = scratch.save(links.union(more), "links")
+    groups = components(links, scratch, "regrouped")
+    rows = _open(rows.drop("component", "main"), groups, scratch, "reopened")
+    scratch.drop("open")
+    rest = join.links(_across(rows, percent), "rest")
+    scratch.drop("reopened")
+    final = components(links.union(rest), scratch, "final")
 
     named = join.linkable.join(final.toDF("fp", "component"), "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "fp").alias("component")

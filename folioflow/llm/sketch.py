@@ -1,7 +1,7 @@
 """Arrays of fixed size that all tasks fill together: counters and set filters.
 
-Each task fills its own array and sends the blocks it touched; blocks meet by number, first within a
-few salts, so no task gets more than a share of them. The driver receives one array whose size is a
+Each task fills its own array and sends the blocks it touched; blocks meet by number and a salt, so no
+task gets more than a share of them. The driver receives at most one array per salt, whose size is a
 parameter, whatever the corpus.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from folioflow.llm.shared import mix
 
 _BLOCK = 4096
-_SALTS = 16
+_SALTS = 4
 _SCHEMA = "block int, salt int, data binary"
 
 
@@ -51,11 +51,11 @@ def filled(table: DataFrame, fill: Callable, size: int, dtype: type, join: np.uf
         )
 
     parts = table.mapInArrow(own, _SCHEMA).groupBy("block", "salt").applyInArrow(meet, _SCHEMA)
-    parts = parts.groupBy("block").applyInArrow(meet, _SCHEMA)
     out = np.zeros(size, dtype)
-    for row in parts.toLocalIterator():  # at most size / 4096 rows
+    for row in parts.collect():  # at most four rows a block
         values = np.frombuffer(row["data"], dtype)
-        out[row["block"] * _BLOCK : row["block"] * _BLOCK + len(values)] = values
+        place = out[row["block"] * _BLOCK : row["block"] * _BLOCK + len(values)]
+        join(place, values, out=place)
     return out
 
 
