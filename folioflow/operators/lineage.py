@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +11,16 @@ BROADCAST_ROWS = 200_000
 def materialise(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names, so lost executors cost nothing.
 
-    Only where neither the session nor the context names one (tests) a temporary folder is
-    used.
+    The folder is that of spark.checkpoint.dir or setCheckpointDir(). Without one this raises: a
+    folder that is guessed here would be one that no other node sees.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

@@ -1,17 +1,22 @@
-"""The stored chunk table: append-only batches with a commit marker.
+"""The stored chunk table: append-only versions with a commit marker.
 
-    <path>/chunks/collection=C/batch=N     rows written by batch N
-    <path>/removed/collection=C/batch=N    chunk ids of earlier batches that N supersedes
-    <path>/commits/collection=C/batch=N    written last; a batch without it does not exist
+    <path>/<collection>/chunks/batch=N     rows written by version N
+    <path>/<collection>/removed/batch=N    chunk ids of earlier versions that N supersedes
+    <path>/<collection>/commits/batch=N    written last; a version without it does not exist
 
-A change costs as much as the change: nothing that is stored gets rewritten, and no path is
-ever read and written at once. Readers see a batch whole or not at all. Writing a batch
-number again overwrites its own folders, so a retried micro-batch is harmless.
+A collection is a folder of its own, named by its whole text. A change costs as much as the change:
+nothing that is stored gets rewritten, and no path is ever read and written at once. Readers see a
+version whole or not at all.
+
+Versions are numbered by the table alone. A stream's batch is known by (stream, batch id), which its
+commit holds: a batch that is tried again is skipped, and no other write can take its place. There is
+one writer at a time per collection.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +33,34 @@ class ChunkTable:
 
     # --- reading -----------------------------------------------------------------------
 
+    def _folder(self, kind: str) -> str:
+        name = quote(self.collection, safe="")
+        return f"{self.path}/collection-{name}/{kind}"
+
     def _part(self, kind: str) -> DataFrame | None:
         try:
-            df = self.spark.read.parquet(f"{self.path}/{kind}")
-        except AnalysisException:
-            return None
-        return df.filter(F.col("collection") == self.collection)
-
-    def commits(self) -> list[tuple[int, str]]:
-        """(batch, op) of this collection, oldest first; one small row per batch."""
+            return self.spark.read.parquet(self._folder(kind))
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def _log(self) -> list[tuple[int, str, str | None, int | None]]:
+        """(version, op, stream, stream batch), oldest first; one small row per version."""
         df = self._part("commits")
         if df is None:
             return []
-        return sorted((r["batch"], r["op"]) for r in df.select("batch", "op").collect())
+        rows = df.select("batch", "op", "stream", "stream_batch").collect()
+        return sorted((r["batch"], r["op"], r["stream"], r["stream_batch"]) for r in rows)
+
+    def commits(self) -> list[tuple[int, str]]:
+        """(version, op) of this collection, oldest first."""
+        return [(version, op) for version, op, _, _ in self._log()]
+
+    def version_of(self, stream: str, stream_batch: int) -> int | None:
+        """The version that stored a stream's batch; None if none has."""
+        found = [v for v, _, s, b in self._log() if (s, b) == (stream, stream_batch)]
+        return found[0] if found else None
 
     def _live_batches(self, before: int | None = None) -> list[int]:
         log = [(b, op) for b, op in self.commits() if before is None or b < before]
@@ -52,7 +72,7 @@ class ChunkTable:
         return log[-1][0] + 1 if log else 0
 
     def read(self, before: int | None = None) -> DataFrame | None:
-        """Live chunks (of batches before ``before``); None while nothing was written.
+        """Live chunks (of versions before ``before``); None while nothing was written.
 
         A row lives unless a later batch names its chunk id. The list of superseded ids is
         short next to the table, so Spark usually broadcasts it.
@@ -73,7 +93,7 @@ class ChunkTable:
                 F.col("removed_in").isNull() | (F.col("removed_in") <= F.col("batch"))
             )
             chunks = chunks.drop("removed_in")
-        return chunks.drop("batch", "collection")
+        return chunks.drop("batch")
 
     def count(self) -> int:
         live = self.read()
@@ -82,33 +102,35 @@ class ChunkTable:
     # --- writing -----------------------------------------------------------------------
 
     def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        folder = f"{self.path}/{kind}/collection={self.collection}/batch={batch}"
-        df.write.mode("overwrite").parquet(folder)
-
-    def _committed(self, batch: int) -> bool:
-        return any(b == batch for b, _ in self.commits())
+        df.write.mode("overwrite").parquet(f"{self._folder(kind)}/batch={batch}")
 
-    def _commit(self, batch: int, op: str) -> None:
-        marker = self.spark.createDataFrame([(op,)], "op string").coalesce(1)
-        self._write(marker, "commits", batch)
+    def _commit(self, batch: int, op: str, source: tuple[str, int] | None = None) -> None:
+        stream, number = source or (None, None)
+        row = [(op, stream, number)]
+        marker = self.spark.createDataFrame(row, "op string, stream string, stream_batch bigint").coalesce(1)
+        # fails if another writer took the number
+        marker.write.mode("errorifexists").parquet(f"{self._folder('commits')}/batch={batch}")
 
-    def upsert(self, new: DataFrame, batch: int | None = None) -> int:
+    def upsert(self, new: DataFrame, source: tuple[str, int] | None = None) -> int:
         """Insert or replace by chunk id."""
-        return self.replace_documents(None, new, batch)
+        return self.replace_documents(None, new, source)
 
     def replace_documents(
-        self, replaced: DataFrame | None, new: DataFrame | None, batch: int | None = None
+        self, replaced: DataFrame | None, new: DataFrame | None, source: tuple[str, int] | None = None
     ) -> int:
-        """Delete the documents in ``replaced`` and upsert ``new`` as one batch."""
-        batch = self.next_batch() if batch is None else batch
-        if self._committed(batch):
-            return batch
+        """Delete the documents in ``replaced`` and upsert ``new`` as one version; returns its number.
+
+        ``source`` is the (stream, batch id) that the rows come from, if any. What it has stored
+        before is not stored again.
+        """
+        stored = self.version_of(*source) if source else None
+        if stored is not None:
+            return stored
+        batch = self.next_batch()
         live = self.read(before=batch)
         if new is not None:
             self._write(new, "chunks", batch)
-            new = self.spark.read.parquet(
-                f"{self.path}/chunks/collection={self.collection}/batch={batch}"
-            )
+            new = self.spark.read.parquet(f"{self._folder('chunks')}/batch={batch}")
         if live is not None:
             gone = []
             if replaced is not None:
@@ -122,11 +144,11 @@ class ChunkTable:
                 for more in gone[1:]:
                     superseded = superseded.union(more)
                 self._write(superseded.distinct(), "removed", batch)
-        self._commit(batch, "write")
+        self._commit(batch, "write", source)
         return batch
 
-    def delete_documents(self, documents: DataFrame, batch: int | None = None) -> int:
-        return self.replace_documents(documents, None, batch)
+    def delete_documents(self, documents: DataFrame) -> int:
+        return self.replace_documents(documents, None)
 
     def drop(self) -> int:
         """Empty the collection; earlier batches stop being read."""

@@ -72,11 +72,14 @@ def read_proposals(spark: SparkSession, path: str) -> DataFrame:
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, document_id, content_hash, bytes) of every PDF below ``path``.
 
-    The extension test is case-insensitive, which a glob cannot say; it runs on the path
-    column. ``binaryFile`` holds one file per row, so a file is bounded by the 2 GB cell.
+    The glob keeps other files from being read at all. ``binaryFile`` holds one file per row, so a
+    file is bounded by the 2 GB cell.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.[pP][dD][fF]")
+        .load(path)
     ).filter(is_pdf(F.col("path")))
     return files.select(
         "path",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import is_blank
+
 
 def sorted_columns(df: DataFrame) -> DataFrame:
     """Column order decides JSON key order, so sorted columns give canonical lines."""
@@ -12,8 +14,8 @@ def sorted_columns(df: DataFrame) -> DataFrame:
 
 
 def append_log(events: DataFrame, path: str) -> None:
-    """Append one canonical JSON line per row; null fields are left out."""
-    sorted_columns(events).write.mode("append").json(path)
+    """Append one canonical JSON line per row; a null field is written as null."""
+    sorted_columns(events).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def export_lines(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> int:
@@ -21,6 +23,6 @@ def export_lines(spark: SparkSession, source: str, target: str, overwrite: bool
 
     Returns the number of lines that were written.
     """
-    lines = spark.read.text(source).filter(F.trim("value") != "")
+    lines = spark.read.text(source).filter(~is_blank(F.col("value")))
     lines.write.mode("overwrite" if overwrite else "errorifexists").text(target)
     return spark.read.text(target).count()

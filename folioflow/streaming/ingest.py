@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ KEYS = ("position", "document_id", "content_hash", "proposal_title", "call_id")
 def ingest_batch(
     table: ChunkTable,
     incoming: DataFrame,
-    batch: int,
+    source: tuple[str, int] | None = None,
     *,
     force: bool = False,
     sizes: ChunkSizes = ChunkSizes(),
@@ -34,11 +35,11 @@ def ingest_batch(
     """Decide, admit, chunk, embed and store one batch; returns the admission table.
 
     Decisions look only at key columns. Texts are read for admitted documents alone, so a
-    refused duplicate costs neither chunking nor a model call. Storing is idempotent per
-    batch number: a retried batch replaces its own uncommitted files.
+    refused duplicate costs neither chunking nor a model call. ``source`` is the (stream, batch
+    id) of the rows: a batch that is tried again is decided on the table as it was, and stored once.
     """
     keys = incoming.select(*KEYS)
-    live = table.read(before=batch)
+    live = table.read(before=table.version_of(*source) if source else None)
     if live is None:
         known = keys.limit(0).drop("position")
     else:
@@ -55,7 +56,7 @@ def ingest_batch(
     replaced = admitted.filter(F.col("replaced_document_id").isNotNull()).select(
         F.col("replaced_document_id").alias("document_id")
     )
-    table.replace_documents(replaced, chunks, batch)
+    table.replace_documents(replaced, chunks, source)
     return admitted
 
 
@@ -65,7 +66,9 @@ def ingest_stream(
     """Watch a folder of incoming documents (JSON lines) and keep the table current."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(table, batch, batch_id)
+        # the id is born with the checkpoint, so a new checkpoint is a new stream
+        stored = spark.read.text(f"{checkpoint}/metadata").first()["value"]
+        ingest_batch(table, batch, (json.loads(stored)["id"], batch_id))
 
     return (
         spark.readStream.schema(INCOMING)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -21,6 +22,7 @@ SESSION = (
     .config("spark.sql.session.timeZone", "UTC")
     .config("spark.ui.enabled", "false")
     .config("spark.driver.memory", "6g")
+    .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
     .getOrCreate()
 )
 SESSION.sparkContext.setLogLevel("ERROR")

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from folioflow.operators import dedup
+from folioflow.operators.lineage import materialise
 from folioflow.sources.chunk_table import ChunkTable
 
 ROW = "position bigint, document_id string, content_hash string, proposal_title string, call_id string"
@@ -130,16 +132,39 @@ def test_table_upsert_reindex_delete_drop(spark, tmp_path):
     assert _content(table) == [("z", "9")]
 
 
-def test_uncommitted_batch_is_invisible_and_retry_is_idempotent(spark, tmp_path):
+def test_uncommitted_version_is_invisible_and_a_stream_batch_is_stored_once(spark, tmp_path):
     table = ChunkTable(spark, str(tmp_path / "t"), "main")
-    table.upsert(spark.createDataFrame([("a", "a", "1")], CHUNK), batch=0)
+    table.upsert(spark.createDataFrame([("a", "a", "1")], CHUNK))
     # a writer that died before its commit
     table._write(spark.createDataFrame([("a", "a", "broken")], CHUNK), "chunks", 1)
     assert _content(table) == [("a", "1")]
     again = spark.createDataFrame([("a", "a", "2")], CHUNK)
-    table.upsert(again, batch=1)
-    table.upsert(spark.createDataFrame([("a", "a", "ignored")], CHUNK), batch=1)
+    assert table.upsert(again, ("stream", 0)) == 1
+    table.upsert(spark.createDataFrame([("a", "a", "tried again")], CHUNK), ("stream", 0))
     assert _content(table) == [("a", "2")]
+    # another stream, or another batch, is no second try
+    table.compact()
+    table.upsert(spark.createDataFrame([("b", "b", "3")], CHUNK), ("stream", 1))
+    table.upsert(spark.createDataFrame([("c", "c", "4")], CHUNK), ("new stream", 0))
+    assert _content(table) == [("a", "2"), ("b", "3"), ("c", "4")]
+    # a version number that is taken raises
+    with pytest.raises(AnalysisException):
+        table._commit(0, "write")
+
+
+def test_collections_with_like_names_are_apart(spark, tmp_path):
+    names = ("1", "01", "1.0", "a/b", "a%2Fb")
+    for name in names:
+        ChunkTable(spark, str(tmp_path / "t"), name).upsert(spark.createDataFrame([("a", "a", name)], CHUNK))
+    for name in names:
+        assert _content(ChunkTable(spark, str(tmp_path / "t"), name)) == [("a", name)]
+
+
+def test_checkpoints_need_a_named_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, *a: None)
+    with pytest.raises(ValueError):
+        materialise(spark.range(1))
 
 
 def test_summary_counts(spark):

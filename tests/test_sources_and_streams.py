@@ -70,7 +70,7 @@ def test_event_log_append_and_export(spark, tmp_path):
     event_log.append_log(events, log)
     event_log.append_log(events, log)
     lines = [r["value"] for r in spark.read.text(log).collect()]
-    assert lines == ['{"byte_count":2,"event_type":"export"}'] * 2
+    assert lines == ['{"a":null,"byte_count":2,"event_type":"export"}'] * 2
     _write(tmp_path / "log" / "part-extra.json", "\n  \n{}\n")
     assert event_log.export_lines(spark, log, out) == 3
     with pytest.raises(Exception):
@@ -213,6 +213,35 @@ def test_ingest_batch_with_repeated_id_keeps_the_last(spark, tmp_path):
     rows = [_incoming(1, "a", "h1", "A", "old"), _incoming(2, "a", "h2", "A", "new")]
     _write(tmp_path / "in" / "1.json", "\n".join(map(json.dumps, rows)))
     batch = spark.read.schema(ingest.INCOMING).json(str(tmp_path / "in"))
-    outcome = ingest.ingest_batch(table, batch, 0)
+    outcome = ingest.ingest_batch(table, batch, ("files", 0))
     assert [r["text"] for r in table.read().collect()] == ["new"]
     assert sorted(r["outcome"] for r in outcome.collect()) == ["added", "reindexed"]
+
+
+def test_no_stream_batch_is_lost_to_other_writes_or_a_new_checkpoint(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"), "main")
+    inbox = tmp_path / "in"
+
+    def run(checkpoint="cp"):
+        ingest.ingest_stream(spark, str(inbox), table, str(tmp_path / checkpoint)).awaitTermination()
+        return sorted(r["document_id"] for r in table.read().select("document_id").distinct().collect())
+
+    _write(inbox / "1.json", json.dumps(_incoming(1, "a", "h1", "A", "text a")))
+    assert run() == ["a"]
+    table.compact()
+    _write(inbox / "2.json", json.dumps(_incoming(2, "b", "h2", "B", "text b")))
+    assert run() == ["a", "b"]
+    table.upsert(table.read().withColumn("chunk_id", F.concat("chunk_id", F.lit("x"))).withColumn("document_id", F.lit("u")))
+    _write(inbox / "3.json", json.dumps(_incoming(3, "c", "h3", "C", "text c")))
+    assert run() == ["a", "b", "c", "u"]
+    table.drop()
+    _write(inbox / "4.json", json.dumps(_incoming(4, "d", "h4", "D", "text d")))
+    assert run() == ["d"]
+    assert run("another") == ["a", "b", "c", "d"]
+
+
+def test_export_leaves_out_lines_of_any_white_space(spark, tmp_path):
+    _write(tmp_path / "log" / "a.json", '{"a": 1}\n\t\t\n   \n{"b": 2}\n')
+    assert event_log.export_lines(spark, str(tmp_path / "log"), str(tmp_path / "out")) == 2
+    event_log.append_log(spark.createDataFrame([(None, 1)], "b string, a int"), str(tmp_path / "new"))
+    assert spark.read.text(str(tmp_path / "new")).first()["value"] == '{"a":1,"b":null}'
