@@ -83,8 +83,16 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", spread=True).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
+def text_keys() -> list[Column]:
+    """What proposal metadata needs of a text; taken before any join, so that no text is shuffled."""
+    return [
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"),
+        content_hash(F.col("text")).alias("content_hash"),
+    ]
+
+
 def proposal_columns() -> list[Column]:
-    """Proposal metadata of a labelled document row."""
+    """Proposal metadata of a labelled document row that has its text_keys()."""
     doc = F.col("doc_id")
     return [
         doc_key(doc).alias("document_id"),
@@ -93,17 +101,18 @@ def proposal_columns() -> list[Column]:
         F.when(doc % 3 == 0, (900000 + doc % 100000).cast("string")).alias("topic_id"),
         (2014 + doc % 12).cast("int").alias("year"),
         outcome_of(F.col("quality"), F.col("toxic")).alias("outcome"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("proposal_title"),
+        F.col("first_line").alias("proposal_title"),
         F.concat(F.lit("corpus/"), "source", F.lit("/"), doc_key(doc), F.lit(".pdf")).alias(
             "source_path"
         ),
         F.col("lang").alias("language"),
-        content_hash(F.col("text")).alias("content_hash"),
+        F.col("content_hash"),
     ]
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_documents(spark, sf_dir).select("doc_id", *proposal_columns())
+    keyed = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", *text_keys())
+    return keyed.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", *proposal_columns())
 
 
 def raw_tables_of(doc_id: Column, text: Column) -> Column:
@@ -240,7 +249,7 @@ _ITEMS = "array<struct<kind: string, depth: int, text: string, level: int, prov:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table. Text and metadata come from the same document row here, so one scan
     feeds both; separately stored ones meet in ``chunking.with_proposals``."""
-    rows = labelled_documents(spark, sf_dir).select(
+    rows = labelled_documents(spark, sf_dir).withColumns({"first_line": text_keys()[0], "content_hash": text_keys()[1]}).select(
         *proposal_columns(), parsed_sections().alias("sections")
     )
     return chunk_documents(
