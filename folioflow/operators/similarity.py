@@ -49,12 +49,31 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / norms[:, None]
 
 
-def _matrix(column) -> np.ndarray:
-    """Arrow list column or sequence of vectors to a 2-d array."""
+def _searchable(column, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a finite vector of the width (None: of any, as long as it is one), and those.
+
+    Other rows are left out of a search: a null vector, a null or non-finite component, or a vector
+    of another length has no cosine with a query. ``embedding.vector_width`` reports them.
+    """
+    if isinstance(column, (pa.ListArray, pa.LargeListArray)):
+        lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    else:
+        lengths = np.array([-1 if v is None else len(v) for v in column], dtype=np.int64)
+    if width is None:
+        widths = np.unique(lengths)
+        if len(widths) > 1 or widths[0] < 1:
+            raise ValueError("the queries of a search need vectors of one width")
+        width = int(widths[0])
+    keep = lengths == width
     if isinstance(column, (pa.ListArray, pa.LargeListArray)):
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float32) for v in column])
+        flat = column.filter(pa.array(keep)).flatten().to_numpy(zero_copy_only=False)
+    else:
+        chosen = [np.asarray(v, dtype=np.float64) for v, k in zip(column, keep) if k]
+        flat = np.concatenate(chosen) if chosen else np.zeros(0)
+    vectors = flat.reshape(-1, width)
+    finite = np.isfinite(vectors.astype(np.float64)).all(axis=1)
+    keep[keep] = finite
+    return keep, vectors[finite]
 
 
 class _Best:
@@ -66,9 +85,13 @@ class _Best:
         # per query: scores, ids and one array per carried column, best first
         self.rows: list[list[np.ndarray]] = [[] for _ in block.keys]
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, values: dict[str, np.ndarray]) -> None:
+    def add(self, ids: np.ndarray, embeddings, values: dict[str, np.ndarray]) -> None:
         if not len(ids) or not len(self.block.keys):
             return
+        keep, vectors = _searchable(embeddings, self.block.vectors.shape[1])
+        ids, values = ids[keep], {name: column[keep] for name, column in values.items()}
+        if not len(ids):
+            return
         unit = _unit(vectors)
         coded = [
             self._codes(values[name], wanted) for name, wanted in self.block.filters.items()
@@ -126,6 +149,15 @@ class _Best:
         return out
 
 
+def _query_vectors(rows: pd.DataFrame) -> np.ndarray:
+    if not len(rows):
+        return np.zeros((0, 1))
+    keep, vectors = _searchable(rows["embedding"])
+    if not keep.all():
+        raise ValueError("the queries of a search need finite vectors")
+    return _unit(vectors)
+
+
 def _query_block(rows: pd.DataFrame, filter_columns: Sequence[str]) -> _Block:
     def wanted(values: pd.Series) -> np.ndarray:
         return np.array([None if pd.isna(v) else v for v in values], dtype=object)
@@ -133,7 +165,7 @@ def _query_block(rows: pd.DataFrame, filter_columns: Sequence[str]) -> _Block:
     return _Block(
         keys=rows["variant"].to_numpy(dtype=np.int64),
         limits=rows["n"].to_numpy(dtype=np.int64),
-        vectors=_unit(_matrix(rows["embedding"])) if len(rows) else np.zeros((0, 1)),
+        vectors=_query_vectors(rows),
         filters={f: wanted(rows[f]) for f in filter_columns},
     )
 
@@ -225,7 +257,7 @@ def _scan_with_broadcast(
         for batch in batches:
             best.add(
                 _ids(batch.column("id")),
-                _matrix(batch.column("embedding")),
+                batch.column("embedding"),
                 {f: np.array(batch.column(f).to_pylist(), dtype=object) for f in names},
             )
         yield pa.RecordBatch.from_pydict(best.table(), schema=shape)
@@ -266,7 +298,7 @@ def _block_pairs(
         best = _Best(_query_block(query_part, wanted), carried)
         best.add(
             _ids(chunk_rows["id"]),
-            _matrix(chunk_rows["embedding"]),
+            chunk_rows["embedding"],
             {f: chunk_rows[f].to_numpy(dtype=object) for f in names},
         )
         return pd.DataFrame(best.table())[columns]

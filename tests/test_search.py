@@ -205,3 +205,24 @@ def test_top_n_ships_winners_only(spark, capsys):
     assert plan.count("WindowGroupLimit") == 4
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.index("Exchange") < plan.index("MapInArrow")
+
+
+@pytest.mark.parametrize("route", [4096, 0])
+def test_rows_without_a_usable_vector_are_left_out(spark, route):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1.0, 0.0]), ("b", [1.0]), ("c", [1.0, 0.0, 0.0]), ("d", None), ("e", [None, 1.0]), ("f", [nan, 1.0]),
+            ("g", [inf, 0.0]), ("h", []), ("i", [1.0, 1.0]), ("j", [0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(1, 9, [2.0, 0.0])], "query_id bigint, n int, embedding array<float>")
+    kwargs = {"broadcast_queries": route} if route else {"broadcast_queries": 1, "block_rows": 4}
+    if not route:
+        asked = asked.union(asked.withColumn("query_id", F.lit(2).cast("bigint")))
+    found = similarity.top_n(chunks, asked, **kwargs).where("query_id = 1").collect()
+    assert sorted((r["chunk_id"], round(r["score"], 3)) for r in found) == [("a", 1.0), ("i", 0.707), ("j", 0.0)]
+
+
+def test_queries_need_vectors_of_one_width(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    for bad in ([(1, 9, [1.0]), (2, 9, [1.0, 2.0])], [(1, 9, None)], [(1, 9, [float("nan"), 1.0])]):
+        with pytest.raises(ValueError):
+            similarity.top_n(chunks, spark.createDataFrame(bad, "query_id bigint, n int, embedding array<float>"))
