@@ -116,6 +116,8 @@ EVENT_FIELDS = {
     },
 }
 EVENT_COMMON = ("event_type", "timestamp")
+# fixed values: fields that may be absent, since they have a default, but not null
+EVENT_DEFAULTED = ("source_status_mix", "iteration_count")
 
 # fixed values: lowest and highest number allowed
 EVENT_RANGES = {
@@ -151,6 +153,12 @@ def check_events(lines: DataFrame, column: str = "value") -> DataFrame:
     parsed = lines.withColumns({"raw": raw, "event": typed})
     kind = F.coalesce(F.col("raw")["event_type"], F.lit(""))
 
+    def spoils(field: str) -> Column:
+        given = F.col("raw")[field].isNotNull()
+        if field in EVENT_DEFAULTED:
+            given = F.coalesce(F.array_contains(F.map_keys("raw"), field), F.lit(False))
+        return given & F.col(f"event.{field}").isNull()
+
     allowed = missing = wrong = None
     for name, fields in EVENT_FIELDS.items():
         names = F.array(*[F.lit(f) for f in (*EVENT_COMMON, *fields)])
@@ -162,7 +170,7 @@ def check_events(lines: DataFrame, column: str = "value") -> DataFrame:
         spoiled = F.filter(
             F.array(
                 *[
-                    F.when(F.col("raw")[f].isNotNull() & F.col(f"event.{f}").isNull(), F.lit(f))
+                    F.when(spoils(f), F.lit(f))
                     for f in ("timestamp", *fields)
                 ]
             ),

@@ -128,6 +128,17 @@ def test_event_schema_is_closed(spark, change, reasons):
     assert validation.check_events(df).first()["reasons"] == reasons
 
 
+def test_defaulted_event_fields_may_be_absent_but_not_null(spark):
+    done = {"event_type": "draft_completed", "timestamp": "2024-01-01T00:00:00Z", "section_type": "impact",
+            "generation_time_ms": 1, "citation_count": 0, "model": "m"}
+    lines = [done, {**done, "source_status_mix": {"funded": 1}, "iteration_count": 1}]
+    lines += [{**done, "source_status_mix": None}, {**done, "iteration_count": None}, {**done, "drafting_profile": None}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "i int, value string")
+    reasons = [r["reasons"] for r in validation.check_events(df).orderBy("i").collect()]
+    assert reasons == [[], [], ["type:source_status_mix"], ["type:iteration_count"], []]
+
+
+
 @pytest.mark.parametrize("name", ["user_intent", "prompt", "text", "snippet", "passage", "body", "payload", "content"])
 def test_content_fields_are_always_refused(spark, name):
     df = spark.createDataFrame([(json.dumps({**GOOD, name: {"nested": 1}}),)], "value string")
