@@ -24,6 +24,30 @@ def _lines(part: int, key: Column, text: Column, df: DataFrame) -> DataFrame:
     return df.select(F.lit(part).alias("part"), key.cast("string").alias("key"), text.alias("value"))
 
 
+# fixed values: headings, labels and table heads of the release report
+RELEASE_TITLE = "# Release Audit Report\n"
+RELEASE_VERDICT = "**Verdict:** "
+RELEASE_SUMMARY = "## Summary\n"
+RELEASE_DIRECTORY = "- Audit directory: `{}`"
+RELEASE_COUNTS = {
+    "total_drafts": "- Total drafts on disk: ",
+    "audited_drafts": "- Audited drafts: ",
+    "passed_drafts": "- Passed drafts: ",
+    "failed_drafts": "- Failed drafts: ",
+    "citation_count": "- Citations audited: ",
+    "unlabeled_citation_count": "- Unlabeled citations: ",
+}
+RELEASE_DRAFTS = "\n## Per-draft Results\n"
+RELEASE_DRAFTS_HEAD = "| Status | Section | Citations | Draft |\n|--------|---------|-----------|-------|"
+RELEASE_NO_DRAFTS = "_No drafts audited._"
+RELEASE_CITATIONS = "\n## Citation Fidelity\n\n"
+RELEASE_CITATIONS_HEAD = (
+    "| Status | Programme | Call | Page | Section | Source | Chunk ID | Draft |\n"
+    "|--------|-----------|------|------|---------|--------|----------|-------|"
+)
+RELEASE_NO_CITATIONS = "_No citations across audited drafts — investigate before shipping._"
+
+
 def release_markdown(
     totals: DataFrame, drafts: DataFrame, citations: DataFrame, directory: str
 ) -> DataFrame:
@@ -31,25 +55,13 @@ def release_markdown(
     verdict = F.when(F.col("passed"), "PASS").otherwise("FAIL")
     head = F.concat_ws(
         "\n",
-        F.lit("# Release Audit Report\n"),
-        F.concat(F.lit("**Verdict:** "), verdict, F.lit("\n")),
-        F.lit("## Summary\n"),
-        F.lit(f"- Audit directory: `{directory}`"),
-        F.concat(F.lit("- Total drafts on disk: "), F.col("total_drafts").cast("string")),
-        F.concat(F.lit("- Audited drafts: "), F.col("audited_drafts").cast("string")),
-        F.concat(F.lit("- Passed drafts: "), F.col("passed_drafts").cast("string")),
-        F.concat(F.lit("- Failed drafts: "), F.col("failed_drafts").cast("string")),
-        F.concat(F.lit("- Citations audited: "), F.col("citation_count").cast("string")),
-        F.concat(
-            F.lit("- Unlabeled citations: "), F.col("unlabeled_citation_count").cast("string")
-        ),
-        F.lit("\n## Per-draft Results\n"),
-        F.when(
-            F.col("audited_drafts") > 0,
-            F.lit(
-                "| Status | Section | Citations | Draft |\n|--------|---------|-----------|-------|"
-            ),
-        ).otherwise(F.lit("_No drafts audited._")),
+        F.lit(RELEASE_TITLE),
+        F.concat(F.lit(RELEASE_VERDICT), verdict, F.lit("\n")),
+        F.lit(RELEASE_SUMMARY),
+        F.lit(RELEASE_DIRECTORY.format(directory)),
+        *[F.concat(F.lit(label), F.col(name).cast("string")) for name, label in RELEASE_COUNTS.items()],
+        F.lit(RELEASE_DRAFTS),
+        F.when(F.col("audited_drafts") > 0, RELEASE_DRAFTS_HEAD).otherwise(RELEASE_NO_DRAFTS),
     )
     per_draft = table_row(
         verdict,
@@ -58,16 +70,8 @@ def release_markdown(
         F.concat(F.lit("`"), F.col("draft_path"), F.lit("`")),
     )
     middle = F.concat(
-        F.lit("\n## Citation Fidelity\n\n"),
-        F.when(
-            F.col("citation_count") > 0,
-            F.lit(
-                "| Status | Programme | Call | Page | Section | Source | Chunk ID | Draft |\n"
-                "|--------|-----------|------|------|---------|--------|----------|-------|"
-            ),
-        ).otherwise(
-            F.lit("_No citations across audited drafts — investigate before shipping._")
-        ),
+        F.lit(RELEASE_CITATIONS),
+        F.when(F.col("citation_count") > 0, RELEASE_CITATIONS_HEAD).otherwise(RELEASE_NO_CITATIONS),
     )
     per_citation = table_row(
         F.col("source_status"),
