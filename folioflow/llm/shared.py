@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     folder = tempfile.mkdtemp(prefix="spark-llm-")
     spark.sparkContext.setCheckpointDir(folder)
