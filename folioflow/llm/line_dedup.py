@@ -9,9 +9,11 @@ later round carries them.
 Suffixes with the same rank are an interval of the suffix array whose longest common prefix is at
 least that many lines; two overlapping ranks give the intervals of any length between. From each
 suffix the shortest run of at least `min_words` words is looked up; in its interval the first
-suffix, by (doc_id, place), is kept and the later ones are cut. The union of these runs is the union
-of the maximal repeated runs, so doubling can stop at the longest shortest run, which has at most
-`min_words` lines.
+suffix, by (doc_id, place), is kept and the later ones are cut. These runs cover a maximal repeated
+run but for the lines after the last start that still has enough words before it: fewer than
+`min_words` words, so fewer lines. From the last of each chain of cut starts the run therefore goes
+on to the longest one that has an earlier copy, by appending blocks of 32, 16, ... 1 lines of the
+stored ranks. Together they are the maximal repeated runs, so doubling can stop at `min_words` lines.
 
 Deleted lines are cut with their line break; blank lines stay. Null texts stay null and empty ones
 empty. Rows with a null doc_id stay as they are and are no copy of anything. Rows with equal doc_id
@@ -20,6 +22,8 @@ and text are one document: they are cut alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,7 +105,10 @@ def _shortest_runs(first: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_runs(documents: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, seq, n, raws) of every shortest run that has an earlier copy; raws are its lines."""
+    """(doc_id, row, seq, n, raws) of repeated runs that have an earlier copy; raws are lines to cut.
+
+    Their union is that of all maximal runs of at least `min_words` words with an earlier copy.
+    """
     lines = scratch.save(lines_of(documents), "lines")
     levels = suffix_levels(lines, scratch, depth=min_words)
     scratch.drop("lines")
@@ -119,15 +126,57 @@ def later_runs(documents: DataFrame, scratch: Scratch, min_words: int = MIN_WORD
             mine.withColumn("tail", F.col("seq") + F.col("n") - step).join(head, ["row", "seq"]).join(tail, ["row", "tail"])
         )
         placed = scratch.save(placed, f"placed-{place}")
-        firsts = placed.groupBy("n", "r1", "r2").agg(F.min(F.struct("doc_id", "row", "seq")).alias("kept"))
-        later = placed.join(firsts, ["n", "r1", "r2"]).where(
-            F.struct("doc_id", "row", "seq") > F.col("kept")
+        firsts = placed.groupBy("n", "r1", "r2").agg(
+            F.min(F.struct("doc_id", "row", "seq")).alias("kept"), F.count("*").alias("copies")
+        ).where("copies > 1")
+        found.append(placed.join(firsts, ["n", "r1", "r2"]).select("doc_id", "row", "seq", "n", "raws", "kept"))
+    copies = scratch.save(reduce(DataFrame.unionByName, found), "copies")
+    later = copies.where(F.struct("doc_id", "row", "seq") > F.col("kept")).select("doc_id", "row", "seq", "n", "raws")
+    return later.unionByName(_continued(copies, levels, scratch))
+
+
+def _continued(copies: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(doc_id, row, seq, n, raws): of every last run of a chain of cuts, each line that continues it.
+
+    Copies of one run are named by their first (`kept`) and their length (n). Where several go on
+    alike by a block, the later ones move to the longer run and the first stays; it is also listed
+    there (not as its `own` place), so that later blocks are compared with it, too.
+    """
+    place = F.struct("doc_id", "row", "seq")
+    following = F.lead("seq").over(Window.partitionBy("row").orderBy("seq"))
+    ends = copies.where(place > F.col("kept")).withColumn("next", following)
+    ends = scratch.save(
+        ends.where("next IS NULL OR next > seq + 1").select("row", "seq", F.col("n").alias("shortest"), "kept"), "ends"
+    )
+    asked = ends.select("kept", F.col("shortest").alias("n")).distinct()
+    members = copies.join(asked, ["kept", "n"], "left_semi").select(
+        "kept", "n", "doc_id", "row", "seq", F.lit(True).alias("own")
+    )
+    for level in reversed(range(len(levels))):
+        ranks = levels[level].select("row", F.col("seq").alias("at"), "rank").dropDuplicates(["row", "at"])
+        ahead = members.withColumn("at", F.col("seq") + F.col("n")).join(ranks, ["row", "at"], "left").drop("at")
+        ahead = scratch.save(ahead, f"ahead-{level}")
+        firsts = ahead.where("rank IS NOT NULL").groupBy("kept", "n", "rank").agg(
+            F.min(place).alias("first"), F.count("*").alias("copies")
+        ).where("copies > 1").drop("copies")
+        stay = F.struct("kept", "n", "own")
+        move = F.struct(
+            F.col("first").alias("kept"), (F.col("n") + 2**level).alias("n"),
+            (F.col("own") & (place > F.col("first"))).alias("own"),
         )
-        found.append(later.select("doc_id", "row", "seq", "n", "raws"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        states = F.when(F.col("first").isNull(), F.array(stay)).otherwise(
+            F.when(place == F.col("first"), F.array(stay, move)).otherwise(F.array(move))
+        )
+        met = ahead.join(firsts, ["kept", "n", "rank"], "left").select("doc_id", "row", "seq", F.explode(states).alias("state"))
+        members = scratch.save(met.select("state.kept", "state.n", "doc_id", "row", "seq", "state.own"), f"members-{level}")
+        scratch.drop(f"ahead-{level}")
+    longer = members.where("own").drop("kept").join(ends.drop("kept"), ["row", "seq"]).where("n > shortest")
+    lines = longer.select(
+        "doc_id", "row", "seq", "n",
+        F.explode(F.sequence(F.col("seq") + F.col("shortest"), F.col("seq") + F.col("n") - 1)).alias("at"),
+    )
+    raws = levels[0].select("row", F.col("seq").alias("at"), "raw").dropDuplicates(["row", "at"])
+    return lines.join(raws, ["row", "at"]).select("doc_id", "row", "seq", "n", F.array("raw").alias("raws"))
 
 
 def deduplicated_documents(
