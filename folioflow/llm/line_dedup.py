@@ -109,7 +109,8 @@ def later_runs(documents: DataFrame, scratch: Scratch, min_words: int = MIN_WORD
 
     Their union is that of all maximal runs of at least `min_words` words with an earlier copy.
     """
-    lines = scratch.save(lines_of(documents), "lines")
+    # rows with equal doc_id and text are one: kept apart, doubling would pair their places at every level
+    lines = scratch.save(lines_of(documents).dropDuplicates(["row", "seq"]), "lines")
     levels = suffix_levels(lines, scratch, depth=min_words)
     scratch.drop("lines")
     scratch.drop("pairs")

@@ -69,3 +69,15 @@ def test_line_dedup_equals_all_maximal_runs(spark, seed):
         texts[i] = "\n".join([*own, *some[begin : begin + rng.randint(1, 120)], *rng.choice([[], [""], [rng.choice(pool)], [line(rng, 3)]])])
     expected = without_maximal_runs(texts)
     assert {r["doc_id"]: r["text"] for r in deduplicated(spark, list(texts.items()))} == expected
+
+
+def test_lines_of_equal_rows_count_once(spark):
+    rng = random.Random(3)
+    text = "\n".join(line(rng, 4) for _ in range(40))
+    scratch = shared.Scratch(spark)
+    documents = spark.createDataFrame([(1, text), (1, text), (2, line(rng, 70))], SCHEMA)
+    assert line_dedup.later_runs(documents, scratch).count() == 0
+    assert spark.read.parquet(f"{scratch.folder}/level-0").count() == 0
+    rows = [(1, text), (1, text), (2, f"{line(rng, 9)}\n{text}"), (2, f"{line(rng, 8)}\n{text}")]
+    out = deduplicated(spark, rows)
+    assert sorted((r["doc_id"], r["n_deleted"]) for r in out) == [(1, 0), (1, 0), (2, 40), (2, 40)]
