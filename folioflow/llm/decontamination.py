@@ -7,7 +7,10 @@ of every document; each hit is verified around its alignment.
 
 A document overlaps an item if, along one alignment, some window of `window` words (the whole item,
 if it is shorter) agrees in at least `percent` of its words. The three masks are lossless for the
-defaults: whichever three of 16 words differ, one mask still finds an unbroken place (tested).
+defaults: whichever three of 16 words differ, one mask still finds an unbroken place (tested). Each
+mask is placed wherever its own words fit. An item shorter than the window has masks for its length:
+it is cut into two blocks more than words may differ, and each mask takes two of them, so one mask
+meets only agreeing words (lossless for every window and percent).
 
 Items are cut into overlapping parts of at most PART words, so that every window lies in one, and the
 parts are broadcast in blocks of about BLOCK_SEEDS seeds; a larger benchmark takes more passes over
@@ -18,6 +21,7 @@ items count once, under the smallest item_id. Rows with a null doc_id or item_id
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,15 +48,40 @@ def word_codes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(table: DataFrame, keep: list[str]) -> DataFrame:
-    """One row (keep..., w, pos, mask, seed) for every place and mask of the coded words `w`."""
-    places = F.greatest(F.size("w") - F.lit(SPAN - 1), F.lit(0)) * F.lit(len(MASKS))
+def short_masks(size: int, percent: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of `size` words, one of which avoids any words that may differ."""
+    differ = min(size * (100 - percent) // 100, size - 1)
+    count = min(differ + 2, size)
+    edges = [size * i // count for i in range(count + 1)]
+    blocks = [range(a, b) for a, b in itertools.pairwise(edges)]
+    return [tuple(itertools.chain(*some)) for some in itertools.combinations(blocks, count - differ)]
+
+
+def all_masks(sizes: list[int], percent: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(words it needs, places) of MASKS, then of the masks for items of each of `sizes` words."""
+    return [(m[-1] + 1, m) for m in MASKS] + [(size, m) for size in sizes for m in short_masks(size, percent)]
+
+
+def seeds(table: DataFrame, keep: list[str], masks: list, window: int, whole: bool = False) -> DataFrame:
+    """One row (keep..., w, pos, mask, seed) for every place and mask of the coded words `w`.
+
+    With `whole` the words are items: shorter ones than the window have the masks of their size only.
+    """
+    spans = F.array(*[F.lit(span) for span, _ in masks])
+    places = F.greatest(F.size("w") - F.lit(min(s for s, _ in masks) - 1), F.lit(0)) * F.lit(len(masks))
     numbers = F.when(places > 0, F.sequence(F.lit(0), places - 1)).otherwise(F.array().cast("array<int>"))
     spread = table.select(*keep, "w", F.explode(numbers).alias("number"))
-    pos = F.expr(f"CAST(number DIV {len(MASKS)} AS INT)")
-    spread = spread.select(*keep, "w", pos.alias("pos"), (F.col("number") % len(MASKS)).alias("mask"))
+    pos = F.expr(f"CAST(number DIV {len(masks)} AS INT)")
+    spread = spread.select(*keep, "w", pos.alias("pos"), (F.col("number") % len(masks)).alias("mask"))
+    span = spans[F.col("mask")]
+    spread = spread.where(F.col("pos") + span <= F.size("w"))
+    if whole:
+        general = F.col("mask") < len(MASKS)
+        spread = spread.where(
+            F.when(F.size("w") >= window, general).otherwise(~general & (span == F.size("w")))
+        )
     seed = None
-    for i, mask in enumerate(MASKS):
+    for i, (_, mask) in enumerate(masks):
         picked = F.xxhash64(F.lit(i), *[F.col("w")[F.col("pos") + o] for o in mask])
         seed = picked if seed is None else F.when(F.col("mask") == i, picked).otherwise(seed)
     return spread.select(*keep, "w", "pos", "mask", seed.alias("seed"))
@@ -82,7 +111,11 @@ def overlaps(
     parts = items.select("item_id", "w", F.explode(starts).alias("part")).select(
         "item_id", "part", F.slice("w", F.col("part") + 1, F.lit(PART)).alias("w")
     )
-    total = items.agg(F.sum(F.size("w") * len(MASKS))).first()[0] or 0
+    total, sizes = items.agg(
+        F.sum(F.size("w") * len(MASKS)), F.collect_set(F.when(F.size("w") < window, F.size("w")))
+    ).first()
+    masks = all_masks(sorted(sizes), percent)
+    total = total or 0
     blocks = -(-int(total) // BLOCK_SEEDS) or 1
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "doc_id", word_codes(F.col("text")).alias("w")
@@ -90,11 +123,11 @@ def overlaps(
     found = []
     for block in range(blocks):
         some = parts.where(F.pmod(F.hash("item_id", "part"), F.lit(blocks)) == block)
-        known = seeds(some, ["item_id", "part"]).select(
+        known = seeds(some, ["item_id", "part"], masks, window, whole=True).select(
             "seed", F.col("mask").alias("item_mask"), "item_id", "part", F.col("pos").alias("item_pos")
         )
         hits = (
-            seeds(texts, ["doc_id"])
+            seeds(texts, ["doc_id"], masks, window)
             .join(F.broadcast(known), "seed")
             .where("mask = item_mask")
             .join(F.broadcast(some.withColumnRenamed("w", "item_words")), ["item_id", "part"])
