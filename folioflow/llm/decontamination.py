@@ -15,7 +15,7 @@ meets only agreeing words (lossless for every window and percent).
 Items are cut into overlapping parts of at most PART words, so that every window lies in one, and the
 parts are broadcast in blocks of about BLOCK_SEEDS seeds; a larger benchmark takes more passes over
 the documents. Nothing but verified hits is shuffled. Null and empty texts overlap nothing; items
-with fewer words than the longest mask cannot be told from common phrases and match nothing; equal
+of every length are compared, down to one word, which every document with that word holds; equal
 items count once, under the smallest item_id. Rows with a null doc_id or item_id are left out.
 """
 
@@ -105,7 +105,7 @@ def overlaps(
         .select("item_id", word_codes(F.col("text")).alias("w"))
         .groupBy("w")
         .agg(F.min("item_id").alias("item_id"))
-        .where(F.size("w") >= SPAN)
+        .where(F.size("w") > 0)
     )
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PART - window + 1))
     parts = items.select("item_id", "w", F.explode(starts).alias("part")).select(

@@ -48,3 +48,11 @@ def test_windows_at_the_end_of_a_longer_item_are_found(spark, before):
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
     out = decontamination.overlaps(spark.createDataFrame(texts, SCHEMA).repartition(4), benchmark)
     assert out.select("doc_id").distinct().count() == len(texts) == 560
+
+
+def test_items_shorter_than_the_masks_are_found(spark):
+    assert missed(spark, range(1, 10)) == set()
+    benchmark = spark.createDataFrame([(4, "what is it made"), (6, "who wrote this very long book"), (0, "?")], "item_id bigint, text string")
+    texts = [(1, "What is it, made of"), (2, "what is it not"), (3, "who read this very long book"), (4, "who read this very thin book"), (5, None)]
+    out = decontamination.overlaps(spark.createDataFrame(texts, SCHEMA), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["agreeing"]) for r in out) == [(1, 4, 4), (3, 6, 5)]
