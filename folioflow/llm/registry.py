@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.bpe import op6_byte_bpe
 from folioflow.llm.chat import OP3_SQL, op3_chat_format
+from folioflow.llm.collocations import OP11_SQL, op11_phrase_collocations
 from folioflow.llm.decontamination import OP5_SQL, op5_spaced_seed_overlaps
 from folioflow.llm.jaccard import op10_ngram_jaccard
 from folioflow.llm.langid import op9_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_language": op9_language,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op4_license_scan": OP4_SQL,
     "op5_spaced_seed_overlaps": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
