@@ -11,6 +11,7 @@ from folioflow.llm.langid import op9_language
 from folioflow.llm.licenses import OP4_SQL, op4_license_scan
 from folioflow.llm.line_dedup import OP1_SQL, op1_line_dedup
 from folioflow.llm.quality import op2_quality
+from folioflow.llm.repair import OP12_SQL, op12_conversation_repair
 from folioflow.llm.vectors import op8_near_vectors
 from folioflow.llm.warc import OP7_SQL, op7_warc
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op5_spaced_seed_overlaps": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
