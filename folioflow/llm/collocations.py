@@ -6,8 +6,7 @@ with suffixes sorted to the depth of the longest phrase, which is all that inter
 A phrase is a pair of intervals, one in each transform. Extending it to the left by every word that
 precedes it splits its rows in the first transform and narrows the second interval in step; extending it
 to the right does the same with the roles changed. Level by level this lists every phrase of at most
-`max_words` words with its count in the shard; the counts of all shards are summed by language and phrase
-with map-side aggregation.
+`max_words` words with its count in the shard; one row a shard and phrase goes to the sums over all shards.
 
 Every part of a candidate is at least as frequent as the candidate, so all that scores, cuts and the
 containment rule need are sums of `min_count` and more. Those few are written once and joined by phrase.
@@ -108,7 +107,7 @@ class PhraseIndex:
         begin = np.cumsum(sizes) - sizes
         rows = np.arange(len(owner)) + (near - begin)[owner]
         words = side.before[rows]
-        keys = owner * (int(self.codes.max(initial=0)) + 1) + words
+        keys = owner * (int(self.codes.max(initial=0)) + 1) + words  # stable: equal words keep their rows' order
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
@@ -128,9 +127,42 @@ class PhraseIndex:
             yield words, self.ahead.order[found[0]], found[2]
 
 
+class _Shard:
+    """Texts of one language as ids; `.` has id 0 and other words are numbered as they come."""
+
+    def __init__(self):
+        self.numbers = defaultdict(itertools.count().__next__)
+        self.numbers[b"."]
+        self.parts, self.size = [], 0
+
+    def add(self, found: list[bytes]) -> None:
+        ids = np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+        self.parts.append(ids)
+        self.size += len(ids)
+
+    def rows(self, lang: str, max_words: int):
+        """Record batches (lang, phrase, n); the empty phrase counts the words."""
+        codes = np.concatenate(self.parts)
+        codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]  # one 0 between pieces
+        if not len(codes):
+            return
+        names = pa.array(self.numbers, pa.binary()).cast(pa.string())
+        yield _batch(lang, pa.array([""]), np.array([np.count_nonzero(codes)]))
+        for words, places, counts in PhraseIndex(codes, max_words).phrases(max_words):
+            for start in range(0, len(counts), _ROWS):
+                at = places[start : start + _ROWS]
+                parts = [names.take(pa.array(codes[at + j])) for j in range(words)]
+                yield _batch(lang, pc.binary_join_element_wise(*parts, " "), counts[start : start + _ROWS])
+
+
+def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
+    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+
+
 def _shards(batches, limit: int):
-    """(lang, token lists of about `limit` words); at most twice the limit waits at any time."""
-    waiting, sizes = defaultdict(list), defaultdict(int)
+    """(lang, shard) of about `limit` words each; at most twice the limit waits at any time."""
+    waiting = defaultdict(_Shard)
     for batch in text_chunks(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if not text:
@@ -138,44 +170,18 @@ def _shards(batches, limit: int):
             found = tokens(text)
             while len(found) > limit and b"." in found[limit:-1]:
                 cut = found.index(b".", limit) + 1
-                yield lang, [found[:cut]]
+                long = _Shard()
+                long.add(found[:cut])
+                yield lang, long
                 found = found[cut:]
-            waiting[lang].append(found)
-            sizes[lang] += len(found)
+            waiting[lang].add(found)
+        sizes = {lang: shard.size for lang, shard in waiting.items()}
         while sizes and (max(sizes.values()) >= limit or sum(sizes.values()) >= 2 * limit):
             lang = max(sizes, key=sizes.get)
             sizes.pop(lang)
             yield lang, waiting.pop(lang)
-    yield from waiting.items()
-
-
-def shard_phrases(lang: str, lists: list[list[bytes]], max_words: int):
-    """Record batches (lang, phrase, n) of one shard; the empty phrase counts its words."""
-    numbers = defaultdict(itertools.count().__next__)
-    numbers[b"."]  # takes 0
-    total = sum(map(len, lists))
-    codes = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(lists)), np.int64, total)
-    again = (codes == 0) & (np.concatenate([[0], codes[:-1]]) == 0)
-    codes = codes[~again]
-    if not len(codes):
-        return
-    names = pa.array(list(numbers), pa.binary()).cast(pa.string())
-
-    def rows(phrases, counts):
-        for start in range(0, len(counts), _ROWS):
-            some = phrases.slice(start, _ROWS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(some), np.int64))), some,
-                 pa.array(counts[start : start + _ROWS], pa.int64())],
-                names=["lang", "phrase", "n"],
-            )
-
-    yield from rows(pa.array([""]), np.array([np.count_nonzero(codes)]))
-    for words, places, counts in PhraseIndex(codes, max_words).phrases(max_words):
-        for start in range(0, len(counts), _ROWS):
-            at = places[start : start + _ROWS]
-            parts = [names.take(pa.array(codes[at + j])) for j in range(words)]
-            yield from rows(pc.binary_join_element_wise(*parts, " "), counts[start : start + _ROWS])
+    while waiting:
+        yield waiting.popitem()
 
 
 def phrase_counts(
@@ -184,14 +190,15 @@ def phrase_counts(
     """(lang, words, phrase, f): phrases of at least `min_count` occurrences; words 0 counts all words."""
 
     def enumerate_shards(batches):
-        for lang, lists in _shards(batches, shard_words):
-            yield from shard_phrases(lang, lists, max_words)
+        for lang, shard in _shards(batches, shard_words):
+            yield from shard.rows(lang, max_words)
 
     table = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     found = table.mapInArrow(enumerate_shards, "lang string, phrase string, n bigint")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    # a shard is summed already: another sum before the exchange would only fill memory with single rows
     return (
-        found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         .where((F.col("f") >= min_count) | (F.col("phrase") == ""))
         .select("lang", words.alias("words"), "phrase", "f")
     )
