@@ -6,7 +6,9 @@ with suffixes sorted to the depth of the longest phrase, which is all that inter
 A phrase is a pair of intervals, one in each transform. Extending it to the left by every word that
 precedes it splits its rows in the first transform and narrows the second interval in step; extending it
 to the right does the same with the roles changed. Level by level this lists every phrase of at most
-`max_words` words with its count in the shard; one row a shard and phrase goes to the sums over all shards.
+`max_words` words with its count in the shard; the phrases go packed into one
+block a shard and bucket to the sums over all shards, taken bucket by bucket. The number of buckets grows
+with the text, so a bucket is small; a phrase is in a bucket once a shard.
 
 Every part of a candidate is at least as frequent as the candidate, so all that scores, cuts and the
 containment rule need are sums of `min_count` and more. Those few are written once and joined by phrase.
@@ -20,6 +22,7 @@ longer than a shard is cut between pieces; a single piece is never cut. Extra co
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
 from functools import reduce
 
@@ -30,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.llm.shared import Scratch, text_chunks
+from folioflow.llm.shared import Scratch, column_bytes, mix, text_chunks, word_hashes
 from folioflow.operators.lineage import broadcast_if_small
 
 SHARD_WORDS = 1 << 20
+#: Bytes of text whose phrases share a bucket, that is are summed in one piece: some 200,000 rows.
+BUCKET_BYTES = 1 << 20
 MAX_WORDS = 3
 MIN_COUNT = 10
 INSIDE_PERCENT = 50
@@ -47,7 +52,13 @@ _FOLD = bytes.maketrans(
     bytes(range(ord("A"), ord("Z") + 1)) + _ENDS + b"\x09",
     bytes(range(ord("a"), ord("z") + 1)) + b"." * len(_ENDS) + b" ",
 )
-_ROWS = 1 << 16
+_BLOCK = (("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("block", pa.binary()))
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: Rows that are summed together while a bucket is read.
+_SUM_ROWS = 1 << 21
+
+
+_FACTORS = [f | np.uint64(1) for f in mix(np.arange(1, 65, dtype=np.uint64))]
 
 
 def tokens(text: str) -> list[bytes]:
@@ -140,24 +151,65 @@ class _Shard:
         self.parts.append(ids)
         self.size += len(ids)
 
-    def rows(self, lang: str, max_words: int):
-        """Record batches (lang, phrase, n); the empty phrase counts the words."""
+    def phrases(self, max_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Phrases, their counts and their hashes; the empty phrase counts the words."""
         codes = np.concatenate(self.parts)
         codes = codes[(codes != 0) | (np.concatenate([[0], codes[:-1]]) != 0)]  # one 0 between pieces
-        if not len(codes):
-            return
         names = pa.array(self.numbers, pa.binary()).cast(pa.string())
-        yield _batch(lang, pa.array([""]), np.array([np.count_nonzero(codes)]))
-        for words, places, counts in PhraseIndex(codes, max_words).phrases(max_words):
-            for start in range(0, len(counts), _ROWS):
-                at = places[start : start + _ROWS]
-                parts = [names.take(pa.array(codes[at + j])) for j in range(words)]
-                yield _batch(lang, pc.binary_join_element_wise(*parts, " "), counts[start : start + _ROWS])
-
-
-def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    langs = pa.repeat(pa.scalar(lang, pa.string()), len(phrases))
-    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+        hashes, _ = word_hashes(names)
+        phrases, sizes, sums = [pa.array([""])], [np.array([np.count_nonzero(codes)])], [np.zeros(1, np.uint64)]
+        for words, places, counts in PhraseIndex(codes, max_words).phrases(max_words) if len(codes) else ():
+            held = [codes[places + j] for j in range(words)]
+            phrases.append(pc.binary_join_element_wise(*[names.take(pa.array(h)) for h in held], " "))
+            sizes.append(counts)
+            sums.append(sum(hashes[h] * _FACTORS[j] for j, h in enumerate(held)))
+        return pa.concat_arrays(phrases), np.concatenate(sizes), mix(np.concatenate(sums))
+
+
+def _blocks(lang: str, shard: _Shard, max_words: int, buckets: int):
+    """Record batches (bucket, lang, size, block): a shard's phrases packed by bucket, in index order."""
+    phrases, counts, hashes = shard.phrases(max_words)
+    bucket = ((hashes ^ np.uint64(zlib.crc32(lang.encode()))) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, counts, phrases = bucket[order], counts[order], phrases.take(pa.array(order))
+    data, offsets = column_bytes(phrases)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+    found = []
+    for start, stop in itertools.pairwise(edges.tolist()):
+        lengths = np.diff(offsets[start : stop + 1]).astype(np.int32)
+        raw = counts[start:stop].tobytes() + lengths.tobytes() + data[offsets[start] : offsets[stop]].tobytes()
+        found.append((int(bucket[start]), lang, stop - start, len(raw), _CODEC.compress(raw, asbytes=True)))
+        if len(found) == 256 or stop == len(bucket):
+            columns = zip(zip(*found, strict=True), _BLOCK, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in columns], names=[n for n, _ in _BLOCK])
+            found = []
+
+
+def _summed(batches, min_count: int):
+    """Record batches (lang, phrase, f) of blocks that come sorted by bucket."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(batch.column(n).to_pylist() for n, _ in _BLOCK), strict=True)
+
+    def total(parts):
+        return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+
+    for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        parts, waiting = [], 0
+        for _, lang, n, size, block in group:
+            raw = _CODEC.decompress(block, size)
+            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int32, n, 8 * n))]).astype(np.int32)
+            phrases = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw.slice(12 * n)))
+            langs = pa.repeat(pa.scalar(lang, pa.string()), n)
+            parts.append(pa.table({"lang": langs, "phrase": phrases, "f": np.frombuffer(raw, np.int64, n)}))
+            waiting += n
+            if waiting >= _SUM_ROWS:
+                parts = [total(parts)]
+                waiting = len(parts[0]) // 2
+        sums = total(parts)
+        kept = pc.or_(pc.greater_equal(sums["f"], min_count), pc.equal(sums["phrase"], ""))
+        yield from sums.filter(kept).to_batches()
 
 
 def _shards(batches, limit: int):
@@ -189,19 +241,20 @@ def phrase_counts(
 ) -> DataFrame:
     """(lang, words, phrase, f): phrases of at least `min_count` occurrences; words 0 counts all words."""
 
-    def enumerate_shards(batches):
+    table = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+
+    def pack(batches):
         for lang, shard in _shards(batches, shard_words):
-            yield from shard.rows(lang, max_words)
+            yield from _blocks(lang, shard, max_words, buckets)
 
-    table = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    found = table.mapInArrow(enumerate_shards, "lang string, phrase string, n bigint")
-    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    # a shard is summed already: another sum before the exchange would only fill memory with single rows
-    return (
-        found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        .where((F.col("f") >= min_count) | (F.col("phrase") == ""))
-        .select("lang", words.alias("words"), "phrase", "f")
+    packed = table.mapInArrow(pack, "bucket bigint, lang string, n bigint, size bigint, block binary")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: _summed(batches, min_count), "lang string, phrase string, f bigint"
     )
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.select("lang", words.alias("words"), "phrase", "f")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:

@@ -6,6 +6,7 @@ from folioflow.llm.bpe import op6_byte_bpe
 from folioflow.llm.chat import OP3_SQL, op3_chat_format
 from folioflow.llm.collocations import OP11_SQL, op11_phrase_collocations
 from folioflow.llm.decontamination import OP5_SQL, op5_spaced_seed_overlaps
+from folioflow.llm.fingerprints import op13_document_fingerprints
 from folioflow.llm.jaccard import op10_ngram_jaccard
 from folioflow.llm.langid import op9_language
 from folioflow.llm.licenses import OP4_SQL, op4_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLES = {
