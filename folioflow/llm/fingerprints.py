@@ -260,31 +260,34 @@ def _likeness(one: Column, two: Column) -> Column:
     return F.size(same) / F.lit(float(size))
 
 
+def fingerprint_classes(documents: DataFrame) -> DataFrame:
+    """(fingerprint, class_id): the smallest doc_id of each fingerprint; rows without an id are left out."""
+    made = fingerprints(documents.where("doc_id IS NOT NULL"))
+    return made.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+
+
 def near_documents(queries: DataFrame, documents: DataFrame, scratch: Scratch, least: float = LIKENESS) -> DataFrame:
-    """(query_id, doc_id, likeness): class representatives of the documents that each query is like.
+    """(query_id, class_id, likeness): the classes of documents that each class of queries is like.
 
-    Documents of one fingerprint are one class, named by its smallest doc_id; so are queries, and rows
-    without an id are left out. A pair is a candidate if a band of both fingerprints agrees, and is
-    returned if its likeness is at least `least`. A class is not compared with itself.
+    Documents of one fingerprint are one class (see `fingerprint_classes`), queries likewise, so copies
+    are compared once. A pair is a candidate if a band of both fingerprints agrees, and is returned if
+    its likeness is at least `least`; a query's own class is among its answers.
     """
 
-    def classes(table: DataFrame, name: str) -> DataFrame:
-        made = fingerprints(table.where("doc_id IS NOT NULL"))
-        return made.groupBy("fingerprint").agg(F.min("doc_id").alias(name))
-
     def banded(table: DataFrame, name: str) -> DataFrame:
         numbers = F.sequence(F.lit(0), F.lit(WALKS * SAMPLES // BAND_BYTES - 1))
-        bands = F.transform(numbers, lambda b: F.concat_ws(":", b, F.substr("fingerprint", 2 * BAND_BYTES * b + 1, F.lit(2 * BAND_BYTES))))
+        bands = F.transform(
+            numbers, lambda b: F.concat_ws(":", b, F.substr("fingerprint", 2 * BAND_BYTES * b + 1, F.lit(2 * BAND_BYTES)))
+        )
         return table.select(name, F.explode(bands).alias("band"))
 
-    asked = scratch.save(classes(queries, "query_id"), "asked")
-    held = scratch.save(classes(documents, "doc_id"), "held")
-    pairs = banded(held, "doc_id").join(banded(asked, "query_id"), "band").select("query_id", "doc_id").distinct()
+    asked = scratch.save(fingerprint_classes(queries).withColumnRenamed("class_id", "query_id"), "asked")
+    held = scratch.save(fingerprint_classes(documents), "held")
+    pairs = banded(held, "class_id").join(banded(asked, "query_id"), "band").select("query_id", "class_id").distinct()
     near = _likeness(F.col("fingerprint"), F.col("query_fingerprint"))
     return (
-        pairs.join(asked.withColumnRenamed("fingerprint", "query_fingerprint"), "query_id").join(held, "doc_id")
-        .where(F.col("fingerprint") != F.col("query_fingerprint"))
-        .select("query_id", "doc_id", near.alias("likeness")).where(F.col("likeness") >= least)
+        pairs.join(asked.withColumnRenamed("fingerprint", "query_fingerprint"), "query_id").join(held, "class_id")
+        .select("query_id", "class_id", near.alias("likeness")).where(F.col("likeness") >= least)
     )
 
 

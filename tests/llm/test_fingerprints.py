@@ -98,11 +98,14 @@ def test_few_rows_and_very_long_texts(spark):
 def test_search_finds_edited_copies(spark):
     rng = random.Random(8)
     texts = [prose(rng, 200) for _ in range(120)]
-    copies = [t[:700] + "q" + t[700:] for t in texts[:20]]
-    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(2000, texts[0])]
+    copies = [t[:500] + "q" + t[520:700] + "xyz" + t[700:] for t in texts[:20]]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(2000, texts[0]), (None, texts[0])]
     table = spark.createDataFrame(rows, SCHEMA)
     queries = table.where("doc_id % 100 = 0")
-    found = {(r["query_id"], r["doc_id"]) for r in fp.near_documents(queries, table, Scratch(spark)).collect()}
-    ids = {i: fp.fingerprint(t) for i, t in rows if i != 2000}
-    brute = {(q, d) for q in (0, 100, 1000) for d in ids if q != d and fp.likeness(ids[q], ids[d]) >= fp.LIKENESS}
-    assert found == brute and (0, 1000) in found and (1000, 0) in found
+    found = {(r["query_id"], r["class_id"]): r["likeness"] for r in fp.near_documents(queries, table, Scratch(spark)).collect()}
+    classes = {}
+    for i, text in rows[:-1]:
+        classes.setdefault(fp.fingerprint(text), i)
+    near = {(classes[q], d): fp.likeness(q, f) for f, d in classes.items() for q in map(fp.fingerprint, [texts[0], texts[100], copies[0]])}
+    assert found == {k: v for k, v in near.items() if v >= fp.LIKENESS}
+    assert 0.5 < found[0, 1000] < 1 and found[100, 100] == 1
