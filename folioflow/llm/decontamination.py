@@ -8,9 +8,10 @@ of every document; each hit is verified around its alignment.
 A document overlaps an item if, along one alignment, some window of `window` words (the whole item,
 if it is shorter) agrees in at least `percent` of its words. The three masks are lossless for the
 defaults: whichever three of 16 words differ, one mask still finds an unbroken place (tested). Each
-mask is placed wherever its own words fit. An item shorter than the window has masks for its length:
-it is cut into two blocks more than words may differ, and each mask takes two of them, so one mask
-meets only agreeing words (lossless for every window and percent).
+mask is placed wherever its own words fit. An item shorter than the window is cut into one block more
+than words may differ, so one block agrees whole; its masks take the first words of each block, three if
+all blocks have as many, else two or one. So documents are probed by at most three more masks, and only
+by those that some item needs, however many lengths the items have (lossless for every window and percent).
 
 Items are cut into overlapping parts of at most PART words, so that every window lies in one, and the
 parts are broadcast in blocks of about BLOCK_SEEDS seeds; a larger benchmark takes more passes over
@@ -21,21 +22,22 @@ items count once, under the smallest item_id. Rows with a null doc_id or item_id
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.rows import unnest
 from folioflow.llm.shared import Scratch
 
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 5, 9), (0, 1, 2, 6, 8, 9))
-SPAN = 1 + max(m[-1] for m in MASKS)
 WINDOW = 16
 PERCENT = 80
 PART = 1024
 #: About 60 bytes each on an executor, and 3 bytes of the parts' words.
 BLOCK_SEEDS = 200_000
+#: Words that a mask of a short item takes at most.
+SHORT = 3
 
 
 def words(text: Column) -> Column:
@@ -48,45 +50,46 @@ def word_codes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def short_masks(size: int, percent: int) -> list[tuple[int, ...]]:
-    """Masks over a whole item of `size` words, one of which avoids any words that may differ."""
-    differ = min(size * (100 - percent) // 100, size - 1)
-    count = min(differ + 2, size)
-    edges = [size * i // count for i in range(count + 1)]
-    blocks = [range(a, b) for a, b in itertools.pairwise(edges)]
-    return [tuple(itertools.chain(*some)) for some in itertools.combinations(blocks, count - differ)]
+def short_blocks(size: int, percent: int) -> tuple[int, list[int]]:
+    """(words to take, where to take them) of a whole item of `size` words: one place agrees whole."""
+    blocks = min(size * (100 - percent) // 100, size - 1) + 1
+    return min(SHORT, size // blocks), [size * i // blocks for i in range(blocks)]
 
 
-def all_masks(sizes: list[int], percent: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(words it needs, places) of MASKS, then of the masks for items of each of `sizes` words."""
-    return [(m[-1] + 1, m) for m in MASKS] + [(size, m) for size in sizes for m in short_masks(size, percent)]
+def _seed(number: int, mask: tuple[int, ...], at: Column) -> Column:
+    return F.xxhash64(F.lit(number), *[F.col("w")[at + o] for o in mask])
 
 
-def seeds(table: DataFrame, keep: list[str], masks: list, window: int, whole: bool = False) -> DataFrame:
-    """One row (keep..., w, pos, mask, seed) for every place and mask of the coded words `w`.
-
-    With `whole` the words are items: shorter ones than the window have the masks of their size only.
-    """
-    spans = F.array(*[F.lit(span) for span, _ in masks])
-    places = F.greatest(F.size("w") - F.lit(min(s for s, _ in masks) - 1), F.lit(0)) * F.lit(len(masks))
+def probes(table: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
+    """One row (keep..., w, pos, mask, seed) for every mask and every place of the coded words where it fits."""
+    spans = F.array(*[F.lit(m[-1] + 1) for m in masks])
+    least = min(m[-1] + 1 for m in masks)
+    places = F.greatest(F.size("w") - F.lit(least - 1), F.lit(0)) * F.lit(len(masks))
     numbers = F.when(places > 0, F.sequence(F.lit(0), places - 1)).otherwise(F.array().cast("array<int>"))
     spread = table.select(*keep, "w", F.explode(numbers).alias("number"))
     pos = F.expr(f"CAST(number DIV {len(masks)} AS INT)")
     spread = spread.select(*keep, "w", pos.alias("pos"), (F.col("number") % len(masks)).alias("mask"))
-    span = spans[F.col("mask")]
-    spread = spread.where(F.col("pos") + span <= F.size("w"))
-    if whole:
-        general = F.col("mask") < len(MASKS)
-        spread = spread.where(
-            F.when(F.size("w") >= window, general).otherwise(~general & (span == F.size("w")))
-        )
+    spread = spread.where(F.col("pos") + spans[F.col("mask")] <= F.size("w"))
     seed = None
-    for i, (_, mask) in enumerate(masks):
-        picked = F.xxhash64(F.lit(i), *[F.col("w")[F.col("pos") + o] for o in mask])
+    for i, mask in enumerate(masks):
+        picked = _seed(i, mask, F.col("pos"))
         seed = picked if seed is None else F.when(F.col("mask") == i, picked).otherwise(seed)
     return spread.select(*keep, "w", "pos", "mask", seed.alias("seed"))
 
 
+def _short_seeds(items: DataFrame, sizes: list[int], masks: list[tuple[int, ...]], percent: int) -> DataFrame:
+    """(item_id, part, w, pos, mask, seed) of the items that are shorter than the window."""
+    found = None
+    for size in sizes:
+        taken, places = short_blocks(size, percent)
+        number = masks.index(tuple(range(taken)))
+        places = F.array(*[F.lit(p) for p in places])
+        found = F.when(F.size("w") == size, F.transform(places, lambda p: F.struct(
+            p.alias("pos"), F.lit(number).alias("mask"), _seed(number, masks[number], p).alias("seed")  # noqa: B023
+        ))).otherwise(found)
+    return items.select("item_id", "part", "w", F.explode(found).alias("s")).select("item_id", "part", "w", "s.*")
+
+
 def _follows_a_hit() -> Column:
     """The place before matches under the same mask, so this hit is no head of a chain."""
     out = F.lit(False)
@@ -114,7 +117,8 @@ def overlaps(
     total, sizes = items.agg(
         F.sum(F.size("w") * len(MASKS)), F.collect_set(F.when(F.size("w") < window, F.size("w")))
     ).first()
-    masks = all_masks(sorted(sizes), percent)
+    sizes = sorted(sizes)
+    masks = list(MASKS) + [tuple(range(n)) for n in sorted({short_blocks(size, percent)[0] for size in sizes})]
     total = total or 0
     blocks = -(-int(total) // BLOCK_SEEDS) or 1
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
@@ -123,11 +127,12 @@ def overlaps(
     found = []
     for block in range(blocks):
         some = parts.where(F.pmod(F.hash("item_id", "part"), F.lit(blocks)) == block)
-        known = seeds(some, ["item_id", "part"], masks, window, whole=True).select(
-            "seed", F.col("mask").alias("item_mask"), "item_id", "part", F.col("pos").alias("item_pos")
-        )
+        known = probes(some.where(F.size("w") >= window), ["item_id", "part"], list(MASKS))
+        if sizes:
+            known = known.unionByName(_short_seeds(some.where(F.size("w") < window), sizes, masks, percent))
+        known = known.select("seed", F.col("mask").alias("item_mask"), "item_id", "part", F.col("pos").alias("item_pos"))
         hits = (
-            seeds(texts, ["doc_id"], masks, window)
+            probes(texts, ["doc_id"], masks)
             .join(F.broadcast(known), "seed")
             .where("mask = item_mask")
             .join(F.broadcast(some.withColumnRenamed("w", "item_words")), ["item_id", "part"])
@@ -142,32 +147,31 @@ def overlaps(
 
 
 def _verified(hits: DataFrame, window: int, percent: int) -> DataFrame:
-    """Hits whose alignment holds a window that agrees in enough words."""
+    """Hits whose alignment holds a window that agrees in enough words; each is compared once."""
     shift = F.col("pos") - F.col("item_pos")
+    compared = F.least(F.lit(window), F.size("item_words"))
+    begin = F.greatest(F.lit(0), shift)
     same = F.transform(
         F.sequence(
             F.greatest(F.lit(0), -shift), F.least(F.size("item_words"), F.size("w") - shift) - F.lit(1)
         ),
         lambda t: (F.col("w")[t + shift] == F.col("item_words")[t]).cast("int"),
     )
-    lined = hits.select(
-        "doc_id", "item_id", F.greatest(F.lit(0), shift).alias("begin"),
-        F.least(F.lit(window), F.size("item_words")).alias("compared"), same.alias("same"),
-    ).where(F.size("same") >= F.col("compared"))
-    scores = F.transform(
-        F.sequence(F.lit(1), F.size("same") - F.col("compared") + F.lit(1)),
-        lambda i: F.struct(
-            F.aggregate(F.slice("same", i, F.col("compared")), F.lit(0), lambda a, b: a + b).alias("agreeing"),
-            (-i).alias("back"),
-        ),
-    )
-    return (
-        lined.select("doc_id", "item_id", "begin", "compared", F.array_max(scores).alias("best"))
-        .where(F.lit(100) * F.col("best.agreeing") >= F.lit(percent) * F.col("compared"))
-        .select(
-            "doc_id", "item_id", (F.col("begin") - F.col("best.back") - 1).alias("start_word"),
-            F.col("best.agreeing").alias("agreeing"), "compared",
-        )
+
+    def best(line: Column) -> Column:
+        return F.array_max(F.transform(
+            F.sequence(F.lit(1), F.size(line) - compared + F.lit(1)),
+            lambda i: F.struct(
+                F.aggregate(F.slice(line, i, compared), F.lit(0), lambda a, b: a + b).alias("agreeing"), (-i).alias("back")
+            ),
+        ))
+
+    enough = F.transform(F.filter(F.array(same), lambda line: F.size(line) >= compared), best)
+    enough = F.filter(enough, lambda x: F.lit(100) * x["agreeing"] >= F.lit(percent) * compared)
+    found = unnest(hits.select("doc_id", "item_id", "w", "item_words", "pos", "item_pos"), enough, "doc_id", "item_id", begin.alias("begin"), compared.alias("compared"), pos="n", item="best")
+    return found.select(
+        "doc_id", "item_id", (F.col("begin") - F.col("best.back") - 1).alias("start_word"),
+        F.col("best.agreeing").alias("agreeing"), "compared",
     )
 
 
@@ -193,7 +197,7 @@ WITH d AS (
   SELECT item_id, generate_subscripts(w, 1) - 1 AS ipos, unnest(w) AS word, len(w) AS m FROM (
     SELECT min(item_id) AS item_id, w FROM (
       SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE text IS NOT NULL
-    ) GROUP BY w HAVING len(w) >= {SPAN})
+    ) GROUP BY w HAVING len(w) > 0)
 ), same AS (
   SELECT doc_id, item_id, pos - ipos AS shift, ipos, n, m, least({WINDOW}, m) AS compared
   FROM d JOIN b USING (word)

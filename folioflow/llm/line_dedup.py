@@ -216,6 +216,7 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated_documents(documents, Scratch(spark))
 
 
+#: Every two places with equal lines; neighbours on one diagonal are a maximal run.
 OP1_SQL = f"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(parts, 1) - 1 AS raw, unnest(parts) AS line
@@ -223,21 +224,16 @@ WITH l AS (
 ), n AS (
   SELECT doc_id, raw, line, len(regexp_extract_all(line, '\\S+')) AS words FROM l
 ), s AS (
-  SELECT doc_id, raw, line, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS seq,
-    sum(words) OVER (PARTITION BY doc_id ORDER BY raw) AS upto, words FROM n WHERE words > 0
-), ends AS (
-  SELECT a.doc_id, a.seq, min(b.seq) AS last FROM s a JOIN s b
-    ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + {MIN_WORDS} AND b.upto - a.upto + a.words >= {MIN_WORDS}
-  GROUP BY a.doc_id, a.seq
+  SELECT doc_id, raw, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS seq FROM n WHERE words > 0
+), pairs AS (
+  SELECT x.doc_id, y.doc_id AS earlier, x.seq, x.seq - y.seq AS shift, x.raw, x.words FROM s x JOIN s y USING (line)
+  WHERE x.doc_id > y.doc_id OR (x.doc_id = y.doc_id AND x.seq > y.seq)
 ), runs AS (
-  SELECT e.doc_id, e.seq, string_agg(s.line, chr(10) ORDER BY s.seq) AS body, list(s.raw) AS raws
-  FROM ends e JOIN s ON s.doc_id = e.doc_id AND s.seq BETWEEN e.seq AND e.last GROUP BY e.doc_id, e.seq
-), later AS (
-  SELECT doc_id, raws FROM (
-    SELECT doc_id, raws, row_number() OVER (PARTITION BY body ORDER BY doc_id, seq) AS place FROM runs)
-  WHERE place > 1
+  SELECT *, seq - row_number() OVER (PARTITION BY doc_id, earlier, shift ORDER BY seq) AS run FROM pairs
+), summed AS (
+  SELECT doc_id, raw, sum(words) OVER (PARTITION BY doc_id, earlier, shift, run) AS words FROM runs
 ), cuts AS (
-  SELECT DISTINCT doc_id, unnest(raws) AS raw FROM later
+  SELECT DISTINCT doc_id, raw FROM summed WHERE words >= {MIN_WORDS}
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.raw) AS text
   FROM l LEFT JOIN cuts c ON c.doc_id = l.doc_id AND c.raw = l.raw WHERE c.raw IS NULL GROUP BY l.doc_id

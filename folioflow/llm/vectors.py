@@ -3,8 +3,15 @@
 Each half of a unit vector has a codebook of its own (k-means on a bounded sample); a pair of codes is a
 cell. Every vector lives in its own cell and visits the cells nearest to it in the order of the
 multi-sequence algorithm: a heap over the two sorted lists of code distances. How many cells to visit
-is measured: sampled queries are compared with *all* vectors, and the visits cover TARGET of the
-true links (and at least LEAST_VISITS cells). All links found are verified in double precision.
+is measured: sampled queries are compared with *all* vectors, more of them until ENOUGH have a link, and
+of those that have, the share TARGET must find *all* its links, so that a hot group does not stand for
+lone pairs. All links found are verified in double precision.
+
+Where links are too rare for that, or lie too far in the order, visits follow from a bound instead and
+lose nothing: a linked vector that lives in another code's region has crossed the plane between both
+codes, and the crossings of both halves add up to at most the distance of the least cosine. The bound
+prunes little among vectors without clusters; cells are then made larger, down to one, whose blocks are
+compared as matrix products.
 
 Equal vectors are one node with a size. A cell is cut into blocks of residents and of visitors, so that a
 hot cell is many bounded matrix products. A block gives what it adds to each node's number of links, and
@@ -33,13 +40,16 @@ from folioflow.llm.sketch import filled
 
 COSINE = 0.95
 #: Vectors that codebooks are fitted on, and queries that the visits are measured with, at most.
-SAMPLE, QUERIES = 8192, 2000
+SAMPLE, QUERIES = 8192, 2048
+MOST_QUERIES, ENOUGH = 32768, 200
 SAMPLE_BYTES = 16 << 20
 TARGET = 0.999
 LEAST_VISITS, MOST_VISITS = 4, 1024
 #: Vectors in a cell on average, and in a block of residents or visitors.
 PER_CELL, RESIDENTS, VISITORS = 64, 256, 1024
 MOST_CODES = 1024
+#: Comparisons that cost as much as sending one copy of a vector.
+COPY_COST = 512
 
 
 def _unit(column: pa.Array) -> tuple[list, np.ndarray]:
@@ -109,26 +119,46 @@ def codebook(x: np.ndarray, size: int, turns: int = 10) -> np.ndarray:
 
 @dataclass(frozen=True)
 class MultiIndex:
-    """Codebooks of the two halves for every width that the sample has; others have one cell."""
+    """Codebooks of the two halves for every width that the sample has; others have one cell.
+
+    With a `bound`, vectors visit every cell that may hold one within this squared distance.
+    """
 
     books: dict[int, tuple[np.ndarray, np.ndarray]]
     visits: int = LEAST_VISITS
+    bound: float | None = None
 
     def cells(self, x: np.ndarray, visits: int) -> list[list[int]]:
-        """For each unit vector the numbers of its nearest cells, nearest first."""
+        """For each unit vector the numbers of its cells to visit, its own first."""
         books = self.books.get(x.shape[1])
         if books is None:
             return [[0]] * len(x)
         half = x.shape[1] // 2
         first, second = _nearest(x[:, :half], books[0]), _nearest(x[:, half:], books[1])
-        orders = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
         wide = len(books[1])
+        if self.bound is not None:
+            home = first.argmin(1) * wide + second.argmin(1)
+            if visits == 1:
+                return home[:, None].tolist()
+            across = _crossing(first, books[0])[:, :, None] + _crossing(second, books[1])[:, None, :]
+            near = across.reshape(len(x), -1) <= self.bound
+            near[np.arange(len(x)), home] = False
+            return [[h, *np.flatnonzero(n).tolist()] for h, n in zip(home.tolist(), near, strict=True)]
+        orders = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
         return [
             [i * wide + j for i, j in multi_sequence(a, b, p, q, visits)]
             for a, b, p, q in zip(first, second, *orders, strict=True)
         ]
 
 
+def _crossing(distances: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared distances from each row to the planes behind which another code is nearer than its own."""
+    own = distances.argmin(1)
+    apart = np.sqrt(_nearest(codes, codes))[own]
+    more = distances - distances[np.arange(len(own)), own][:, None]
+    return np.divide(more, 2 * apart, out=np.zeros_like(more), where=apart > 0) ** 2
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, by_a: np.ndarray, by_b: np.ndarray, visits: int):
     """The first pairs (i, j) in the order of a[i] + b[j]."""
     p, q = a[by_a].tolist(), b[by_b].tolist()
@@ -152,52 +182,91 @@ def _by_width(batch: pa.RecordBatch):
         yield at, _matrix(batch.column("data").take(pa.array(at)), int(width))
 
 
+def _bounded_index(sample: dict[int, np.ndarray], total: int, cosine: float) -> MultiIndex:
+    """The index of the least work whose visits lose no link."""
+    bound = 2 - 2 * cosine + 1e-6
+    books = {}
+    for width, x in sample.items():
+        half = width // 2
+        asked, best = x[:: max(1, len(x) // 256)], float("inf")
+        codes = 1
+        while half and codes <= min(64, len(x)):
+            tried = codebook(x[:, :half], codes), codebook(x[:, half:], codes)
+            cells = MultiIndex({width: tried}, bound=bound).cells(asked, MOST_VISITS)
+            visits = sum(map(len, cells)) / len(cells)
+            living = total / (len(tried[0]) * len(tried[1]))
+            work = visits * (living + COPY_COST * max(1, living / RESIDENTS))
+            if work < best:
+                best, books[width] = work, tried
+            codes *= 2
+    return MultiIndex(books, MOST_VISITS, bound)
+
+
 def fit_index(nodes: DataFrame, cosine: float, target: float) -> MultiIndex:
     """Codebooks from a sample, and the visits that reach the target recall against brute force."""
     total, width = nodes.agg(F.count("*"), F.max("width")).first()
     if not total:
         return MultiIndex({})
     size = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
-    sample = nodes.select("fp", "width", "data").orderBy("fp").limit(size).toArrow()
-    books, queries = {}, {}
-    for batch in sample.combine_chunks().to_batches(max_chunksize=size):
-        for _, x in _by_width(batch):
-            half = x.shape[1] // 2
-            codes = int(min(MOST_CODES, max(1, (total / PER_CELL) ** 0.5), len(x)))
-            if half:
-                books[x.shape[1]] = codebook(x[:, :half], codes), codebook(x[:, half:], codes)
-            queries[x.shape[1]] = x[:QUERIES]
+    drawn = nodes.select("fp", "width", "data").orderBy("fp").limit(max(size, min(MOST_QUERIES, 4 * size))).toArrow()
+    drawn = drawn.combine_chunks().to_batches()[0]
+    prints = drawn.column("fp").to_numpy()
+    sample = {}
+    for at, x in _by_width(drawn.slice(0, size)):
+        sample[x.shape[1]] = x
+    books = {}
+    for w, x in sample.items():
+        codes = int(min(MOST_CODES, max(1, (total / PER_CELL) ** 0.5), len(x)))
+        if w // 2:
+            books[w] = codebook(x[:, : w // 2], codes), codebook(x[:, w // 2 :], codes)
     index = MultiIndex(books)
-    # the place of each cell in each query's order
+    begin, farthest = 0, np.zeros(0, np.uint32)
+    while begin < drawn.num_rows and np.count_nonzero(farthest) < ENOUGH:
+        some = drawn.slice(begin, QUERIES)
+        farthest = np.concatenate([farthest, _farthest(nodes, index, some, prints[begin : begin + QUERIES], cosine)])
+        begin += some.num_rows
+    linked = np.sort(farthest[farthest > 0])
+    if len(linked) >= ENOUGH:
+        visits = int(linked[min(len(linked) - 1, int(np.ceil(target * len(linked))) - 1)])
+        if visits <= MOST_VISITS:
+            return MultiIndex(books, max(LEAST_VISITS, visits))
+    return _bounded_index(sample, total, cosine)
+
+
+def _farthest(
+    nodes: DataFrame, index: MultiIndex, asked: pa.RecordBatch, prints: np.ndarray, cosine: float
+) -> np.ndarray:
+    """Visits each query needs to find all its links with all nodes (MOST_VISITS + 1: more), 0 without any."""
+    queries = {x.shape[1]: (at, x) for at, x in _by_width(asked)}
     order = {
         w: [{cell: place for place, cell in enumerate(cells)} for cells in index.cells(x, MOST_VISITS)]
-        for w, x in queries.items()
+        for w, (_, x) in queries.items()
     }
-    shared = nodes.sparkSession.sparkContext.broadcast((index, queries, order))
+    shared = nodes.sparkSession.sparkContext.broadcast((index, queries, order, prints))
 
-    def measure(batches, places):
-        index, queries, order = shared.value
+    def measure(batches, needed):
+        index, queries, order, prints = shared.value
         for batch in batches:
+            names = batch.column("fp").to_numpy()
             for at, x in _by_width(batch):
-                asked = queries.get(x.shape[1])
-                if asked is None:
+                if x.shape[1] not in queries:
                     continue
+                numbers, asked = queries[x.shape[1]]
                 for begin in range(0, len(at), 1024):
-                    some = x[begin : begin + 1024]
+                    some, own = x[begin : begin + 1024], names[at[begin : begin + 1024]]
                     q, y = np.nonzero(asked @ some.T >= cosine)
-                    home = {}
+                    other = prints[numbers[q]] != own[y]
+                    q, y = q[other], y[other]
+                    met = np.unique(y)
+                    home = dict(zip(met.tolist(), (c[0] for c in index.cells(some[met], 1)), strict=True)) if len(met) else {}
                     for i, j in zip(q.tolist(), y.tolist(), strict=True):
-                        if j not in home:
-                            home[j] = index.cells(some[j : j + 1], 1)[0][0]
-                        places[order[x.shape[1]][i].get(home[j], MOST_VISITS)] += 1
+                        place = 1 + order[x.shape[1]][i].get(home[j], MOST_VISITS)
+                        needed[numbers[i]] = max(needed[numbers[i]], place)
 
-    places = filled(nodes.select("width", "data"), measure, 2048, np.uint32, np.add)
-    places[0] = 0  # the own cell is visited anyway, and every query finds itself there
-    if not places.sum():
-        return MultiIndex(books, LEAST_VISITS)
-    covered = np.cumsum(places[: MOST_VISITS + 1]) / places.sum()
-    visits = int(np.argmax(covered >= min(target, covered[MOST_VISITS - 1]))) + 1
-    return MultiIndex(books, max(LEAST_VISITS, visits))
+    size = 1 << max(6, (asked.num_rows - 1).bit_length())
+    found = filled(nodes.select("fp", "width", "data"), measure, size, np.uint32, np.maximum)[: asked.num_rows]
+    shared.destroy()
+    return found
 
 
 def _block_links(residents: pa.Table, visitors: pa.Table, cosine: float, width: int):
@@ -207,11 +276,14 @@ def _block_links(residents: pa.Table, visitors: pa.Table, cosine: float, width:
     i, j = np.nonzero(x @ y.T >= cosine)
     other = a[i] != b[j]
     i, j = i[other], j[other]
-    # does the resident visit the visitor's cell, too?
-    visits = residents.column("visits").combine_chunks().flatten().to_numpy().reshape(len(b), -1)
-    home = visitors.column("home").to_numpy()
-    both = (visits[j] == home[i][:, None]).any(axis=1)
-    once = ~both | (a[i] < b[j])
+    # does the resident visit the visitor's cell, too? under a bound both do
+    if residents.column("visits").null_count:
+        once = a[i] < b[j]
+    else:
+        visits = residents.column("visits").combine_chunks().flatten().to_numpy().reshape(len(b), -1)
+        home = visitors.column("home").to_numpy()
+        both = (visits[j] == home[i][:, None]).any(axis=1)
+        once = ~both | (a[i] < b[j])
     return a, b, i[once], j[once]
 
 
@@ -245,7 +317,9 @@ def near_vectors(
         ),
         "nodes",
     )
-    index = nodes.sparkSession.sparkContext.broadcast(fit_index(nodes, cosine, target))
+    fitted = fit_index(nodes, cosine, target)
+    bounded = fitted.bound is not None
+    index = nodes.sparkSession.sparkContext.broadcast(fitted)
 
     def place(batches):
         index = index_value()
@@ -253,7 +327,7 @@ def near_vectors(
             visits: list = [None] * batch.num_rows
             for at, x in _by_width(batch):
                 found = index.cells(x, index.visits)
-                most = max(len(c) for c in found)
+                most = 0 if index.bound is not None else max(len(c) for c in found)
                 for row, cells in zip(at.tolist(), found, strict=True):
                     visits[row] = cells + cells[:1] * (most - len(cells))
             yield pa.RecordBatch.from_arrays(
@@ -278,12 +352,13 @@ def near_vectors(
         ),
         "parts",
     )
+    told = F.lit(None).cast("array<bigint>") if bounded else F.col("visits")
     residents = (
         placed.withColumn("cell", F.col("home"))
         .join(parts, ["width", "cell"])
         .withColumn("r", F.pmod(F.hash("fp"), F.col("rs")))
         .withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)))
-        .select("width", "cell", "r", "v", "fp", "size", "data", "home", "visits")
+        .select("width", "cell", "r", "v", "fp", "size", "data", "home", told.alias("visits"))
     )
     visitors = (
         placed.withColumn("cell", F.explode(F.array_distinct("visits")))

@@ -222,6 +222,8 @@ def write_archives(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCH
     return scratch.save(_planned(pages).mapInArrow(write, "path string, records bigint, bytes bigint"), "archives")
 
 
+#: Bytes of archives that one task reads, about, where there are more than tasks anyway.
+TASK_BYTES = 128 << 20
 _FIELDS = [
     ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -256,7 +258,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 )
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return archives.select("path").repartition("path").mapInArrow(read, schema)
+    count, size = archives.agg(F.count("*"), F.sum("bytes")).first()
+    # a number, or the few bytes of the paths would be packed into one task
+    least = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(count, max(least, (size or 0) // TASK_BYTES)))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -45,26 +45,34 @@ def jaccard_components(texts: dict[int, str | None], percent: int = 85) -> dict[
 
 
 def deduplicated(texts: dict[int, str | None], min_words: int = 50) -> dict[int, str | None]:
-    """Texts by id without the later copies of the shortest repeated runs of enough words."""
-    first: dict[tuple, tuple] = {}
-    runs = []
-    for i in sorted(texts):
-        lines = [(n, x) for n, x in enumerate((texts[i] or "").split("\n")) if re.search(r"\S", x)]
-        for start in range(len(lines)):
-            words, stop = 0, start
-            while stop < len(lines) and words < min_words:
-                words += len(re.findall(r"\S+", lines[stop][1]))
+    """Texts by id without the lines of maximal runs, of enough words, that have an earlier copy."""
+    lines = [
+        (i, n, x, len(re.findall(r"\S+", x)))
+        for i in sorted(texts)
+        for n, x in enumerate((texts[i] or "").split("\n"))
+        if re.search(r"\S", x)
+    ]
+    places, cut = defaultdict(list), set()
+
+    def alike(p, q):
+        return p >= 0 <= q and lines[p][2] == lines[q][2]
+
+    def together(p, q):
+        return q < len(lines) and p < len(lines) and lines[p][0] == lines[p - 1][0] and lines[q][0] == lines[q - 1][0]
+
+    for p, (_, _, x, _) in enumerate(lines):
+        for q in places[x]:
+            if together(p, q) and alike(p - 1, q - 1):
+                continue  # inside a run that was followed from its start
+            stop, words = 0, 0
+            while p + stop < len(lines) and alike(p + stop, q + stop) and (not stop or together(p + stop, q + stop)):
+                words += lines[p + stop][3]
                 stop += 1
             if words >= min_words:
-                body = tuple(x for _, x in lines[start:stop])
-                first.setdefault(body, (i, start))
-                runs.append((i, start, body, [n for n, _ in lines[start:stop]]))
-    cut = defaultdict(set)
-    for i, start, body, raws in runs:
-        if first[body] != (i, start):
-            cut[i].update(raws)
+                cut.update(row[:2] for row in lines[p : p + stop])
+        places[x].append(p)
     return {
-        i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in cut[i])
+        i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in cut)
         for i, t in texts.items()
     }
 
@@ -81,8 +89,6 @@ def overlapping(texts: dict[int, str | None], items: dict[int, str], window: int
         for item, other in items.items():
             x = words(other)
             size = min(window, len(x))
-            if len(x) < 10:
-                continue
             for shift in range(-len(x) + 1, len(w)):
                 same = [w[shift + t] == x[t] for t in range(max(0, -shift), min(len(x), len(w) - shift))]
                 if any(100 * sum(same[a : a + size]) >= percent * size for a in range(len(same) - size + 1)):

@@ -153,3 +153,29 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     expected = sorted((str(i), n, str(found.get(i)), i is None or found[i] == i) for (i, _), n in zip(rows, links, strict=True))
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in out) == expected
     assert vectors.near_vectors(table.where("vec_id > 9999"), shared.Scratch(spark)).count() == 0
+
+
+def _lone_pairs(rng, count, width, first):
+    """Pairs at a cosine of 0.953."""
+    rows = []
+    for i in range(count):
+        x = rng.normal(size=width)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=width)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        rows += [(first + 2 * i, x), (first + 2 * i + 1, 0.953 * x + np.sqrt(1 - 0.953**2) * y)]
+    return rows
+
+
+@pytest.mark.parametrize("pairs, hot, single", [(300, 1000, 2500), (12, 0, 6000)])
+def test_lone_pairs_are_found_beside_a_hot_group(spark, pairs, hot, single):
+    rng = np.random.default_rng(pairs)
+    rows = _lone_pairs(rng, pairs, 32, 0)
+    centre = rng.normal(size=32)
+    rows += [(100_000 + i, centre + rng.normal(size=32) * 0.002) for i in range(hot)]
+    rows += [(200_000 + i, rng.normal(size=32)) for i in range(single)]
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table.repartition(8), shared.Scratch(spark)).collect()}
+    assert [found[i] for i in range(2 * pairs)] == [(1, i // 2 * 2) for i in range(2 * pairs)]
+    assert {found[100_000 + i] for i in range(hot)} <= {(hot - 1, 100_000)}
