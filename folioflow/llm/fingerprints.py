@@ -40,8 +40,9 @@ from folioflow.llm.shared import Scratch, mix, text_chunks
 WALKS = 2
 SAMPLES = 64
 GRAM = 8
-PERIOD = 1024
-CLASSES = 256
+#: A time within the period is one byte.
+PERIOD = 256
+CLASSES = 64
 #: Sampled bytes of a band; 32 bands find a likeness of 0.5 with a chance of 0.87, of 0.67 with 0.999.
 BAND_BYTES = 4
 LIKENESS = 0.5
@@ -88,16 +89,16 @@ class Walk:
     def times(self, classes: bytes, start: int = 0) -> np.ndarray:
         """Time, modulo PERIOD, at which the walk comes to each character and to the end."""
         states = itertools.accumulate(classes, operator.getitem, initial=self.states[start])
-        return np.fromiter(map(operator.itemgetter(CLASSES), states), np.int64, len(classes) + 1)
+        return np.frombuffer(bytes(map(operator.itemgetter(CLASSES), states)), np.uint8)
 
     def sample(self, times: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """SAMPLES bytes of a walk over these code points; `times` are modulo PERIOD."""
-        arrival = np.concatenate([[0], np.cumsum(np.diff(times) % PERIOD)])
+        """SAMPLES bytes of a walk over these code points and a final 0; `times` are modulo PERIOD."""
+        arrival = np.zeros(len(times), np.int64)
+        np.cumsum(times[1:] - times[:-1], out=arrival[1:])  # bytes wrap around as the period does
         last = np.maximum((self.records < arrival[-1]).sum(axis=1) - 1, 0)
         steps = self.records[np.arange(SAMPLES), last][:, None] + np.arange(GRAM)
-        place = np.searchsorted(arrival, steps, side="right") - 1
-        known = np.append(points, 0).astype(np.uint64) + np.uint64(1)
-        written = known[np.minimum(place, len(points))]  # beyond the end: 1
+        place = arrival.searchsorted(steps, side="right") - 1  # the final 0 beyond the end
+        written = points[place].astype(np.uint64) + np.uint64(1)
         return (mix((written * self.keys).sum(axis=1) + steps[:, 0].astype(np.uint64)) >> np.uint64(24)).astype(np.uint8)
 
 
@@ -107,9 +108,9 @@ def walks() -> tuple[Walk, ...]:
 
 
 def code_points(text: str) -> tuple[np.ndarray, bytes]:
-    """Code points of a text, and the class of each."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, ((points * np.uint32(2654435761)) >> np.uint32(11)).astype(np.uint8).tobytes()
+    """Code points of a text and a final 0, and the class of each."""
+    points = np.frombuffer((text + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, (((points[:-1] * np.uint32(2654435761)) >> np.uint32(11)) & np.uint32(CLASSES - 1)).astype(np.uint8).tobytes()
 
 
 class Walked:

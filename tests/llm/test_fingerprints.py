@@ -23,7 +23,7 @@ def stepwise(text: str) -> bytes:
         written, time, place = [], 0, 0
         while place < len(text):
             written.append(ord(text[place]))
-            kind = (ord(text[place]) * 2654435761 % (1 << 32) >> 11) & 255
+            kind = (ord(text[place]) * 2654435761 % (1 << 32) >> 11) % fp.CLASSES
             place += int(bits[kind * fp.PERIOD + time % fp.PERIOD]) >> 40 & 1
             time += 1
         for sample in range(fp.SAMPLES):
