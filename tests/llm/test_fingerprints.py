@@ -101,11 +101,13 @@ def test_search_finds_edited_copies(spark):
     copies = [t[:500] + "q" + t[520:700] + "xyz" + t[700:] for t in texts[:20]]
     rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(2000, texts[0]), (None, texts[0])]
     table = spark.createDataFrame(rows, SCHEMA)
-    queries = table.where("doc_id % 100 = 0")
+    queries = table.where("doc_id < 20")
     found = {(r["query_id"], r["class_id"]): r["likeness"] for r in fp.near_documents(queries, table, Scratch(spark)).collect()}
     classes = {}
     for i, text in rows[:-1]:
         classes.setdefault(fp.fingerprint(text), i)
-    near = {(classes[q], d): fp.likeness(q, f) for f, d in classes.items() for q in map(fp.fingerprint, [texts[0], texts[100], copies[0]])}
+    near = {(classes[q], d): fp.likeness(q, f) for f, d in classes.items() for q in map(fp.fingerprint, texts[:20])}
     assert found == {k: v for k, v in near.items() if v >= fp.LIKENESS}
-    assert 0.5 < found[0, 1000] < 1 and found[100, 100] == 1
+    copied = [classes[fp.fingerprint(c)] for c in copies]
+    assert sum((i, c) in found for i, c in enumerate(copied)) >= 15 and found[5, 5] == 1
+    assert any(0.5 < v < 1 for v in found.values())
