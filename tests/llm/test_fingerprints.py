@@ -98,7 +98,7 @@ def test_few_rows_and_very_long_texts(spark):
 def test_search_finds_edited_copies(spark):
     rng = random.Random(8)
     texts = [prose(rng, 200) for _ in range(120)]
-    copies = [t[:500] + "q" + t[520:700] + "xyz" + t[700:] for t in texts[:20]]
+    copies = [t[:700] + "q" + t[703:1000] + "xy" + t[1000:] for t in texts[:20]]
     rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(2000, texts[0]), (None, texts[0])]
     table = spark.createDataFrame(rows, SCHEMA)
     queries = table.where("doc_id < 20")
