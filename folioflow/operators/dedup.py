@@ -5,15 +5,23 @@ the map side), so a hash shared by a third of all documents is one row, not a gr
 incoming side of each join may still carry a hot key; these are plain equi joins with the
 big side on the left, which adaptive execution splits at run time.
 
-Null hashes and blank titles never match.
+Null hashes, blank titles and null calls never match; such rows pass by the joins, where they
+would meet in one task.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from folioflow.functions.text import is_blank
+from folioflow.operators.groups import connected, key_links
 from folioflow.operators.lineage import broadcast_if_small, materialise
 
 NONE, REINDEX, BLOCK_HARD, BLOCK_SOFT = "none", "reindex", "block_hard", "block_soft"
@@ -69,13 +77,21 @@ def by_document_id(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
 
 
+def _looked_up(incoming: DataFrame, found: DataFrame, keys: list[str], column: str, matchable: Column) -> DataFrame:
+    """``incoming`` with ``column`` of the key's row in ``found``; rows that cannot match skip the join."""
+    known = F.coalesce(matchable, F.lit(False))
+    alone = incoming.filter(~known).withColumn(column, F.lit(None).cast(found.schema[column].dataType))
+    return incoming.filter(known).join(found, keys, "left").unionByName(alone)
+
+
 def _with_matches(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
     known = indexed.select("document_id").distinct().withColumn("id_match", F.lit(True))
-    return (
-        incoming.join(by_content_hash(indexed).drop("documents"), "content_hash", "left")
-        .join(known, "document_id", "left")
-        .join(by_title_and_call(indexed).drop("documents"), ["proposal_title", "call_id"], "left")
+    titled = ~is_blank(F.col("proposal_title")) & F.col("call_id").isNotNull()
+    out = _looked_up(
+        incoming, by_content_hash(indexed).drop("documents"), ["content_hash"], "hash_match", F.col("content_hash").isNotNull()
     )
+    out = out.join(known, "document_id", "left")
+    return _looked_up(out, by_title_and_call(indexed).drop("documents"), ["proposal_title", "call_id"], "title_match", titled)
 
 
 def decide_duplicates(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -104,100 +120,169 @@ def decide_duplicates(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
     )
 
 
-def decide_batch(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Decisions for a batch taken in ``position`` order, each document seeing the index and
-    everything admitted before it in the batch.
+def _matchable(incoming: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Incoming rows and the indexed documents they can meet, with a node number and keys.
 
-    Solved in rounds instead of one by one. In each round a document is decided as soon as
-    no earlier undecided document shares the key that matters; all copies behind an admitted
-    document fall in the same round, so a hot key does not add rounds. A round only touches
-    what is still undecided and what the round before admitted. A record that a re-index
-    replaces keeps blocking until the batch is over.
+    A key that never matches (null hash, blank title, null call) is a value of the row's own, so
+    unmatchable rows neither meet in one task nor count as sharing.
     """
-    title_key = F.when(
-        ~is_blank(F.col("proposal_title")), F.struct("proposal_title", "call_id")
-    )
-    nobody = F.lit(None).cast("struct<position: bigint, document_id: string>")
-    state = materialise(
-        _with_matches(incoming, indexed).select(
-            *incoming.columns,
-            "hash_match",
-            F.coalesce("id_match", F.lit(False)).alias("id_match"),
-            "title_match",
-            title_key.alias("title_key"),
-            *[nobody.alias(f"{tag}_in") for tag in _BATCH_KEYS],
-            F.when(F.col("hash_match").isNotNull(), BLOCK_HARD).alias("action"),
-            F.col("hash_match").alias("conflict"),
+    known = matching_documents(indexed, incoming).withColumn("known", F.lit(True))
+    known = materialise(known.withColumn("node", 2 * F.monotonically_increasing_id() + 1))
+    new = incoming.withColumns({"known": F.lit(False), "node": 2 * F.col("position").cast("bigint")})
+    rows = new.unionByName(known, allowMissingColumns=True)
+    own = F.concat(F.lit("\0"), F.col("node").cast("string"))
+    title = F.when(~is_blank(F.col("proposal_title")), F.concat("proposal_title", F.lit("\0"), "call_id"))
+    return materialise(
+        rows.withColumns(
+            {"i": F.coalesce("document_id", own), "h": F.coalesce("content_hash", own), "t": F.coalesce(title, own)}
         )
     )
-    waiting = F.col("action").isNull()
-    decided = [state.filter(~waiting)]
-    fresh = state.limit(0)
-    while (pending := state.filter(waiting)).count():
-        state = materialise(_decide_round(pending, fresh))
-        fresh = state.filter(F.col("action").isin(NONE, REINDEX))
-        decided.append(state.filter(~waiting))
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-    return out.select(
-        *incoming.columns, "action", F.col("conflict").alias("conflicting_document_id")
-    )
-
-
-_BATCH_KEYS = {"h": "content_hash", "i": "document_id", "t": "title_key"}
-
-
-def _decide_round(pending: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Pending documents with the decisions that are certain now; ``fresh`` holds what the
-    last round admitted. ``<tag>_in`` is the earliest admitted document per key."""
-    both = pending.unionByName(fresh)
-    x = pending
-    for tag, key in _BATCH_KEYS.items():
-        is_waiting = F.col("action").isNull()
-        firsts = (
-            both.filter(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(
-                F.min(F.when(is_waiting, F.col("position"))).alias(f"{tag}_waiting"),
-                F.min(
-                    F.when(
-                        ~is_waiting,
-                        F.struct(F.col("position").cast("bigint").alias("position"), "document_id"),
-                    )
-                ).alias(f"{tag}_new"),
-            )
+
+
+def _thinned(rows: DataFrame, force: bool) -> DataFrame:
+    """Rows with ``action`` and ``conflict`` where they are certain whatever happens in between.
+
+    A record stays for good if no other row has its id (nobody re-indexes it) and, with force, nobody of
+    its title and call has other bytes (nobody replaces it). Copies behind such a record are decided at
+    once, so a key of a third of all rows leaves a few rows to the replay.
+    """
+    shared_id = rows.groupBy("i").agg(F.count("*").alias("i_n")).filter("i_n > 1")
+    rows = rows.join(shared_id, "i", "left")
+    stays = F.col("i_n").isNull()
+    if force:
+        contested = (
+            rows.groupBy("t").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+            .filter("n > 1 AND low <> high").select("t", F.lit(True).alias("contested"))
         )
-        x = x.join(firsts, key, "left").withColumn(
-            f"{tag}_in", F.least(f"{tag}_in", f"{tag}_new")
+        rows = rows.join(contested, "t", "left")
+        stays = stays & F.col("contested").isNull()
+    rows = rows.withColumn("stays", stays)
+
+    def summary(key: str, calm: Column) -> DataFrame:
+        here = F.when(~F.col("known"), F.col("node"))
+        return (
+            rows.groupBy(key).agg(
+                F.count("*").alias(f"{key}_n"), F.count_if("known").alias(f"{key}_known"), F.min(here).alias(f"{key}_first"),
+                F.bool_and(calm).alias(f"{key}_calm"), F.min(F.when(F.col("known"), F.col("document_id"))).alias(f"{key}_owner"),
+            ).filter(F.col(f"{key}_n") > 1)
         )
-    at = F.col("position")
-
-    def admitted_before(tag: str) -> Column:
-        return F.coalesce(F.col(f"{tag}_in.position") < at, F.lit(False))
-
-    def first_waiting(tag: str) -> Column:
-        return F.coalesce(F.col(f"{tag}_waiting") >= at, F.lit(True))
-
-    id_known = F.col("id_match") | admitted_before("i")
-    title_taken = F.col("title_match").isNotNull() | admitted_before("t")
-    undecided = F.lit(None).cast("string")
-    decision = (
-        F.when(admitted_before("h"), BLOCK_HARD)
-        .when(~first_waiting("h"), undecided)
-        .when(id_known, REINDEX)
-        .when(~first_waiting("i"), undecided)
-        .when(title_taken, BLOCK_SOFT)
-        .when(~first_waiting("t"), undecided)
-        .otherwise(NONE)
+
+    rows = rows.join(summary("h", ~F.col("known") | F.col("stays")), "h", "left")
+    rows = rows.join(summary("t", F.col("i_n").isNull()), "t", "left")
+
+    def leads(key: str) -> Column:
+        return F.col(f"{key}_n").isNull() | ((F.col(f"{key}_known") == 0) & (F.col("node") == F.col(f"{key}_first")))
+
+    certain = ~F.col("known") & F.col("stays") & leads("h") & leads("t")
+    rows = materialise(rows.withColumn("certain", certain))
+    for key in ("h", "t"):
+        first = rows.filter(F.col("certain") & F.col(f"{key}_n").isNotNull()).select(
+            key, F.col("node").alias(f"{key}_winner"), F.col("document_id").alias(f"{key}_winner_id")
+        )
+        rows = rows.join(first, key, "left")
+
+    def behind(key: str) -> Column:
+        return F.when((F.col(f"{key}_known") > 0) & F.col(f"{key}_calm"), F.col(f"{key}_owner")).when(
+            F.col(f"{key}_winner") != F.col("node"), F.col(f"{key}_winner_id")
+        )
+
+    lone = F.col("i_n").isNull() & F.col("h_n").isNull()
+    soft = F.when(lone & F.col("t_calm"), behind("t")) if not force else F.lit(None).cast("string")
+    action = (
+        F.when(F.col("known"), None).when(behind("h").isNotNull(), BLOCK_HARD).when(soft.isNotNull(), BLOCK_SOFT)
+        .when(lone & F.col("t_n").isNull(), NONE)
     )
-    conflict = (
-        F.when(decision == BLOCK_HARD, F.col("h_in.document_id"))
-        .when(decision == REINDEX, F.col("document_id"))
-        .when(decision == BLOCK_SOFT, F.coalesce("title_match", F.col("t_in.document_id")))
+    conflict = F.when(action == BLOCK_HARD, behind("h")).when(action == BLOCK_SOFT, soft)
+    return rows.withColumns({"action": action, "conflict": conflict})
+
+
+class _Index:
+    """The records of one component while its rows are replayed."""
+
+    def __init__(self):
+        self.records: dict[str, list] = defaultdict(list)
+        self.by_hash: dict[str, list] = defaultdict(list)
+        self.by_title: dict[str, list] = defaultdict(list)
+
+    def add(self, doc: str, digest: str, title: str, position: int | None) -> None:
+        self.records[doc].append((digest, title, position))
+        heapq.heappush(self.by_hash[digest], doc)
+        heapq.heappush(self.by_title[title], doc)
+
+    def owner(self, key: str, place: int) -> str | None:
+        """The least id that holds a hash (place 0) or title (place 1)."""
+        held = (self.by_hash, self.by_title)[place].get(key, [])
+        while held and all(r[place] != key for r in self.records.get(held[0], ())):
+            heapq.heappop(held)  # freed
+        return held[0] if held else None
+
+    def decide(self, position: int, doc: str, digest: str, title: str, force: bool) -> tuple:
+        """(action, conflicting id, position of the batch's record it replaces)."""
+        action, conflict = BLOCK_HARD, self.owner(digest, 0)
+        if conflict is None:
+            if self.records.get(doc):
+                action, conflict = REINDEX, doc
+            else:
+                conflict = self.owner(title, 1)
+                action = NONE if conflict is None else BLOCK_SOFT
+        replaced = None
+        if action in (NONE, REINDEX) or (force and action == BLOCK_SOFT):
+            gone = self.records.pop(conflict, []) if conflict is not None else []
+            replaced = next((p for _, _, p in gone if p is not None), None)
+            self.add(doc, digest, title, position)
+        return action, conflict, replaced
+
+
+def _replay(batches, force: bool):
+    component, index = None, _Index()
+    for batch in batches:
+        out = []
+        columns = ("component", "known", "position", "i", "h", "t")
+        for group, known, position, *keys in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if group != component:
+                component, index = group, _Index()
+            if known:
+                index.add(*keys, None)
+            else:
+                out.append(index.decide(position, *keys, force))
+        new = batch.filter(pc.invert(batch.column("known"))).drop_columns(["component", "known", "i", "h", "t"])
+        decided = zip(*out, strict=True) if out else ((), (), ())
+        for name, kind, values in zip(_DECIDED, (pa.string(), pa.string(), pa.int64()), decided, strict=True):
+            new = new.append_column(name, pa.array(values, kind))
+        yield new
+
+
+_DECIDED = ("action", "conflicting_document_id", "replaced_position")
+
+
+def decide_batch(incoming: DataFrame, indexed: DataFrame, force: bool = False) -> DataFrame:
+    """Decisions for a batch taken strictly one by one in ``position`` order (unique bigints).
+
+    Each document sees the index as the ones before it left it: admitted records count, a record that
+    is re-indexed or, with ``force``, replaced is gone and its keys are free. The smallest id among the
+    records that conflict is reported; ``replaced_position`` is the batch's own record that made way.
+
+    What nothing in between can change is decided in bulk first. The rest falls into components over
+    shared hashes, ids and titles, which do not see each other; each is replayed in order, as a stream
+    that holds its keys only.
+    """
+    rows = materialise(_thinned(_matchable(incoming, indexed), force))
+    early = rows.filter("action IS NOT NULL").select(
+        *incoming.columns, "action", F.col("conflict").alias("conflicting_document_id"),
+        F.lit(None).cast("bigint").alias("replaced_position"),
+    )
+    rest = rows.filter("action IS NULL").select(*incoming.columns, "known", "node", "i", "h", "t")
+    links = materialise(key_links(rest, "node", ("i", "h", "t")))
+    found = rest.withColumn("component", F.col("node"))
+    if not links.isEmpty():
+        groups = connected(links)
+        found = rest.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ordered = found.repartition("component").sortWithinPartitions("component", F.desc("known"), "position").drop("node")
+    fields = StructType(
+        incoming.schema.fields + [StructField(n, t) for n, t in zip(_DECIDED, (StringType(), StringType(), LongType()), strict=True)]
     )
-    kept = [c for c in pending.columns if c not in ("action", "conflict")]
-    return x.select(*kept, decision.alias("action"), conflict.alias("conflict"))
+    late = ordered.mapInArrow(lambda batches: _replay(batches, force), fields)
+    return early.unionByName(late)
 
 
 def admission(decisions: DataFrame, force: bool = False) -> DataFrame:
@@ -217,6 +302,16 @@ def admission(decisions: DataFrame, force: bool = False) -> DataFrame:
     )
 
 
+def survivors(admitted: DataFrame) -> DataFrame:
+    """``stays``: whether the record of an admitted document is still there when the batch is over."""
+    admitted = materialise(admitted)
+    gone = admitted.filter("replaced_position IS NOT NULL").select(
+        F.col("replaced_position").alias("position"), F.lit(True).alias("gone")
+    )
+    kept = (F.col("outcome") != "skipped") & F.col("gone").isNull()
+    return admitted.join(gone, "position", "left").withColumn("stays", kept).drop("gone")
+
+
 def batch_summary(admitted: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     """Documents and chunks per outcome (added, reindexed, skipped).
 

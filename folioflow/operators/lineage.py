@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -24,10 +24,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a side that has at most ``rows`` rows; leave a larger one alone.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a side whose values take at most ``limit`` bytes; leave a larger one alone.
 
-    Without the hint a join with a computed side of unknown size shuffles the big side too.
-    The caller passes a stored or materialised table, so counting it is cheap.
+    Without the hint a join with a computed side of unknown size shuffles the big side too. Texts and
+    binaries are measured, other values and every row count 8 bytes. The caller passes a stored or
+    materialised table, so measuring it is cheap.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    size = F.lit(8)
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    total = df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df

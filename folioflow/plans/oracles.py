@@ -717,48 +717,67 @@ oracle(
     ("admissions",),
     "SELECT position, forced, outcome, replaced_document_id FROM admissions",
 )
-# one document after the other: the state is what the batch has admitted so far
+# one document after the other: the state is the index itself, from which replaced records are deleted
 view(
-    "queue",
-    ("matched",),
-    f"SELECT *, row_number() OVER (ORDER BY position) AS turn, "
-    f"CASE WHEN {strip('proposal_title')} <> '' THEN proposal_title || '|' || call_id END AS title_key FROM matched",
+    "records",
+    ("proposals",),
+    f"SELECT document_id, content_hash, CASE WHEN {strip('proposal_title')} <> '' THEN proposal_title || '|' || call_id END "
+    "AS title_key FROM proposals",
 )
 view(
-    "batch_walk",
-    ("queue",),
-    """
+    "queue",
+    ("incoming",),
+    f"SELECT position, document_id, content_hash, row_number() OVER (ORDER BY position) AS turn, "
+    f"CASE WHEN {strip('proposal_title')} <> '' THEN proposal_title || '|' || call_id END AS title_key FROM incoming",
+)
+
+
+def _batch_walk(admitted: str) -> str:
+    return f"""
 SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS document_id,
        CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS conflicting_document_id,
-       CAST([] AS VARCHAR[]) AS hashes, CAST([] AS VARCHAR[]) AS owners, CAST([] AS VARCHAR[]) AS titles
+       (SELECT list({{id: document_id, h: content_hash, t: title_key}}) FROM records) AS live
 UNION ALL
-SELECT turn, position, document_id, action,
-       CASE action WHEN 'block_hard' THEN coalesce(by_hash, owners[list_position(hashes, content_hash)])
-                   WHEN 'reindex' THEN document_id
-                   WHEN 'block_soft' THEN coalesce(by_title, owners[list_position(titles, title_key)]) END,
-       CASE WHEN action IN ('none', 'reindex') THEN list_append(hashes, coalesce(content_hash, '-')) ELSE hashes END,
-       CASE WHEN action IN ('none', 'reindex') THEN list_append(owners, document_id) ELSE owners END,
-       CASE WHEN action IN ('none', 'reindex') THEN list_append(titles, coalesce(title_key, '-')) ELSE titles END
-FROM (SELECT q.*, w.hashes, w.owners, w.titles,
-             CASE WHEN q.by_hash IS NOT NULL OR list_contains(w.hashes, q.content_hash) THEN 'block_hard'
-                  WHEN q.by_id OR list_contains(w.owners, q.document_id) THEN 'reindex'
-                  WHEN q.by_title IS NOT NULL OR list_contains(w.titles, q.title_key) THEN 'block_soft'
-                  ELSE 'none' END AS action
-      FROM batch_walk w JOIN queue q ON q.turn = w.turn + 1)""",
-)
+SELECT turn, position, document_id, action, conflict,
+       CASE WHEN action IN ({admitted})
+            THEN list_append(list_filter(live, lambda r: r.id <> coalesce(conflict, '')), {{id: document_id, h: content_hash, t: title_key}})
+            ELSE live END
+FROM (SELECT *, CASE WHEN by_hash IS NOT NULL THEN 'block_hard' WHEN by_id THEN 'reindex'
+                     WHEN by_title IS NOT NULL THEN 'block_soft' ELSE 'none' END AS action,
+             CASE WHEN by_hash IS NOT NULL THEN by_hash WHEN by_id THEN document_id ELSE by_title END AS conflict
+      FROM (SELECT q.*, w.live,
+                   list_min(list_transform(list_filter(w.live, lambda r: r.h = q.content_hash), lambda r: r.id)) AS by_hash,
+                   list_contains(list_transform(w.live, lambda r: r.id), q.document_id) AS by_id,
+                   list_min(list_transform(list_filter(w.live, lambda r: r.t = q.title_key), lambda r: r.id)) AS by_title
+            FROM WALK w JOIN queue q ON q.turn = w.turn + 1))"""
+
+
+view("batch_walk", ("queue", "records"), _batch_walk("'none', 'reindex'").replace("WALK", "batch_walk"))
+view("forced_walk", ("queue", "records"), _batch_walk("'none', 'reindex', 'block_soft'").replace("WALK", "forced_walk"))
 oracle(
     "batch_decisions",
     ("batch_walk",),
     "SELECT position, document_id, action, conflicting_document_id FROM batch_walk WHERE turn > 0",
 )
+oracle(
+    "batch_decisions_forced",
+    ("forced_walk",),
+    """
+SELECT position, document_id, action, conflicting_document_id,
+       CASE action WHEN 'none' THEN 'added' WHEN 'block_hard' THEN 'skipped' ELSE 'reindexed' END AS outcome,
+       EXISTS (SELECT 1 FROM (SELECT unnest(live) AS r FROM forced_walk WHERE turn = (SELECT max(turn) FROM forced_walk)) e
+               WHERE e.r.id = w.document_id AND action <> 'block_hard'
+                 AND turn = (SELECT max(turn) FROM forced_walk x WHERE x.document_id = w.document_id AND x.action <> 'block_hard')) AS stays
+FROM forced_walk w WHERE turn > 0""",
+)
 oracle(
     "batch_outcomes",
-    ("admissions", "chunks"),
+    ("batch_walk", "chunks"),
     """
-SELECT outcome, count(*) AS documents,
-       CAST(sum(CASE WHEN outcome = 'skipped' THEN 0 ELSE n END) AS BIGINT) AS chunks
-FROM admissions a LEFT JOIN (SELECT document_id AS d, count(*) AS n FROM chunks GROUP BY 1) c ON c.d = 'doc_' || a.position
-WHERE NOT forced GROUP BY 1""",
+SELECT outcome, count(*) AS documents, CAST(sum(CASE WHEN outcome = 'skipped' THEN 0 ELSE n END) AS BIGINT) AS chunks
+FROM (SELECT position, CASE action WHEN 'none' THEN 'added' WHEN 'reindex' THEN 'reindexed' ELSE 'skipped' END AS outcome
+      FROM batch_walk WHERE turn > 0) a
+LEFT JOIN (SELECT document_id AS d, count(*) AS n FROM chunks GROUP BY 1) c ON c.d = 'doc_' || a.position GROUP BY 1""",
 )
 view(
     "revised",

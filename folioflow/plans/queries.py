@@ -594,9 +594,18 @@ def batch_decisions(spark, d):
     )
 
 
+@query
+def batch_decisions_forced(spark, d):
+    """The same with `force`: a suspected duplicate replaces the record it conflicts with."""
+    decided = dedup.decide_batch(views.incoming(spark, d), _indexed(spark, d), force=True)
+    return dedup.survivors(dedup.admission(decided, force=True)).select(
+        "position", "document_id", "action", "conflicting_document_id", "outcome", "stays"
+    )
+
+
 @query
 def batch_outcomes(spark, d):
-    decisions = dedup.decide_duplicates(views.incoming(spark, d), _indexed(spark, d))
+    decisions = dedup.decide_batch(views.incoming(spark, d), _indexed(spark, d))
     counts = views.chunks(spark, d).groupBy(
         F.replace("document_id", F.lit("doc_"), F.lit("")).cast("bigint").alias("position")
     ).agg(F.count("*").alias("chunk_count"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.chunking import ChunkSizes, chunk_documents
-from folioflow.operators.dedup import admission, decide_batch, matching_documents
+from folioflow.operators.dedup import admission, decide_batch, survivors
 from folioflow.operators.embedding import hash_embedding
 from folioflow.sources.chunk_table import ChunkTable
 from folioflow.sources.documents import SECTION
@@ -40,17 +40,10 @@ def ingest_batch(
     """
     keys = incoming.select(*KEYS)
     live = table.read(before=table.version_of(*source) if source else None)
-    if live is None:
-        known = keys.limit(0).drop("position")
-    else:
-        known = matching_documents(live, keys)
-    admitted = admission(decide_batch(keys, known), force)
-    # later rows of one document in the batch replace earlier ones: keep the last
-    chosen = (
-        admitted.filter(F.col("outcome") != "skipped")
-        .groupBy("document_id")
-        .agg(F.max("position").alias("position"))
-    )
+    known = keys.limit(0) if live is None else live
+    admitted = survivors(admission(decide_batch(keys, known, force), force))
+    # a record that a later row of the batch replaced is never stored
+    chosen = admitted.filter("stays")
     documents = incoming.join(chosen.select("position"), "position", "left_semi").drop("position")
     chunks = chunk_documents(documents, sizes).withColumn("embedding", embed(F.col("text")))
     replaced = admitted.filter(F.col("replaced_document_id").isNotNull()).select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from folioflow.operators import dedup
+from folioflow.operators import dedup, groups
 from folioflow.operators.lineage import materialise
 from folioflow.sources.chunk_table import ChunkTable
 
@@ -14,36 +14,41 @@ ROW = "position bigint, document_id string, content_hash string, proposal_title
 INDEXED = "document_id string, content_hash string, proposal_title string, call_id string"
 
 
-def _one_by_one(incoming, indexed):
-    """The batch rule stated plainly: a loop over documents with a growing index."""
-    seen = [tuple(r) for r in indexed]
+def _one_by_one(incoming, indexed, force=False):
+    """The batch rule stated plainly: a loop over documents with an index that really deletes."""
+    live = {d: (h, t, c, None) for d, h, t, c in indexed}
     out = {}
     for position, doc, digest, title, call in sorted(incoming):
-        def base(rows):
-            return sorted(rows)[0] if rows else None
-
-        start = indexed
-        hit = base([d for d, h, _, _ in start if h is not None and h == digest])
-        late = [d for d, h, _, _ in seen[len(start):] if h is not None and h == digest]
-        named = title is not None and title.strip()
-        if hit or late:
-            out[position] = ("block_hard", hit or late[0])
+        named = title is not None and title.strip() and call is not None
+        hits = [d for d, r in live.items() if digest is not None and r[0] == digest]
+        same = [d for d, r in live.items() if named and r[1:3] == (title, call)]
+        if hits:
+            out[position] = ("block_hard", min(hits), None)
             continue
-        if any(d == doc for d, *_ in seen):
-            out[position] = ("reindex", doc)
+        if doc in live:
+            action, conflict = "reindex", doc
+        elif same:
+            action, conflict = "block_soft", min(same)
         else:
-            same = base([d for d, _, t, c in start if named and (t, c) == (title, call)])
-            late = [d for d, _, t, c in seen[len(start):] if named and (t, c) == (title, call)]
-            if same or late:
-                out[position] = ("block_soft", same or late[0])
-                continue
-            out[position] = ("none", None)
-        seen.append((doc, digest, title, call))
+            action, conflict = "none", None
+        replaced = None
+        if action != "block_soft" or force:
+            if conflict:
+                replaced = live.pop(conflict)[3]
+            live[doc] = (digest, title, call, position)
+        out[position] = (action, conflict, replaced)
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_batch_decisions_equal_the_loop(spark, seed):
+def _decided(spark, incoming, indexed, force=False):
+    got = dedup.decide_batch(spark.createDataFrame(incoming, ROW), spark.createDataFrame(indexed, INDEXED), force)
+    assert got.columns == [*ROW.replace(" bigint", "").replace(" string", "").split(", "), "action", "conflicting_document_id", "replaced_position"]
+    return {r["position"]: (r["action"], r["conflicting_document_id"], r["replaced_position"]) for r in got.collect()}
+
+
+@pytest.mark.parametrize("force", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_decisions_equal_the_loop(spark, seed, force):
     rng = random.Random(seed)
 
     def pick(kind, size):
@@ -52,29 +57,34 @@ def test_batch_decisions_equal_the_loop(spark, seed):
 
     indexed = [(f"d{i}", f"h{rng.randrange(40)}", f"t{rng.randrange(40)}", "C") for i in range(8)]
     incoming = []
-    for p in range(60):
-        digest = None if rng.random() < 0.1 else pick("h", 40)
+    for p in range(-20, 100):
+        digest = None if rng.random() < 0.1 else pick("h", 40 + 40 * seed)
         title = rng.choice([None, "  ", pick("t", 30), pick("t", 30)])
-        incoming.append((p, pick("d", 30), digest, title, rng.choice(["C", "E"])))
-    got = dedup.decide_batch(
-        spark.createDataFrame(incoming, ROW), spark.createDataFrame(indexed, INDEXED)
-    ).collect()
-    assert {r["position"]: (r["action"], r["conflicting_document_id"]) for r in got} == _one_by_one(
-        incoming, indexed
-    )
+        ident = pick("d", 30) if rng.random() < 0.3 else f"own{p}"
+        incoming.append((p, ident, digest, title, rng.choice(["C", "C", "E", None])))
+    assert _decided(spark, incoming, indexed, force) == _one_by_one(incoming, indexed, force)
 
 
-def test_a_hot_key_adds_no_rounds(spark, monkeypatch):
-    rounds = []
-    real = dedup._decide_round
-    monkeypatch.setattr(dedup, "_decide_round", lambda *a: rounds.append(1) or real(*a))
+def test_copies_behind_a_record_that_stays_are_not_replayed(spark, monkeypatch):
     rows = [(p, f"d{p}", "same", f"t{p}", "C") for p in range(200)]
-    got = dedup.decide_batch(
-        spark.createDataFrame(rows, ROW), spark.createDataFrame([], INDEXED)
-    ).collect()
-    assert sum(r["action"] == "none" for r in got) == 1
-    assert all(r["conflicting_document_id"] == "d0" for r in got if r["action"] == "block_hard")
-    assert len(rounds) == 2
+    rows += [(1000 + p, f"e{p}", f"u{p}", "one title", "C") for p in range(200)]
+    rows += [(2000 + p, f"f{p}", None, None, "C") for p in range(200)]
+    for force in (False, True):
+        given = dedup._matchable(spark.createDataFrame(rows, ROW), spark.createDataFrame([], INDEXED))
+        left = dedup._thinned(given, force).filter("action IS NULL")
+        # with force every row of the one title replaces the one before
+        assert left.count() == (201 if force else 2)
+        assert _decided(spark, rows, [], force) == _one_by_one(rows, [], force)
+
+
+def test_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = groups.materialise
+    monkeypatch.setattr(groups, "materialise", lambda df: rounds.append(1) or real(df))
+    # each document takes the id of the one before and the title of the next
+    rows = [(p, f"d{p // 2}", f"h{p}", f"t{(p + 1) // 2}", "C") for p in range(10_000)]
+    assert _decided(spark, rows, []) == _one_by_one(rows, [])
+    assert len(rounds) < 25
 
 
 def test_decision_precedence(spark):
