@@ -157,5 +157,5 @@ def retrieve(
     pool = candidate_pool(chunks, resolved)
     settings = resolved.select("query_id", "top_k", "lessons")
     return rank_by_policy(pool.join(settings, "query_id"), policy).select(
-        "query_id", "rank", "chunk_id", "source_status", "score", "policy_reason"
+        "query_id", "rank", "chunk_id", "source_status", F.round("score", vocab.SCORE_DIGITS).alias("score"), "policy_reason"
     )

@@ -1,33 +1,40 @@
 """Exact filtered top-n by cosine similarity for a whole table of queries.
 
-Scoring is a matrix product inside Arrow batches. Each task keeps only its best ``n`` rows
-per query, so what is shuffled is ``tasks x queries x n`` small rows and never a scored
-pair per (query, chunk). Two routes give the same rows:
+Scoring is a matrix product inside Arrow batches. Queries are taken in blocks of bounded size,
+grouped by their filter values; a block is sent to all tasks and the chunk table is scanned, so no
+vector of it moves, and only rows that a group's filters admit are multiplied with its queries.
 
-* few queries (a checked bound on their number): the query block is broadcast and the chunk
-  table is scanned once, without moving a single vector;
-* more queries: both sides are cut into blocks of bounded size by a hash of their ids and
-  every block pair meets in one cogroup, so no side is ever held whole anywhere.
+Each task keeps its best ``n`` rows per query. Where the table has many tasks, a few of them are
+scanned first: the ``n``-th score they give for a query is a lower bound of its final one, and is
+sent along with the query to the next, larger round, in which only rows that reach it are kept. So
+what is shuffled per query is bounded by ``n`` and the growth from round to round, not by the tasks.
 
-Ties on the rounded score are broken by id, which makes the cut at ``n`` deterministic.
+Rows are ranked by scores on SCORE_DECIMALS places, callers round them for output; ties are
+broken by id, which makes the cut at ``n`` deterministic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BROADCAST_QUERIES = 4096
-SCORE_DECIMALS = 6
+from folioflow.operators.lineage import materialise
+
+BLOCK_QUERIES = 4096
+#: A round scans this many times the tasks of the round before; the first one as many tasks at most.
+GROWTH = 16
+SCORE_DECIMALS = 12
 MERGE_SLICES = 16  # first-level merge groups per query
 _TILE_CELLS = 4_000_000  # scores held at once by one task
 
@@ -39,7 +46,8 @@ class _Block:
     keys: np.ndarray  # position -> query row
     limits: np.ndarray
     vectors: np.ndarray  # (queries, dim), unit length
-    filters: dict[str, np.ndarray]  # per filter column: wanted value or None
+    groups: list[tuple[dict[str, object], np.ndarray]]  # wanted filter values, positions that want them
+    floors: np.ndarray  # scores below can be no winners
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -93,37 +101,34 @@ class _Best:
         if not len(ids):
             return
         unit = _unit(vectors)
-        coded = [
-            self._codes(values[name], wanted) for name, wanted in self.block.filters.items()
-        ]
-        tile = max(1, _TILE_CELLS // len(ids))
-        for at in range(0, len(self.block.keys), tile):
-            part = slice(at, at + tile)
-            scores = np.round(unit @ self.block.vectors[part].T, SCORE_DECIMALS)
-            scores += 0.0  # no negative zero
-            allowed = np.ones(scores.shape, dtype=bool)
-            for have, want in coded:
-                allowed &= (want[part] == -2) | (have[:, None] == want[part])
-            for k in range(scores.shape[1]):
-                take = np.flatnonzero(allowed[:, k])
-                if len(take):
-                    columns = [ids] + [values[c] for c in self.carry]
-                    self._merge(at + k, scores[take, k], columns, take)
-
-    @staticmethod
-    def _codes(have: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both sides of an equality filter as integers; -2 asks for nothing."""
-        codes, levels = pd.factorize(have)
-        code_of = {v: i for i, v in enumerate(levels)}
-        return codes, np.array([-2 if w is None else code_of.get(w, -3) for w in wanted])
+        codes = {name: pd.factorize(values[name]) for name in {f for wanted, _ in self.block.groups for f in wanted}}
+        for wanted, positions in self.block.groups:
+            rows = np.arange(len(ids))
+            for name, value in wanted.items():
+                have, levels = codes[name]
+                code = np.flatnonzero(np.asarray(levels, dtype=object) == value)
+                rows = rows[have[rows] == code[0]] if len(code) else rows[:0]
+            if not len(rows):
+                continue
+            some = unit if len(rows) == len(unit) else unit[rows]
+            tile = max(1, _TILE_CELLS // len(rows))
+            for at in range(0, len(positions), tile):
+                part = positions[at : at + tile]
+                scores = np.round(some @ self.block.vectors[part].T, SCORE_DECIMALS)
+                scores += 0.0  # no negative zero
+                for k, q in enumerate(part.tolist()):
+                    self._merge(q, scores[:, k], [ids] + [values[c] for c in self.carry], rows)
 
     def _merge(
         self, q: int, scores: np.ndarray, columns: list[np.ndarray], take: np.ndarray
     ) -> None:
         n = int(self.block.limits[q])
         old = self.rows[q]
+        floor = self.block.floors[q]
         if old and len(old[0]) >= n:
-            hopeful = scores >= old[0][-1]
+            floor = max(floor, old[0][-1])
+        if floor > -np.inf:
+            hopeful = scores >= floor
             scores, take = scores[hopeful], take[hopeful]
         if len(scores) > n:
             hopeful = scores >= -np.partition(-scores, n - 1)[n - 1]
@@ -159,14 +164,18 @@ def _query_vectors(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _query_block(rows: pd.DataFrame, filter_columns: Sequence[str]) -> _Block:
-    def wanted(values: pd.Series) -> np.ndarray:
-        return np.array([None if pd.isna(v) else v for v in values], dtype=object)
-
+    groups: dict[tuple, list[int]] = {}
+    for place, values in enumerate(zip(*(rows[f] for f in filter_columns), strict=True) if filter_columns else [()] * len(rows)):
+        groups.setdefault(tuple(None if pd.isna(v) else v for v in values), []).append(place)
     return _Block(
         keys=rows["variant"].to_numpy(dtype=np.int64),
         limits=rows["n"].to_numpy(dtype=np.int64),
         vectors=_query_vectors(rows),
-        filters={f: wanted(rows[f]) for f in filter_columns},
+        groups=[
+            ({f: v for f, v in zip(filter_columns, wanted, strict=True) if v is not None}, np.array(places))
+            for wanted, places in groups.items()
+        ],
+        floors=np.full(len(rows), -np.inf),
     )
 
 
@@ -185,6 +194,34 @@ def _pushed_filters(block_rows: pd.DataFrame, filter_columns: Sequence[str]):
             yield F.col(name).isin(*sorted(set(wanted)))
 
 
+def _query_blocks(asked: DataFrame, filter_columns: Sequence[str], most: int) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of at most ``most``, those with equal filter values side by side."""
+    first = asked.limit(most + 1).toPandas()
+    if len(first) <= most:
+        yield first
+        return
+    asked = materialise(asked)
+    ranges = ceil(asked.count() / most)
+    placed = materialise(
+        asked.repartitionByRange(ranges, *filter_columns, "variant").withColumn("range", F.spark_partition_id())
+    )
+    for place in range(ranges):
+        rows = placed.filter(F.col("range") == place).drop("range").toPandas()
+        for at in range(0, len(rows), most):
+            yield rows.iloc[at : at + most].reset_index(drop=True)
+
+
+def _strides(side: DataFrame) -> list[int]:
+    """Which tasks the rounds before the full one scan: every so-many-th."""
+    size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = side.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks, out = size // split, []
+    while tasks > GROWTH:
+        out.append(GROWTH ** (len(out) + 1))
+        tasks //= GROWTH
+    return out[::-1]
+
+
 def top_n(
     chunks: DataFrame,
     queries: DataFrame,
@@ -194,15 +231,17 @@ def top_n(
     n_column: str = "n",
     filter_columns: Sequence[str] = (),
     carry: Sequence[str] = (),
-    broadcast_queries: int = BROADCAST_QUERIES,
-    block_rows: int = 20_000,
+    block_queries: int = BLOCK_QUERIES,
+    strides: Sequence[int] | None = None,
 ) -> DataFrame:
     """Best ``n`` chunks per query: (query_column, id_column, score, carried columns…).
 
     ``queries`` rows are (query_column, n_column, embedding, filter columns…); a null
     filter value means no restriction. One query id may appear several times with other
     filters if the caller makes the id unique first. ``carry`` names short text columns of
-    ``chunks`` that ride along, which saves a second pass over the chunk table.
+    ``chunks`` that ride along, which saves a second pass over the chunk table. The table is read
+    once a block of queries and once more, in parts, for the bounds: store what is costly to compute.
+    ``strides`` overrides which tasks the rounds before the full one scan.
     """
     id_type = chunks.schema[id_column].dataType
     asked = queries.select(
@@ -223,37 +262,53 @@ def top_n(
             *[T.StructField(c, T.StringType()) for c in carry],
         ]
     )
-    rows = asked.limit(broadcast_queries + 1).toPandas()  # bounded fetch
-    if len(rows) <= broadcast_queries:
-        most = int(rows["n"].max()) if len(rows) else 0
-        partial = _scan_with_broadcast(side, rows, filter_columns, carry, out)
-    else:
-        sizes = asked.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
-        most = sizes["most"]
-        partial = _block_pairs(
-            side, asked, filter_columns, carry, out, sizes["rows"], broadcast_queries, block_rows
-        )
-    return _merge(partial, most).select(
+    rounds = _strides(side) if strides is None else list(strides)
+    found, last = [], None
+    for rows in _query_blocks(asked, filter_columns, block_queries):
+        if last is not None:
+            found.append(materialise(last))  # small; frees the block before the next one is sent
+        last = _search(side, rows, filter_columns, carry, out, rounds)
+    merged = reduce(DataFrame.unionByName, found, last)
+    return merged.select(
         F.col("variant").alias(query_column), F.col("id").alias(id_column), "score", *carry
     )
 
 
-def _scan_with_broadcast(
+def _search(
     side: DataFrame,
     rows: pd.DataFrame,
     filter_columns: Sequence[str],
     carry: Sequence[str],
     out: T.StructType,
+    rounds: Sequence[int],
 ) -> DataFrame:
+    """The best rows of one block of queries, after the rounds that give its lower bounds."""
     for predicate in _pushed_filters(rows, filter_columns):
         side = side.filter(predicate)
-    block = side.sparkSession.sparkContext.broadcast(_query_block(rows, filter_columns))
+    block = _query_block(rows, filter_columns)
+    most = int(rows["n"].max()) if len(rows) else 0
+    place = {int(k): i for i, k in enumerate(block.keys)}
+    for stride in rounds:
+        ends = _merge(_scan(side, block, carry, out, stride), most).groupBy("variant", "n").agg(
+            F.count("*").alias("held"), F.min("score").alias("last")
+        )
+        for end in ends.filter("held >= n").collect():  # at most a row a query of the block
+            q = place[end["variant"]]
+            block.floors[q] = max(block.floors[q], end["last"])
+    return _merge(_scan(side, block, carry, out, 1), most).drop("n")
+
+
+def _scan(side: DataFrame, block: _Block, carry: Sequence[str], out: T.StructType, stride: int) -> DataFrame:
+    """Winners of every ``stride``-th task."""
+    sent = side.sparkSession.sparkContext.broadcast(block)
     names = [c for c in side.columns if c not in ("id", "embedding")]
     carried = list(carry)
     shape = to_arrow_schema(out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(block.value, carried)
+        if TaskContext.get().partitionId() % stride:
+            return
+        best = _Best(sent.value, carried)
         for batch in batches:
             best.add(
                 _ids(batch.column("id")),
@@ -265,48 +320,6 @@ def _scan_with_broadcast(
     return side.mapInArrow(scan, out)
 
 
-def _block_pairs(
-    side: DataFrame,
-    asked: DataFrame,
-    filter_columns: Sequence[str],
-    carry: Sequence[str],
-    out: T.StructType,
-    query_rows: int,
-    per_block: int,
-    block_rows: int,
-) -> DataFrame:
-    query_blocks = ceil(query_rows / per_block)
-    chunk_blocks = max(1, ceil(side.count() / block_rows))
-    wanted, carried = list(filter_columns), list(carry)
-    names = [c for c in side.columns if c not in ("id", "embedding")]
-
-    def blocked(df: DataFrame, key: str, own: str, count: int, other: str, copies: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-        )
-
-    left = blocked(side, "id", "cb", chunk_blocks, "qb", query_blocks)
-    right = blocked(asked, "variant", "qb", query_blocks, "cb", chunk_blocks)
-    # fresh names: both sides may stem from one table, and a cogroup mixes up equal columns
-    right = right.select([F.col(c).alias(f"asked_{c}") for c in right.columns])
-    columns = out.names
-
-    def meet(chunk_rows: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-        if not len(chunk_rows) or not len(query_part):
-            return pd.DataFrame({c: [] for c in columns})
-        query_part.columns = [c.removeprefix("asked_") for c in query_part.columns]
-        best = _Best(_query_block(query_part, wanted), carried)
-        best.add(
-            _ids(chunk_rows["id"]),
-            chunk_rows["embedding"],
-            {f: chunk_rows[f].to_numpy(dtype=object) for f in names},
-        )
-        return pd.DataFrame(best.table())[columns]
-
-    pairs = left.groupBy("cb", "qb").cogroup(right.groupBy("asked_cb", "asked_qb"))
-    return pairs.applyInPandas(meet, out)
-
-
 def _merge(partial: DataFrame, most: int) -> DataFrame:
     """Task winners to query winners in two levels, so one busy query spreads over
     ``MERGE_SLICES`` tasks before its final, small ranking."""
@@ -320,4 +333,4 @@ def _merge(partial: DataFrame, most: int) -> DataFrame:
             .filter(F.col("place") <= F.lit(most))
             .filter(F.col("place") <= F.col("n"))
         )
-    return ranked.drop("slice", "place", "n")
+    return ranked.drop("slice", "place")

@@ -610,9 +610,9 @@ oracle(
 
 def _nearest(condition: str) -> str:
     return f"""
-SELECT query_id, match_id, score FROM (
+SELECT query_id, match_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS place
-  FROM (SELECT a.vec_id AS query_id, b.vec_id AS match_id, round({_COS}, 6) + 0.0 AS score
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS match_id, round({_COS}, 12) + 0.0 AS score
         FROM embeddings a JOIN embeddings b ON {condition}))
 WHERE place <= 5"""
 
@@ -623,7 +623,7 @@ oracle("vector_top_k_same_label", (), _nearest("a.label = b.label"))
 
 # --- retrieval -----------------------------------------------------------------------------------------------------------
 
-oracle("candidate_pools", ("pool",), "SELECT * FROM pool")
+oracle("candidate_pools", ("pool",), "SELECT * REPLACE (round(score, 6) AS score) FROM pool")
 oracle("policy_retrieval", ("pool", "requests"), ranked_sql())
 LENIENT = ranked_sql(threshold=0.05, fraction=1.0)
 oracle("policy_retrieval_lenient", ("pool", "requests"), LENIENT)

@@ -476,9 +476,8 @@ def _vector_search(spark, d, filters=(), **how) -> DataFrame:
         "vec_id", "embedding", F.col("label").cast("string").alias("label")
     )
     queries = e.select(F.col("vec_id").alias("query_id"), F.lit(5).alias("n"), "embedding", "label")
-    return similarity.top_n(
-        e, queries, id_column="vec_id", filter_columns=filters, **how
-    ).withColumnRenamed("vec_id", "match_id")
+    found = similarity.top_n(e, queries, id_column="vec_id", filter_columns=filters, **how)
+    return found.select("query_id", F.col("vec_id").alias("match_id"), F.round("score", vocab.SCORE_DIGITS).alias("score"))
 
 
 @query
@@ -495,8 +494,8 @@ def vector_top_k_same_label(spark, d):
 
 @query
 def vector_top_k_blocks(spark, d):
-    """The same search by the route for query sets beyond the broadcast bound."""
-    return _vector_search(spark, d, broadcast_queries=100, block_rows=200)
+    """The same search in several blocks of queries, with lower bounds from a part of the tasks."""
+    return _vector_search(spark, d, block_queries=200, strides=(4,))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------
@@ -517,7 +516,8 @@ def candidate_pools(spark, d):
     requests = retrieval.resolve_requests(
         views.search_requests(spark, d), retrieval.RetrievalPolicy()
     )
-    return retrieval.candidate_pool(views.embedded_chunks(spark, d), requests)
+    found = retrieval.candidate_pool(views.embedded_chunks(spark, d), requests)
+    return found.withColumn("score", F.round("score", vocab.SCORE_DIGITS))
 
 
 @query

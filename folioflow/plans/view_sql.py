@@ -250,7 +250,7 @@ view(
     "scores",
     ("chunk_norms", "request_norms"),
     """
-SELECT q.query_id, c.chunk_id, round(coalesce(s.dot / (qn.norm * cn.norm), 0.0), 6) AS score
+SELECT q.query_id, c.chunk_id, round(coalesce(s.dot / (qn.norm * cn.norm), 0.0), 12) AS score
 FROM requests q CROSS JOIN chunks c
 LEFT JOIN (SELECT a.key AS chunk_id, b.key AS query_id, sum(a.w * b.w) AS dot
            FROM chunk_weights a JOIN request_weights b ON a.bucket = b.bucket GROUP BY 1, 2) s
@@ -303,7 +303,7 @@ def ranked_sql(
     reasons = sql_case("source_status", vocab.REASON_BY_STATUS)
     priority = " ".join(f"WHEN '{s}' THEN {p}" for s, p in vocab.STATUS_PRIORITY.items())
     return f"""
-SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, source_status, score,
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, source_status, round(score, 6) AS score,
        CASE WHEN source_status = 'rejected' AND lessons THEN '{vocab.REASON_LESSONS}' ELSE {reasons} END
        || CASE WHEN fell_back THEN '{vocab.REASON_FALLBACK_SUFFIX}' ELSE '' END AS policy_reason
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank

@@ -196,3 +196,6 @@ CHANGE_SHRUNK = "Draft tightened — removed or condensed content per the critiq
 
 PROMPT_SNIPPET_CHARS = 300
 LISTING_SNIPPET_CHARS = 200
+
+#: Digits of a score in results; ranking and thresholds see more.
+SCORE_DIGITS = 6

@@ -5,8 +5,10 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.operators import embedding, retrieval, similarity
 from folioflow.operators.retrieval import RetrievalPolicy, rank_by_policy, retrieve
@@ -47,13 +49,13 @@ def _best(chunks, query, n, wanted):
     def score(v):
         a, b = np.array(v, dtype=np.float32).astype(float), np.array(query, dtype=np.float32).astype(float)
         size = np.linalg.norm(a) * np.linalg.norm(b)
-        return round(float(a @ b / size), 6) + 0.0 if size else 0.0
+        return round(float(a @ b / size), 12) + 0.0 if size else 0.0
 
     rows = [(-score(v), i) for i, v, kind in chunks if wanted is None or kind == wanted]
     return [(i, -s) for s, i in sorted(rows)[:n]]
 
 
-@pytest.mark.parametrize("route", [{}, {"broadcast_queries": 3, "block_rows": 40}])
+@pytest.mark.parametrize("route", [{}, {"block_queries": 3}, {"strides": (4, 2)}, {"block_queries": 2, "strides": (2,)}])
 def test_top_n_is_exact_under_copies(spark, route):
     """A third of all rows are copies of one vector, so every cut runs through a tie."""
     rng = random.Random(3)
@@ -207,15 +209,36 @@ def test_top_n_ships_winners_only(spark, capsys):
     assert plan.index("Exchange") < plan.index("MapInArrow")
 
 
-@pytest.mark.parametrize("route", [4096, 0])
+def test_what_is_shuffled_does_not_grow_with_the_tasks(spark):
+    """With a bound from an earlier round a task sends only rows that may win, however many tasks there are."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(6000, 8))
+    rows = [(f"c{i}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "id string, embedding array<float>")
+    asked = pd.DataFrame({"variant": range(5), "n": [10] * 5, "embedding": [list(v) for v in vectors[:5] + 0.1]})
+    out = T._parse_datatype_string("variant bigint, n int, score double, id string")
+    sent = {}
+    for tasks in (8, 64):
+        spread = chunks.repartition(tasks)
+        for bounded in (False, True):
+            block = similarity._query_block(asked, ())
+            if bounded:
+                scores = similarity._unit(vectors[::16].astype(np.float32)) @ block.vectors.T
+                block.floors[:] = np.sort(scores, axis=0)[-10]
+            sent[tasks, bounded] = similarity._scan(spread, block, (), out, 1).count()
+    # at most n rows a query and task without bounds; about 16 n rows a query with bounds from every 16th row
+    assert sent[64, False] == 5 * 10 * 64 and sent[8, True] <= sent[64, True] < 1.3 * 5 * 10 * 16
+
+
+@pytest.mark.parametrize("route", [4096, 1])
 def test_rows_without_a_usable_vector_are_left_out(spark, route):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0, 0.0]), ("b", [1.0]), ("c", [1.0, 0.0, 0.0]), ("d", None), ("e", [None, 1.0]), ("f", [nan, 1.0]),
             ("g", [inf, 0.0]), ("h", []), ("i", [1.0, 1.0]), ("j", [0.0, 0.0])]
     chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").coalesce(1)
     asked = spark.createDataFrame([(1, 9, [2.0, 0.0])], "query_id bigint, n int, embedding array<float>")
-    kwargs = {"broadcast_queries": route} if route else {"broadcast_queries": 1, "block_rows": 4}
-    if not route:
+    kwargs = {"block_queries": route}
+    if route == 1:
         asked = asked.union(asked.withColumn("query_id", F.lit(2).cast("bigint")))
     found = similarity.top_n(chunks, asked, **kwargs).where("query_id = 1").collect()
     assert sorted((r["chunk_id"], round(r["score"], 3)) for r in found) == [("a", 1.0), ("i", 0.707), ("j", 0.0)]
