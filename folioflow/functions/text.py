@@ -119,3 +119,11 @@ def infer_section_type(heading: Column) -> Column:
     for needle, section in rules:
         out = out.when(lowered.contains(needle), section)
     return out.otherwise("other")
+
+
+def iso_utc(moment: Column) -> Column:
+    """ISO 8601 text of a timestamp in UTC, whatever the session's time zone; microseconds if there are any."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    micros = F.unix_micros(moment) % 1_000_000
+    fraction = F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))

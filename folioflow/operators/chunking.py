@@ -19,6 +19,11 @@ from folioflow.functions.text import infer_section_type, is_blank, let
 from folioflow.operators.structure import table_text
 
 SPANS = "array<struct<char_start: int, char_end: int>>"
+#: Metadata of a proposal in the order records keep it; `outcome` is a chunk's `source_status`.
+PROPOSAL_COLUMNS = (
+    "programme", "call_id", "topic_id", "year", "outcome", "proposal_title", "consortium_acronym",
+    "source_path", "language", "ingested_at", "content_hash",
+)
 
 
 @dataclass(frozen=True)
@@ -209,16 +214,7 @@ def with_proposals(parsed: DataFrame, proposals: DataFrame) -> DataFrame:
     Joined per document, before chunks fan out. Document ids are unique on both sides, so
     no key is hot; Catalyst broadcasts ``proposals`` only below its size threshold.
     """
-    dims = proposals.select(
-        "document_id",
-        "programme",
-        "call_id",
-        "topic_id",
-        "year",
-        F.col("outcome").alias("source_status"),
-        "proposal_title",
-        "content_hash",
-    )
+    dims = proposals.select("document_id", *PROPOSAL_COLUMNS).withColumnRenamed("outcome", "source_status")
     return parsed.select("document_id", "sections").join(dims, "document_id")
 
 
@@ -228,8 +224,9 @@ def chunk_anchor(chunks: DataFrame) -> DataFrame:
         "chunk_id",
         "text",
         F.struct(
-            F.struct("programme", "call_id", "topic_id", "year", F.col("source_status").alias("outcome"),
-                     "proposal_title", "content_hash").alias("proposal"),
+            F.struct(
+                *[F.col("source_status").alias(n) if n == "outcome" else F.col(n) for n in PROPOSAL_COLUMNS]
+            ).alias("proposal"),
             "section_type",
             F.col("section_heading").alias("parent_section_heading"),
             "chunk_index",

@@ -204,7 +204,8 @@ oracle(
     "document_metadata",
     ("sections", "proposals"),
     """
-SELECT p.document_id, p.programme, p.call_id, p.year, p.outcome AS source_status, count(*) AS sections
+SELECT p.document_id, p.programme, p.call_id, p.topic_id, p.year, p.outcome AS source_status, p.proposal_title,
+       p.consortium_acronym, p.source_path, p.language, p.ingested_at, p.content_hash, count(*) AS sections
 FROM sections s JOIN proposals p USING (doc_id) GROUP BY ALL""",
 )
 
@@ -510,10 +511,13 @@ oracle(
     "flat_metadata",
     ("chunks",),
     """
-SELECT chunk_id, programme AS "proposal.programme", topic_id AS "proposal.topic_id",
-       source_status AS "proposal.outcome", document_id AS "anchor.document_id",
-       CAST(page AS INTEGER) AS "anchor.page", CAST(char_end AS INTEGER) AS "anchor.char_end", section_type,
-       CAST(chunk_index AS INTEGER) AS chunk_index, source_status FROM chunks""",
+SELECT chunk_id, programme AS "proposal.programme", call_id AS "proposal.call_id", topic_id AS "proposal.topic_id",
+       year AS "proposal.year", source_status AS "proposal.outcome", proposal_title AS "proposal.proposal_title",
+       consortium_acronym AS "proposal.consortium_acronym", source_path AS "proposal.source_path",
+       language AS "proposal.language", ingested_at AS "proposal.ingested_at", content_hash AS "proposal.content_hash",
+       document_id AS "anchor.document_id", heading AS "anchor.section_heading", CAST(page AS INTEGER) AS "anchor.page",
+       CAST(char_start AS INTEGER) AS "anchor.char_start", CAST(char_end AS INTEGER) AS "anchor.char_end", section_type,
+       heading AS parent_section_heading, CAST(chunk_index AS INTEGER) AS chunk_index, source_status FROM chunks""",
 )
 
 # --- validation ---------------------------------------------------------------------------------------------------

@@ -96,7 +96,9 @@ def parse_summary(spark, d):
 
 @query
 def chunk_table(spark, d):
-    return views.chunks(spark, d).drop("topic_id", "year", "proposal_title", "content_hash")
+    return views.chunks(spark, d).drop(
+        "topic_id", "year", "proposal_title", "consortium_acronym", "source_path", "language", "ingested_at", "content_hash"
+    )
 
 
 @query
@@ -123,10 +125,10 @@ def document_metadata(spark, d):
     joined = chunking.with_proposals(
         views.parsed_documents(spark, d), views.proposals(spark, d)
     )
+    fields = [c for c in joined.columns if c not in ("sections", "ingested_at")]
     return joined.select(
-        "document_id", "programme", "call_id", "year", "source_status",
-        F.size("sections").cast("bigint").alias("sections"),
-    )
+        *fields, text.iso_utc(F.col("ingested_at")).alias("ingested_at"), F.size("sections").cast("bigint").alias("sections")
+    )
 
 
 # --- text functions ----------------------------------------------------------------------------
@@ -313,18 +315,7 @@ def flat_metadata(spark, d):
     """Nested chunk metadata flattened to dotted columns, after a nest / flatten round trip."""
     nested = chunking.chunk_anchor(views.chunks(spark, d))
     again = documents.unflatten_metadata(documents.flatten_metadata(nested))
-    return documents.flatten_metadata(again).select(
-        "chunk_id",
-        "`proposal.programme`",
-        "`proposal.topic_id`",
-        "`proposal.outcome`",
-        "`anchor.document_id`",
-        "`anchor.page`",
-        "`anchor.char_end`",
-        "section_type",
-        "chunk_index",
-        "source_status",
-    )
+    return documents.flatten_metadata(again).drop("text")
 
 
 # --- validation ------------------------------------------------------------------------------------

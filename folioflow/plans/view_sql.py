@@ -99,6 +99,9 @@ SELECT d.doc_id, 'doc_' || d.doc_id AS document_id,
        CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.quality = 0 THEN 'rejected'
             WHEN l.toxic = 1 THEN 'esr_note' ELSE 'funded' END AS outcome,
        string_split(d.text, {NL})[1] AS proposal_title,
+       CASE WHEN d.doc_id % 5 = 0 THEN 'ACR-' || d.doc_id % 97 END AS consortium_acronym,
+       CASE WHEN d.doc_id % 7 <> 3 THEN strftime(make_timestamp((1700000000 + d.doc_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%S')
+            || '+00:00' END AS ingested_at,
        'corpus/' || d.source || '/doc_' || d.doc_id || '.pdf' AS source_path,
        d.lang AS language, sha256(d.text) AS content_hash
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
@@ -202,7 +205,7 @@ view(
     f"""
 SELECT {chunk_id_sql("document_id", "heading", "chunk_index")} AS chunk_id, *
 FROM (SELECT p.document_id, p.programme, p.call_id, p.topic_id, p.year, p.outcome AS source_status,
-             p.proposal_title, p.content_hash,
+             p.proposal_title, p.consortium_acronym, p.source_path, p.language, p.ingested_at, p.content_hash,
              row_number() OVER (PARTITION BY c.doc_id ORDER BY c.pos, c.is_table, c.k) - 1 AS chunk_index,
              c.pos AS section_pos, c.heading, {section_type_sql("c.heading")} AS section_type,
              c.is_table, c.page, c.char_start, c.char_end, c.txt AS text

@@ -102,10 +102,12 @@ def proposal_columns() -> list[Column]:
         (2014 + doc % 12).cast("int").alias("year"),
         outcome_of(F.col("quality"), F.col("toxic")).alias("outcome"),
         F.col("first_line").alias("proposal_title"),
+        F.when(doc % 5 == 0, F.concat(F.lit("ACR-"), (doc % 97).cast("string"))).alias("consortium_acronym"),
         F.concat(F.lit("corpus/"), "source", F.lit("/"), doc_key(doc), F.lit(".pdf")).alias(
             "source_path"
         ),
         F.col("lang").alias("language"),
+        F.when(doc % 7 != 3, F.timestamp_seconds(1_700_000_000 + doc * 60)).alias("ingested_at"),
         F.col("content_hash"),
     ]
 
@@ -253,7 +255,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         *proposal_columns(), parsed_sections().alias("sections")
     )
     return chunk_documents(
-        rows.drop("source_path", "language").withColumnRenamed("outcome", "source_status")
+        rows.withColumnRenamed("outcome", "source_status")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.ids import content_hash, document_id, is_pdf, resolve_source_path
+from folioflow.functions.text import iso_utc
 
 SECTION = (
     "struct<heading: string, level: int, text: string, page_start: int, page_end: int, "
@@ -90,10 +91,15 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_metadata(chunks: DataFrame) -> DataFrame:
-    """Nested chunk metadata as dotted columns; an absent value stays null."""
+    """Nested chunk metadata as dotted columns; an absent value stays null, a time is ISO text in UTC."""
     m = F.col("metadata")
+
+    def plain(name: str):
+        value = m["proposal"][name]
+        return iso_utc(value) if name == "ingested_at" else value
+
     fields = {
-        **{f"proposal.{f}": m["proposal"][f] for f in _struct_fields(chunks, "proposal")},
+        **{f"proposal.{f}": plain(f) for f in _struct_fields(chunks, "proposal")},
         **{f"anchor.{f}": m["anchor"][f] for f in _struct_fields(chunks, "anchor")},
         "section_type": m["section_type"],
         "parent_section_heading": m["parent_section_heading"],
@@ -108,7 +114,10 @@ def unflatten_metadata(flat: DataFrame) -> DataFrame:
 
     def group(prefix: str):
         names = [c for c in flat.columns if c.startswith(f"{prefix}.")]
-        return F.struct(*[F.col(f"`{n}`").alias(n.split(".", 1)[1]) for n in names]).alias(prefix)
+        columns = {n.split(".", 1)[1]: F.col(f"`{n}`") for n in names}
+        if "ingested_at" in columns:
+            columns["ingested_at"] = columns["ingested_at"].cast("timestamp")
+        return F.struct(*[c.alias(n) for n, c in columns.items()]).alias(prefix)
 
     return flat.select(
         "chunk_id",
