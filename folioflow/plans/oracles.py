@@ -1269,6 +1269,50 @@ SELECT draft_path, 'draft_completed' AS event_type, section_type, elapsed_ms AS
 FROM (SELECT d.draft_path, d.section_type, d.elapsed_ms, d.n, d.iteration, {_COUNTS}
       FROM drafts d LEFT JOIN cites c USING (draft_path) GROUP BY ALL)""",
 )
+_SORTED_MIX = ", ".join(f"CASE WHEN {s} > 0 THEN '\"{s}\":' || {s} END" for s in sorted(vocab.SOURCE_STATUSES))
+
+
+def _line(**fields: str) -> str:
+    """A JSON object with these fields in the order of their names; values are SQL, strings quoted by to_json."""
+    parts = [f"'\"{name}\":' || coalesce(CAST({value} AS VARCHAR), 'null')" for name, value in sorted(fields.items())]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _at(number: str) -> str:
+    return f"to_json(strftime(make_timestamp((1700000000 + {number} * 7) * 1000000), '%Y-%m-%dT%H:%M:%SZ'))"
+
+
+_STUB = "'\"deterministic-stub-v1\"'"
+_PROFILE_NAME = sql_case("programme", {k: p["name"] for k, p in dimensions.PROFILES.items()})
+oracle(
+    "usage_event_lines",
+    ("requests", "drafts", "cites", "rendered", "verdicts"),
+    f"""
+SELECT 'request ' || query_id AS origin, {_line(
+        event_type="'" + '"draft_started"' + "'", section_type="to_json(section_type)", target_programme="to_json(programme)",
+        top_k_examples="top_k", lessons_learned="coalesce(lessons_learned, false)", model=_STUB,
+        drafting_profile=f"to_json({_PROFILE_NAME})", topic_context_present="query_id % 3 = 0", timestamp=_at("query_id"))} AS value
+FROM requests WHERE section_type IS NOT NULL
+UNION ALL
+SELECT 'draft ' || draft_path, {_line(
+        event_type="'" + '"draft_completed"' + "'", section_type="to_json(section_type)", generation_time_ms="elapsed_ms",
+        citation_count="n", source_status_mix="'{' || concat_ws(',', " + _SORTED_MIX + ") || '}'", model=_STUB,
+        drafting_profile="NULL", iteration_count="iteration", timestamp=_at("length(text)"))}
+FROM (SELECT d.draft_path, d.section_type, d.elapsed_ms, d.n, d.iteration, d.text, {_COUNTS}
+      FROM drafts d LEFT JOIN cites c USING (draft_path) GROUP BY ALL)
+UNION ALL
+SELECT 'export ' || draft_path, {_line(
+        event_type="'" + '"export"' + "'", kind="'" + '"markdown"' + "'", byte_count="size", section_type="to_json(section_type)",
+        timestamp=_at("size"))}
+FROM (SELECT draft_path, section_type, CAST(octet_length(encode(rendered)) AS BIGINT) AS size
+      FROM rendered JOIN verdicts USING (draft_path) WHERE passed)
+UNION ALL
+SELECT 'signal ' || event_id, {_line(
+        event_type="'" + '"feedback"' + "'", feedback_type="to_json(['thumbs_up', 'thumbs_down', 'regenerate'][1 + event_id % 3])",
+        accepted="event_id % 2 = 0", section_type=f"to_json(CASE WHEN event_id % 5 <> 0 THEN {pick(vocab.SECTION_TYPES, 'event_id % 11')} END)",
+        iteration_index="CASE WHEN event_id % 4 <> 0 THEN event_id % 6 END", timestamp=_at("event_id"))}
+FROM events""",
+)
 oracle(
     "event_export_counts",
     (),

@@ -17,6 +17,7 @@ from folioflow.operators import (
     dedup,
     egress,
     embedding,
+    events,
     iterations,
     latency,
     maintenance,
@@ -30,7 +31,7 @@ from folioflow.operators import (
     validation,
 )
 from folioflow.plans import views
-from folioflow.sources import dimensions, documents, reports
+from folioflow.sources import dimensions, documents, event_log, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -939,19 +940,55 @@ def status_notes(spark, d):
 # --- events and egress ----------------------------------------------------------------------------------------
 
 
+def _event_time(number: str) -> F.Column:
+    return F.timestamp_seconds(1_700_000_000 + F.col(number) * 7)
+
+
+def _profile(programme: str) -> F.Column:
+    return text.lookup(F.col(programme), {k: p["name"] for k, p in dimensions.PROFILES.items()})
+
+
+def _usage_events(spark, d) -> DataFrame:
+    """Events of all four types, from requests, drafts, their exports and recorded signals."""
+    keep = ("origin",)
+    asked = views.search_requests(spark, d).filter("section_type IS NOT NULL").withColumns(
+        {"origin": F.concat(F.lit("request "), "query_id"), "topic_context_present": F.col("query_id") % 3 == 0}
+    )
+    drafts = views.drafts(spark, d).withColumns(
+        {"origin": F.concat(F.lit("draft "), "draft_path"), "number": F.length("text").cast("bigint")}
+    )
+    exports = rendering.export(_audited(spark, d)).withColumn("origin", F.concat(F.lit("export "), "draft_path"))
+    e = F.col("event_id")
+    signals = views.table(spark, d, "events", spread=True).select(
+        F.concat(F.lit("signal "), "event_id").alias("origin"), "event_id", e.cast("int").alias("seconds"),
+        views.element(("thumbs_up", "thumbs_down", "regenerate"), e % 3).alias("feedback_type"), (e % 2 == 0).alias("accepted"),
+        F.when(e % 5 != 0, views.element(vocab.SECTION_TYPES, e % 11)).alias("section_type"),
+        F.when(e % 4 != 0, e % 6).alias("iteration_index"),
+    )
+    model = F.lit("deterministic-stub-v1")
+    return events.usage_events(
+        events.draft_started(asked, model=model, profile=_profile("programme"), keep=keep, at=_event_time("query_id")),
+        events.draft_completed(drafts, model=model, profile=F.lit(None), keep=keep, at=_event_time("number")),
+        events.exported(exports, kind=F.lit("markdown"), keep=keep, at=_event_time("byte_count")),
+        events.feedback(signals, keep=keep, at=_event_time("event_id")),
+    )
+
+
+@query
+def usage_event_lines(spark, d):
+    """The canonical line of every usage event, all four types."""
+    return events.event_lines(_usage_events(spark, d), "origin")
+
+
 @query
 def draft_events(spark, d):
     """Completion events of all drafts, with their source-status mix."""
-    t = views.drafts(spark, d)
-    mix = citations.status_mix(F.col("citations"))
-    return t.select(
-        "draft_path",
-        F.lit("draft_completed").alias("event_type"),
-        "section_type",
-        F.col("elapsed_ms").alias("generation_time_ms"),
-        F.size("citations").cast("bigint").alias("citation_count"),
-        F.to_json(mix).alias("source_status_mix"),
-        F.col("iteration").alias("iteration_count"),
+    built = events.draft_completed(
+        views.drafts(spark, d), model=F.lit("deterministic-stub-v1"), profile=F.lit(None), keep=("draft_path",)
+    )
+    return built.select(
+        "draft_path", "event_type", "section_type", "generation_time_ms", F.col("citation_count").cast("bigint").alias("citation_count"),
+        F.to_json("source_status_mix").alias("source_status_mix"), "iteration_count",
     )
 
 
@@ -960,7 +997,7 @@ def event_export_counts(spark, d):
     """Lines an export copies (non-blank) and drops, per hour of the log."""
     e = views.usage_events(spark, d)
     line = F.when(F.col("event_id") % 9 == 4, "  \t").otherwise(F.col("value"))
-    blank = text.is_blank(line)
+    blank = ~event_log.worth_exporting(line)
     return e.groupBy((F.floor(F.col("event_id") / 1000)).alias("part")).agg(
         F.count_if(~blank).alias("exported"), F.count_if(blank).alias("blank")
     )

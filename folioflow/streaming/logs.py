@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.operators.egress import decide_egress, egress_records
+from folioflow.operators.events import event_lines, with_defaults
 from folioflow.operators.validation import check_events
 from folioflow.sources.event_log import sorted_columns
 
 ATTEMPT = "ts timestamp, host string, port int, scheme string, path string, source string"
 
 
-def _append(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def _append(df: DataFrame, folder: str, checkpoint: str, form: str = "json") -> StreamingQuery:
+    """Lines as a batch writes them: sorted keys, and a null field as null."""
     return (
         sorted_columns(df)
-        .writeStream.format("json")
+        .writeStream.format(form)
         .outputMode("append")
         .option("path", folder)
         .option("checkpointLocation", checkpoint)
+        .option("ignoreNullFields", False)
         .trigger(availableNow=True)
         .start()
     )
@@ -43,7 +46,7 @@ def usage_event_stream(
         F.sha2("value", 256).alias("line_hash"), "reasons"
     )
     return [
-        _append(good, log, f"{checkpoints}/events"),
+        _append(event_lines(with_defaults(good)), log, f"{checkpoints}/events", "text"),
         _append(bad, rejects, f"{checkpoints}/rejects"),
     ]
 

@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import egress, validation
+from folioflow.operators import egress, events, validation
 from folioflow.operators.chunking import chunk_documents
+from folioflow.operators.events import with_defaults
+from folioflow.operators.validation import check_events
 from folioflow.sources import dimensions, documents, drafts, event_log, reports
 from folioflow.sources.chunk_table import ChunkTable
 from folioflow.sources.synthetic import synthetic_corpus
@@ -164,6 +166,36 @@ def test_usage_event_stream_diverts_rejects(spark, tmp_path):
     assert spark.read.text(args[1]).count() == 2
 
 
+def test_streamed_events_are_the_lines_a_batch_appends(spark, tmp_path):
+    lines = [
+        {"event_type": "draft_started", "timestamp": "2024-05-01T10:00:00Z", "section_type": "impact", "target_programme": None,
+         "top_k_examples": 3, "lessons_learned": False, "model": "m", "drafting_profile": None, "topic_context_present": True},
+        {"event_type": "draft_completed", "timestamp": "2024-05-01T10:00:01.250Z", "section_type": "impact", "generation_time_ms": 5,
+         "citation_count": 2, "source_status_mix": {"funded": 1, "esr_note": 1}, "model": "m", "drafting_profile": None, "iteration_count": 2},
+        {"event_type": "export", "timestamp": "2024-05-01T10:00:02Z", "kind": "json", "byte_count": 7, "section_type": None},
+        {"event_type": "feedback", "timestamp": "2024-05-01T10:00:03Z", "feedback_type": "up", "accepted": True, "section_type": None,
+         "iteration_index": None},
+    ]
+    short = {k: v for k, v in lines[1].items() if k not in ("source_status_mix", "iteration_count", "drafting_profile")}
+    _write(tmp_path / "in" / "1.jsonl", "\n".join(map(json.dumps, [*lines, short])))
+    args = [str(tmp_path / n) for n in ("in", "log", "rejects", "cp")]
+    for q in logs.usage_event_stream(spark, *args):
+        q.awaitTermination()
+    checked = check_events(spark.read.text(args[0])).filter("size(reasons) = 0").select("event.*")
+    event_log.append_events(with_defaults(checked), str(tmp_path / "batch"))
+    streamed, appended = (sorted(r["value"] for r in spark.read.text(str(p)).collect()) for p in (args[1], tmp_path / "batch"))
+    lines[1]["timestamp"] = "2024-05-01T10:00:01.250000Z"
+    full = {**lines[1], "source_status_mix": {}, "iteration_count": 1}
+    assert streamed == appended == sorted(json.dumps(x, sort_keys=True, separators=(",", ":")) for x in [*lines, full])
+
+
+def test_builders_refuse_undeclared_fields(spark):
+    with pytest.raises(ValueError):
+        events._typed(spark.range(1), "export", (), None, text=F.lit("secret"))
+    made = events.feedback(spark.createDataFrame([("up", True, None, None)], "feedback_type string, accepted boolean, section_type string, iteration_index int"))
+    assert made.first()["timestamp"] is not None and made.first()["kind"] is None
+
+
 def test_egress_stream(spark, tmp_path):
     attempt = {"ts": "2024-01-01T10:00:00Z", "host": "EC.Europa.eu", "port": 443, "scheme": "HTTPS", "path": "/api/x?k=1", "source": "s"}
     rows = [attempt, {**attempt, "host": "[::1]", "port": 1}, {**attempt, "port": 80}]
