@@ -25,6 +25,12 @@ from folioflow.sources import dimensions, reports
 
 ORACLES: dict[str, str] = {}
 
+#: Weights of the two values around the rank are whole hundredths.
+P95 = (
+    "CAST(round_even((list_sort(list(ms))[95 * (count(*) - 1) // 100 + 1] * (100 - 95 * (count(*) - 1) % 100) "
+    "+ coalesce(list_sort(list(ms))[95 * (count(*) - 1) // 100 + 2], 0) * (95 * (count(*) - 1) % 100)) / 100.0, 0) AS BIGINT)"
+)
+
 
 def oracle(name: str, needs: tuple[str, ...], sql: str) -> None:
     ORACLES[name] = with_views(needs, sql)
@@ -1028,26 +1034,47 @@ oracle(
     ("drafts",),
     "SELECT draft_path, section_type FROM drafts ORDER BY sha256('42:' || draft_path), draft_path LIMIT 25",
 )
-oracle(
-    "release_report",
-    ("totals", "verdicts", "release_rows"),
-    f"""
+
+
+def _release_report(totals: str, verdicts: str, rows: str, sample: str = "") -> str:
+    return f"""
 SELECT 0 AS part, '' AS key, {lit("# Release Audit Report" + chr(10) + chr(10) + "**Verdict:** ")}
   || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END || {lit(chr(10) + chr(10) + "## Summary" + chr(10) + chr(10) + "- Audit directory: `drafts`" + chr(10))}
   || '- Total drafts on disk: ' || total_drafts || {NL} || '- Audited drafts: ' || audited_drafts || {NL}
   || '- Passed drafts: ' || passed_drafts || {NL} || '- Failed drafts: ' || failed_drafts || {NL}
-  || '- Citations audited: ' || citation_count || {NL} || '- Unlabeled citations: ' || unlabeled_citation_count || {NL} || {NL}
+  || '- Citations audited: ' || citation_count || {NL} || '- Unlabeled citations: ' || unlabeled_citation_count || {NL} || {lit(sample)} || {NL}
   || '## Per-draft Results' || {NL} || {NL}
-  || {lit("| Status | Section | Citations | Draft |" + chr(10) + "|--------|---------|-----------|-------|")} AS value FROM totals
+  || {lit("| Status | Section | Citations | Draft |" + chr(10) + "|--------|---------|-----------|-------|")} AS value FROM {totals}
 UNION ALL
 SELECT 1, draft_path, '| ' || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END || ' | ' || section_type || ' | ' || citation_count
-  || ' | `' || draft_path || '` |' FROM verdicts
+  || ' | `' || draft_path || '` |' FROM {verdicts}
 UNION ALL
 SELECT 2, '', {lit(chr(10) + "## Citation Fidelity" + chr(10) + chr(10) + "| Status | Programme | Call | Page | Section | Source | Chunk ID | Draft |" + chr(10) + "|--------|-----------|------|------|---------|--------|----------|-------|")}
 UNION ALL
 SELECT 3, draft_path || printf('%012d', citation_id), '| ' || source_status || ' | ' || programme || ' | ' || call_id || ' | '
   || coalesce(CAST(page AS VARCHAR), 'n/a') || ' | ' || coalesce(section_heading, 'n/a') || ' | '
-  || coalesce(proposal_title, 'untitled') || ' | ' || chunk_id || ' | `' || draft_path || '` |' FROM release_rows""",
+  || coalesce(proposal_title, 'untitled') || ' | ' || chunk_id || ' | `' || draft_path || '` |' FROM {rows}"""
+
+
+oracle("release_report", ("totals", "verdicts", "release_rows"), _release_report("totals", "verdicts", "release_rows"))
+view(
+    "picked",
+    ("drafts",),
+    "SELECT draft_path FROM drafts ORDER BY sha256('42:' || draft_path), draft_path LIMIT 25",
+)
+oracle(
+    "release_report_sampled",
+    ("picked", "totals", "verdicts", "release_rows", "cites"),
+    _release_report(
+        """(SELECT (SELECT total_drafts FROM totals) AS total_drafts, count(*) AS audited_drafts, count(*) FILTER (passed) AS passed_drafts,
+             count(*) FILTER (NOT passed) AS failed_drafts, bool_and(passed) AS passed,
+             (SELECT count(*) FROM cites SEMI JOIN picked USING (draft_path)) AS citation_count,
+             (SELECT count(*) FROM cites SEMI JOIN picked USING (draft_path) WHERE source_status IS NULL) AS unlabeled_citation_count
+           FROM verdicts SEMI JOIN picked USING (draft_path))""",
+        "(SELECT * FROM verdicts SEMI JOIN picked USING (draft_path))",
+        "(SELECT * FROM release_rows SEMI JOIN picked USING (draft_path))",
+        "- Sample size: 25" + chr(10) + "- Sample seed: 42" + chr(10),
+    ),
 )
 oracle(
     "release_gate",
@@ -1172,12 +1199,28 @@ SELECT * FROM (SELECT event_id, user_id AS pilot_id, {pick(vocab.SECTION_TYPES,
          CASE WHEN event_id % 4 <> 2 THEN event_id % 90 END AS saved
        FROM events WHERE user_id % 5 <> 1) SEMI JOIN pilot_sections USING (pilot_id, section_type)""",
 )
+view(
+    "pilot_records",
+    ("pilot_verdict", "pilot_sections"),
+    f"""
+SELECT v.*, n, total, mean, most, slow, coalesce(audited, 0) AS audited, coalesce(ok, 0) AS ok, coalesce(cited, 0) AS cited
+FROM pilot_verdict v
+JOIN (SELECT user_id AS pilot_id, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total, avg(ms) AS mean, max(ms) AS most,
+             {P95} AS slow
+      FROM (SELECT user_id, CAST(floor(value) AS INTEGER) AS ms FROM events) GROUP BY 1) USING (pilot_id)
+LEFT JOIN (SELECT pilot_id, count(*) AS audited, count(*) FILTER ((pilot_id + section_pos) % 4 <> 0) AS ok,
+                  CAST(sum((pilot_id + section_pos) % 6) AS BIGINT) AS cited FROM pilot_sections GROUP BY 1) USING (pilot_id)""",
+)
+_ADVICE = sql_case("verdict", reports.PILOT_ADVICE)
 oracle(
     "pilot_report",
-    ("pilot_verdict", "pilot_ratings", "pilot_sections"),
+    ("pilot_records", "pilot_ratings", "pilot_sections"),
     f"""
 SELECT pilot_id, 0 AS part, '' AS key, '# MVP Pilot Validation Report' || {NL} || {NL} || '- **Mode:** `' || mode || '`' || {NL}
-  || '- **Verdict:** **' || upper(verdict) || '**' || {NL} || {NL} || {lit(reports.PILOT_SECTIONS_HEAD)} AS value FROM pilot_verdict
+  || '- **Call ID:** `CALL-' || pilot_id % 9 || '`' || {NL} || '- **Proposal:** Pilot proposal ' || pilot_id || {NL}
+  || '- **Generated at (UTC):** ' || strftime(make_timestamp((1700000000 + pilot_id * 3600) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' || {NL}
+  || '- **Verdict:** **' || upper(verdict) || '**' || CASE WHEN pilot_id % 3 = 0 THEN {NL} || '- **Notes:** note ' || pilot_id ELSE '' END
+  || {NL} || {NL} || {lit(reports.PILOT_SECTIONS_HEAD)} AS value FROM pilot_verdict
 UNION ALL
 SELECT pilot_id, 1, printf('%06d', section_pos), '| ' || (section_pos + 1) || ' | ' || section_type || ' | '
   || (pilot_id + section_pos) % 6 || ' | ' || (pilot_id + section_pos) * 31 || ' | ' || (pilot_id + section_pos) % 90
@@ -1200,8 +1243,19 @@ SELECT pilot_id, 5, section_type || '/d/' || (pilot_id + section_pos) || '/missi
   || ' | `missing_status` | no status | `d/' || (pilot_id + section_pos) || '` |'
 FROM pilot_sections WHERE (pilot_id + section_pos) % 4 = 0
 UNION ALL
-SELECT pilot_id, 6, '', {lit(reports.PILOT_SMOKE_HEAD)} || '- Verdict: **' || CASE WHEN smoke_passed THEN 'PASS' ELSE 'FAIL' END
-  || '**' || {NL} || {lit(reports.PILOT_VERDICT_HEAD)} || '**' || upper(verdict) || '**' FROM pilot_verdict""",
+SELECT pilot_id, 6, '', {NL} || '- Audit summary: ' || ok || ' passed, ' || (audited - ok) || ' failed of ' || audited || ' audited ('
+  || cited || ' citations).' || {NL} || {NL} || '## Performance (AC3)' || {NL} || {NL}
+  || '- Runtime: `stub` (LLM `deterministic-stub-v1`, embedder `hash-384`)' || {NL} || '- Platform: `linux`' || {NL}
+  || CASE WHEN pilot_id % 5 <> 2 THEN '- Indexing: ' || n || ' chunks in ' || total || ' ms ('
+          || printf('%.1f', round_even(CASE WHEN total = 0 THEN 0.0 ELSE n / (total / 1000.0) END, 1)) || ' chunks/sec)' || {NL} ELSE '' END
+  || CASE WHEN pilot_id % 7 <> 3 THEN '- Retrieval (top-5, ' || n || ' queries): avg ' || printf('%.1f', round_even(mean, 1))
+          || ' ms / p95 ' || slow || ' ms' || {NL} ELSE '' END
+  || CASE WHEN pilot_id % 4 <> 1 THEN '- Generation (' || {pick(vocab.SECTION_TYPES, "pilot_id % 11")} || '): ' || most || ' ms, ' || pilot_id % 6
+          || ' citations, prompt ' || n * 100 || ' chars' || {NL} ELSE '' END
+  || {lit(reports.PILOT_SMOKE_HEAD)} || '- Verdict: **' || CASE WHEN smoke_passed THEN 'PASS' ELSE 'FAIL' END
+  || '** (exit code ' || CASE WHEN smoke_passed THEN 0 ELSE 1 END || ')'
+  || CASE WHEN smoke_passed THEN '' ELSE {NL} || '- Detail: probe ' || pilot_id || ' got out' END
+  || {lit(reports.PILOT_VERDICT_HEAD)} || '**' || upper(verdict) || '**' || {NL} || {NL} || {_ADVICE} FROM pilot_records""",
 )
 oracle(
     "section_results",
@@ -1212,9 +1266,9 @@ oracle(
 oracle(
     "latency_rollup",
     (),
-    """
+    f"""
 SELECT event_type AS probe, count(*) AS query_count, min(ms) AS elapsed_ms_min, round(avg(ms), 6) AS elapsed_ms_avg,
-       CAST(round_even(quantile_cont(ms, 0.95), 0) AS BIGINT) AS elapsed_ms_p95, max(ms) AS elapsed_ms_max,
+       {P95} AS elapsed_ms_p95, max(ms) AS elapsed_ms_max,
        round(avg(event_id % 6), 6) AS result_count_avg
 FROM (SELECT *, CAST(floor(value) AS INTEGER) AS ms FROM events) GROUP BY 1""",
 )

@@ -770,10 +770,15 @@ def release_sample(spark, d):
 @query
 def release_report(spark, d):
     """Lines of the release report in Markdown."""
-    a = _audited(spark, d)
-    return reports.release_markdown(
-        release.release_totals(a), release.draft_results(a), release.citation_audit_rows(a), "drafts"
-    )
+    return reports.release_markdown(_audited(spark, d), "drafts")
+
+
+@query
+def release_report_sampled(spark, d):
+    """The same over a seeded sample of 25 drafts."""
+    drafts = views.drafts(spark, d)
+    some = release.sample_drafts(drafts, 25)
+    return reports.release_markdown(audit.audit_drafts(some), "drafts", drafts.count(), (25, release.DEFAULT_SEED))
 
 
 @query
@@ -861,7 +866,7 @@ def pilot_report(spark, d):
     known, _ = ratings.attach_ratings(sections, rated.filter(F.col("pilot_id") % 5 != 1))
     verdict = ratings.verdicts(
         views.pilots(spark, d), ratings.section_outcomes(sections, rated)
-    ).join(views.pilots(spark, d).select("pilot_id", "smoke_passed"), "pilot_id")
+    ).join(views.pilots(spark, d).select("pilot_id", "smoke_passed"), "pilot_id").join(views.pilot_records(spark, d), "pilot_id")
     k = F.col("pilot_id") + F.col("section_pos")
     shown = sections.select(
         "*",

@@ -14,6 +14,7 @@ from folioflow.functions.ids import content_hash
 from folioflow.functions.text import let, lookup
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.embedding import hash_embedding
+from folioflow.operators.latency import exact_percentile
 from folioflow.operators.structure import attach_tables, tables_of
 
 LINES_PER_SECTION = 4
@@ -499,6 +500,51 @@ def pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pilot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What else a pilot's report shows: identity, notes, smoke detail, and measurements over its user's events."""
+    pilot = F.col("pilot_id")
+    ms = measurements(spark, sf_dir, F.col("user_id").alias("pilot_id")).select("pilot_id", "elapsed_ms")
+    slow = exact_percentile(ms, ("pilot_id",), "elapsed_ms", 95)
+    seen = ms.groupBy("pilot_id").agg(
+        F.count("*").alias("n"), F.sum("elapsed_ms").alias("total"), F.avg("elapsed_ms").alias("mean"), F.max("elapsed_ms").alias("most")
+    )
+    k = pilot + F.col("section_pos")
+    audits = pilot_sections(spark, sf_dir).groupBy("pilot_id").agg(
+        F.count("*").alias("audited"), F.count_if(k % 4 != 0).alias("passed"), F.sum(k % 6).alias("cited")
+    )
+    none = F.lit(0).cast("bigint")
+    audited, passed, cited = (F.coalesce(c, none) for c in ("audited", "passed", "cited"))
+    smoke = (pilot % 17) != 0
+    return seen.join(slow, "pilot_id").join(audits, "pilot_id", "left").select(
+        "pilot_id",
+        F.concat(F.lit("CALL-"), (pilot % 9).cast("string")).alias("call_id"),
+        F.concat(F.lit("Pilot proposal "), pilot.cast("string")).alias("proposal_title"),
+        F.timestamp_seconds(1_700_000_000 + pilot * 3600).alias("generated_at"),
+        F.when(pilot % 3 == 0, F.concat(F.lit("note "), pilot.cast("string"))).alias("notes"),
+        F.when(smoke, 0).otherwise(1).alias("smoke_exit_code"),
+        F.when(~smoke, F.concat(F.lit("probe "), pilot.cast("string"), F.lit(" got out"))).alias("smoke_detail"),
+        F.struct(
+            audited.alias("audited_drafts"), passed.alias("passed_drafts"), (audited - passed).alias("failed_drafts"), cited.alias("citation_count")
+        ).alias("audit"),
+        F.struct(
+            F.lit("stub").alias("runtime"), F.lit("deterministic-stub-v1").alias("llm_model"), F.lit("hash-384").alias("embedder"),
+            F.lit("linux").alias("platform"),
+        ).alias("runtime"),
+        F.when(pilot % 5 != 2, F.struct(
+            F.col("n").alias("chunk_count"), F.col("total").alias("elapsed_ms"),
+            F.when(F.col("total") == 0, 0.0).otherwise(F.col("n") / (F.col("total") / 1000.0)).alias("chunks_per_second"),
+        )).alias("indexing"),
+        F.when(pilot % 7 != 3, F.struct(
+            F.lit(5).alias("top_k"), F.col("n").alias("query_count"), F.col("mean").alias("elapsed_ms_avg"),
+            F.bround("percentile", 0).cast("bigint").alias("elapsed_ms_p95"),
+        )).alias("retrieval"),
+        F.when(pilot % 4 != 1, F.struct(
+            element(vocab.SECTION_TYPES, pilot % 11).alias("section_type"), F.col("most").alias("elapsed_ms"),
+            (pilot % 6).alias("citation_count"), (F.col("n") * 100).alias("prompt_length"),
+        )).alias("generation"),
+    )
+
+
 def pilot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of each pilot: users with an id divisible by 19 have none."""
     ps = pilots(spark, sf_dir).select("pilot_id")
@@ -524,8 +570,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def measurements(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     return table(spark, sf_dir, "events").select(
+        *more,
         F.col("event_type").alias("probe"),
         F.floor("value").cast("int").alias("elapsed_ms"),
         (F.col("event_id") % 6).alias("result_count"),

@@ -6,9 +6,15 @@ no report passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from string import Formatter
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from folioflow.functions.rows import unnest
+from folioflow.functions.text import iso_utc, lookup
+from folioflow.operators.lineage import materialise
+
 
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON text per row, keys sorted."""
@@ -37,6 +43,7 @@ RELEASE_COUNTS = {
     "citation_count": "- Citations audited: ",
     "unlabeled_citation_count": "- Unlabeled citations: ",
 }
+RELEASE_SAMPLE = ("- Sample size: ", "- Sample seed: ")
 RELEASE_DRAFTS = "\n## Per-draft Results\n"
 RELEASE_DRAFTS_HEAD = "| Status | Section | Citations | Draft |\n|--------|---------|-----------|-------|"
 RELEASE_NO_DRAFTS = "_No drafts audited._"
@@ -49,48 +56,60 @@ RELEASE_NO_CITATIONS = "_No citations across audited drafts — investigate befo
 
 
 def release_markdown(
-    totals: DataFrame, drafts: DataFrame, citations: DataFrame, directory: str
+    audited: DataFrame, directory: str, total_drafts: int | None = None, sample: tuple[int, int] | None = None
 ) -> DataFrame:
-    """(part, key, value) lines of a release report, to be ordered by part and key."""
-    verdict = F.when(F.col("passed"), "PASS").otherwise("FAIL")
-    head = F.concat_ws(
-        "\n",
-        F.lit(RELEASE_TITLE),
-        F.concat(F.lit(RELEASE_VERDICT), verdict, F.lit("\n")),
-        F.lit(RELEASE_SUMMARY),
-        F.lit(RELEASE_DIRECTORY.format(directory)),
-        *[F.concat(F.lit(label), F.col(name).cast("string")) for name, label in RELEASE_COUNTS.items()],
-        F.lit(RELEASE_DRAFTS),
-        F.when(F.col("audited_drafts") > 0, RELEASE_DRAFTS_HEAD).otherwise(RELEASE_NO_DRAFTS),
-    )
-    per_draft = table_row(
-        verdict,
-        F.col("section_type"),
-        F.col("citation_count"),
-        F.concat(F.lit("`"), F.col("draft_path"), F.lit("`")),
-    )
-    middle = F.concat(
-        F.lit(RELEASE_CITATIONS),
-        F.when(F.col("citation_count") > 0, RELEASE_CITATIONS_HEAD).otherwise(RELEASE_NO_CITATIONS),
-    )
-    per_citation = table_row(
-        F.col("source_status"),
-        F.col("programme"),
-        F.col("call_id"),
-        F.col("page"),
-        F.nullif(F.col("section_heading"), F.lit("")),
-        F.coalesce(F.nullif(F.col("proposal_title"), F.lit("")), F.lit("untitled")),
-        F.col("chunk_id"),
-        F.concat(F.lit("`"), F.col("draft_path"), F.lit("`")),
+    """(part, key, value) lines of a release report, to be ordered by part and key.
+
+    The drafts are audited and read once: their lines and, observed on the way, the totals come from the
+    same pass, which is written to the shared folder. ``sample`` is the (size, seed) that picked the
+    drafts out of ``total_drafts``.
+    """
+    unlabelled = F.size(F.filter("citations", lambda c: c["source_status"].isNull()))
+    seen = Observation()
+    watched = audited.observe(
+        seen,
+        F.count("*").alias("audited_drafts"),
+        F.count_if("passed").alias("passed_drafts"),
+        F.sum(F.size("citations").cast("bigint")).alias("citation_count"),
+        F.sum(unlabelled.cast("bigint")).alias("unlabeled_citation_count"),
     )
-    citation_key = F.concat("draft_path", F.format_string("%012d", "citation_id"))
-    return (
-        _lines(0, F.lit(""), head, totals)
-        .union(_lines(1, F.col("draft_path"), per_draft, drafts))
-        .union(_lines(2, F.lit(""), middle, totals))
-        .union(_lines(3, citation_key, per_citation, citations))
+    ticked = F.concat(F.lit("`"), F.col("draft_path"), F.lit("`"))
+    badge = F.when(F.col("passed"), "PASS").otherwise("FAIL")
+    per_draft = F.struct(
+        F.lit(1).alias("part"), F.col("draft_path").alias("key"),
+        table_row(badge, F.col("section_type"), F.size("citations"), ticked).alias("value"),
     )
 
+    def per_citation(c: Column) -> Column:
+        return F.struct(
+            F.lit(3).alias("part"),
+            F.concat(F.col("draft_path"), F.format_string("%012d", c["citation_id"])).alias("key"),
+            table_row(
+                F.coalesce(c["source_status"], F.lit("unknown")), c["programme"], c["call_id"], c["page"],
+                F.nullif(c["section_heading"], F.lit("")),
+                F.coalesce(F.nullif(c["proposal_title"], F.lit("")), F.lit("untitled")), c["chunk_id"], ticked,
+            ).alias("value"),
+        )
+
+    rows = unnest(watched, F.concat(F.array(per_draft), F.transform("citations", per_citation)), item="line")
+    lines = materialise(rows.select("line.*"))
+    counts = {name: value or 0 for name, value in seen.get.items()}
+    counts["failed_drafts"] = counts["audited_drafts"] - counts["passed_drafts"]
+    counts["total_drafts"] = counts["audited_drafts"] if total_drafts is None else total_drafts
+    head = [
+        RELEASE_TITLE,
+        RELEASE_VERDICT + ("FAIL" if counts["failed_drafts"] else "PASS") + "\n",
+        RELEASE_SUMMARY,
+        RELEASE_DIRECTORY.format(directory),
+        *[f"{label}{counts[name]}" for name, label in RELEASE_COUNTS.items()],
+        *([f"{label}{value}" for label, value in zip(RELEASE_SAMPLE, sample, strict=True)] if sample else []),
+        RELEASE_DRAFTS,
+        RELEASE_DRAFTS_HEAD if counts["audited_drafts"] else RELEASE_NO_DRAFTS,
+    ]
+    middle = RELEASE_CITATIONS + (RELEASE_CITATIONS_HEAD if counts["citation_count"] else RELEASE_NO_CITATIONS)
+    fixed = audited.sparkSession.createDataFrame([(0, "", "\n".join(head)), (2, "", middle)], "part int, key string, value string")
+    return fixed.union(lines)
+
 
 # fixed values: headings and notes of the pilot report
 PILOT_SECTIONS_HEAD = (
@@ -112,8 +131,41 @@ PILOT_NO_ISSUES = "_No release-blocking citation issues found._"
 PILOT_ISSUES_TABLE = (
     "| Section | Code | Message | Draft |\n|---------|------|---------|-------|"
 )
+PILOT_TITLE = "# MVP Pilot Validation Report\n"
+PILOT_HEAD = {
+    "mode": "- **Mode:** `{}`",
+    "call_id": "- **Call ID:** `{}`",
+    "proposal_title": "- **Proposal:** {}",
+    "generated_at": "- **Generated at (UTC):** {}",
+    "verdict": "- **Verdict:** **{}**",
+    "notes": "- **Notes:** {}",
+}
+PILOT_AUDIT = "\n- Audit summary: {passed_drafts} passed, {failed_drafts} failed of {audited_drafts} audited ({citation_count} citations).\n"
+PILOT_PERFORMANCE_HEAD = "## Performance (AC3)\n"
+PILOT_RUNTIME = "- Runtime: `{runtime}` (LLM `{llm_model}`, embedder `{embedder}`)\n- Platform: `{platform}`"
+PILOT_INDEXING = "- Indexing: {chunk_count} chunks in {elapsed_ms} ms ({chunks_per_second} chunks/sec)"
+PILOT_RETRIEVAL = "- Retrieval (top-{top_k}, {query_count} queries): avg {elapsed_ms_avg} ms / p95 {elapsed_ms_p95} ms"
+PILOT_GENERATION = "- Generation ({section_type}): {elapsed_ms} ms, {citation_count} citations, prompt {prompt_length} chars"
 PILOT_SMOKE_HEAD = "\n## Network isolation smoke (AC3)\n\n"
-PILOT_VERDICT_HEAD = "\n## Go / No-Go recommendation (AC3)\n\n"
+PILOT_SMOKE = "- Verdict: **{}** (exit code {})"
+PILOT_SMOKE_DETAIL = "\n- Detail: {}"
+PILOT_VERDICT_HEAD = "\n\n## Go / No-Go recommendation (AC3)\n\n"
+# the advice below each verdict; its prose is this library's own
+PILOT_ADVICE = {
+    "conditional": "> The pipeline held in smoke mode, but nobody has rated the drafts yet: run a coordinator pilot before the release.",
+    "no_go": "> Do not release: an invariant failed, see the issues and the smoke verdict above.",
+    "go": "> Release: ratings cleared the floor, and audit and network checks held.",
+}
+
+
+def fill(pattern: str, **values: Column) -> Column:
+    """The pattern with named columns put in; null if one of them is."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(pattern):
+        parts.append(F.lit(text))
+        if name is not None:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)
 
 
 def pilot_markdown(
@@ -121,11 +173,16 @@ def pilot_markdown(
 ) -> DataFrame:
     """(pilot_id, part, key, value) lines of one report per pilot.
 
-    ``pilots`` (pilot_id, mode, verdict, smoke_passed), ``sections`` (pilot_id, section_pos,
-    section_type, citation_count, draft_length, elapsed_ms, audit_passed, draft_path),
-    ``ratings`` (pilot_id, rating_id, section_type, coordinator_id, rating,
-    time_saved_minutes, notes), ``issues`` (pilot_id, section_type, code, message,
-    draft_path). What is not there yet is shown as pending.
+    ``pilots`` (pilot_id, mode, call_id, proposal_title, generated_at, verdict, notes, smoke_passed,
+    smoke_exit_code, smoke_detail; audit: struct<audited_drafts, passed_drafts, failed_drafts,
+    citation_count>; runtime: struct<runtime, llm_model, embedder, platform>; indexing:
+    struct<chunk_count, elapsed_ms, chunks_per_second>; retrieval: struct<top_k, query_count,
+    elapsed_ms_avg, elapsed_ms_p95>; generation: struct<section_type, elapsed_ms, citation_count,
+    prompt_length>), ``sections`` (pilot_id, section_pos, section_type, citation_count,
+    draft_length, elapsed_ms, audit_passed, draft_path), ``ratings`` (pilot_id, rating_id, section_type,
+    coordinator_id, rating, time_saved_minutes, notes), ``issues`` (pilot_id, section_type, code, message,
+    draft_path). What is not there yet is shown as pending; notes, details and measurements that are
+    null have no line.
     """
 
     def lines(part: int, key: Column, text: Column, df: DataFrame) -> DataFrame:
@@ -143,13 +200,13 @@ def pilot_markdown(
     known = pilots.join(has(ratings, "rated"), "pilot_id", "left").join(
         has(issues, "flawed"), "pilot_id", "left"
     )
-    head = F.concat_ws(
-        "\n",
-        F.lit("# MVP Pilot Validation Report\n"),
-        F.concat(F.lit("- **Mode:** "), ticks("mode")),
-        F.concat(F.lit("- **Verdict:** **"), F.upper("verdict"), F.lit("**\n")),
-        F.lit(PILOT_SECTIONS_HEAD),
-    )
+    shown = {
+        "mode": F.col("mode"), "call_id": F.col("call_id"), "proposal_title": F.col("proposal_title"),
+        "generated_at": iso_utc(F.col("generated_at")), "verdict": F.upper("verdict"),
+        "notes": F.nullif(F.col("notes"), F.lit("")),
+    }
+    named = [fill(pattern.replace("{}", "{x}"), x=shown[name]) for name, pattern in PILOT_HEAD.items()]
+    head = F.concat(F.concat_ws("\n", F.lit(PILOT_TITLE), *named), F.lit("\n\n" + PILOT_SECTIONS_HEAD))
     section = table_row(
         F.col("section_pos") + 1,
         F.col("section_type"),
@@ -175,12 +232,30 @@ def pilot_markdown(
         F.when(F.col("flawed"), F.lit(PILOT_ISSUES_TABLE)).otherwise(F.lit(PILOT_NO_ISSUES)),
     )
     issue = table_row(F.col("section_type"), ticks("code"), F.col("message"), ticks("draft_path"))
+
+    def measured(pattern: str, struct: str) -> Column:
+        names = [name for _, name, _, _ in Formatter().parse(pattern) if name]
+        one_place = ("chunks_per_second", "elapsed_ms_avg")
+        values = {n: F.col(struct)[n] for n in names}
+        return fill(pattern, **{n: F.format_string("%.1f", F.bround(v.cast("double"), 1)) if n in one_place else v for n, v in values.items()})
+
+    advice = lookup(F.col("verdict"), PILOT_ADVICE)
+    detail = F.coalesce(fill(PILOT_SMOKE_DETAIL.replace("{}", "{x}"), x=F.nullif(F.col("smoke_detail"), F.lit(""))), F.lit(""))
+    badge = F.when(F.col("smoke_passed"), "PASS").otherwise("FAIL")
     tail = F.concat(
-        F.lit(PILOT_SMOKE_HEAD + "- Verdict: **"),
-        F.when(F.col("smoke_passed"), "PASS").otherwise("FAIL"),
-        F.lit("**\n" + PILOT_VERDICT_HEAD + "**"),
-        F.upper("verdict"),
-        F.lit("**"),
+        F.concat_ws(
+            "\n",
+            measured(PILOT_AUDIT, "audit"),
+            F.lit(PILOT_PERFORMANCE_HEAD),
+            measured(PILOT_RUNTIME, "runtime"),
+            F.when(F.col("indexing").isNotNull(), measured(PILOT_INDEXING, "indexing")),
+            F.when(F.col("retrieval").isNotNull(), measured(PILOT_RETRIEVAL, "retrieval")),
+            F.when(F.col("generation").isNotNull(), measured(PILOT_GENERATION, "generation")),
+            F.concat(
+                F.lit(PILOT_SMOKE_HEAD), fill(PILOT_SMOKE.replace("{}", "{x}", 1).replace("{}", "{y}"), x=badge, y=F.col("smoke_exit_code")),
+                detail, F.lit(PILOT_VERDICT_HEAD + "**"), F.upper("verdict"), F.lit("**\n\n"), advice,
+            ),
+        )
     )
     none = F.lit("")
     rating_key = F.concat_ws("/", "section_type", F.format_string("%012d", "rating_id"))

@@ -191,8 +191,23 @@ def test_requirements_are_trimmed_distinct_and_ordered(one):
 )
 def test_p95(spark, values, expected):
     # 0.95 * 50 = 47.5 rounds to 48 and 9.5 to 10: half goes to even
-    df = spark.createDataFrame([(v,) for v in values], "elapsed_ms int")
-    assert df.agg(latency.p95(F.col("elapsed_ms"))).first()[0] == expected
+    rows = [(v, 1) for v in values] + [(None, 3)]
+    df = spark.createDataFrame(rows, "elapsed_ms int, result_count int").repartition(3)
+    row = latency.latency_rollup(df.withColumn("probe", F.lit("p")), "probe").first()
+    assert (row["elapsed_ms_p95"], row["query_count"]) == (expected, len(rows))
+
+
+def test_no_task_holds_all_distinct_values(spark):
+    """Two probes, one of 300,000 distinct values: its ranges are spread, and the ranks are exact."""
+    rows = spark.range(300_000).select((F.col("id") * 7919 % 300_007).cast("int").alias("elapsed_ms"), F.lit("big").alias("probe"))
+    rows = rows.union(spark.range(11).select((F.col("id") * 10).cast("int"), F.lit("small")))
+    sizes = latency._ranged_counts(rows, ("probe",), "elapsed_ms").groupBy("part").agg(F.count("*").alias("n")).collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 200_000
+    found = {r["probe"]: r["percentile"] for r in latency.exact_percentile(rows, ("probe",), "elapsed_ms", 95).collect()}
+    values = sorted(i * 7919 % 300_007 for i in range(300_000))
+    rank = 95 * (len(values) - 1)
+    low, weight = divmod(rank, 100)
+    assert found == {"big": (values[low] * (100 - weight) + values[low + 1] * weight) / 100, "small": 95.0}
 
 
 def test_throughput_zero_guards(spark):
