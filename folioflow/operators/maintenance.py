@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.lineage import broadcast_if_small, materialise
+
+
+def _without(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``existing`` whose key is not among ``ids``.
+
+    Ids that a join can carry along are sent to the rows, so no text moves. More of them meet the rows by
+    a join on the key, where a table that is stored bucketed by it stays in place, too.
+    """
+    return existing.join(broadcast_if_small(materialise(ids.select(key).distinct())), key, "left_anti")
+
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or replace by chunk id; running it twice changes nothing."""
-    return existing.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+    return _without(existing, new, "chunk_id").unionByName(new)
 
 
 def delete_documents(existing: DataFrame, documents: DataFrame) -> DataFrame:
-    return existing.join(documents.select("document_id").distinct(), "document_id", "left_anti")
+    return _without(existing, documents, "document_id")
 
 
 def removed_counts(existing: DataFrame, documents: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from folioflow.operators import (
     structure,
     validation,
 )
+from folioflow.operators.lineage import broadcast_if_small, materialise, stored
 from folioflow.plans import views
 from folioflow.sources import dimensions, documents, event_log, reports
 
@@ -646,9 +647,9 @@ def chunk_deletes(spark, d):
 @query
 def chunk_reindex(spark, d):
     """Re-indexed documents lose their old chunks and gain the revised ones."""
-    rows = _chunk_rows(spark, d)
-    replaced = _decided_reindex(spark, d)
-    new = _revised(rows).join(replaced, "document_id", "left_semi")
+    rows = stored(_chunk_rows(spark, d))  # texts are cut into chunks once
+    replaced = materialise(_decided_reindex(spark, d).distinct())
+    new = _revised(rows.join(broadcast_if_small(replaced), "document_id", "left_semi"))
     return _fingerprint(maintenance.reindex(rows, replaced, new))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from folioflow.operators import dedup, groups
+from folioflow.operators import dedup, groups, maintenance
 from folioflow.operators.lineage import materialise
 from folioflow.sources.chunk_table import ChunkTable
 
@@ -190,3 +190,15 @@ def test_summary_counts(spark):
 
     assert run(False) == {"added": (1, 3), "reindexed": (1, 4), "skipped": (2, 0)}
     assert run(True) == {"added": (1, 3), "reindexed": (2, 9), "skipped": (1, 0)}
+
+
+def test_no_text_is_exchanged_by_a_reindex(spark, capsys):
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i % 7}", "text") for i in range(50)], CHUNK)
+    replaced = spark.createDataFrame([("d1",), ("d1",), ("d5",)], "document_id string")
+    new = spark.createDataFrame([("c0", "d1", "new"), ("n1", "d5", "new")], CHUNK)
+    out = maintenance.reindex(chunks, replaced, new)
+    ids = {r["chunk_id"]: r["text"] for r in out.collect()}
+    assert ids == {**{f"c{i}": "text" for i in range(1, 50) if i % 7 not in (1, 5)}, "c0": "new", "n1": "new"}
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastExchange") >= 2
