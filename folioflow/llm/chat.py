@@ -461,21 +461,23 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """What the rendered conversations hold, read back from them as they are rendered."""
+    """What the formatted conversations hold, read back from their texts and loss spans."""
     fields = [
         ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
     ]
 
     def digest(batches):
-        run = compile_template(TEMPLATE)
-
         def found():
-            for conv, messages in _streams(batches):
-                reader = Reader()
-                for text, masked in run({"messages": messages}):
-                    reader.feed(text, masked)
-                yield conv, *reader.result()
+            for batch in batches:
+                for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
+                    reader, at = Reader(), 0
+                    for span in spans:
+                        reader.feed(text[at : span["start"]], False)
+                        reader.feed(text[span["start"] : span["stop"]], True)
+                        at = span["stop"]
+                    reader.feed(text[at:], False)
+                    yield conv, *reader.result()
 
         results = found()
         while some := list(itertools.islice(results, 1000)):
@@ -488,7 +490,7 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
         "formatted_chars bigint"
     )
-    return _in_order(conversations).mapInArrow(digest, schema)
+    return format_conversations(conversations).mapInArrow(digest, schema)
 
 
 #: A conversation whose texts try to pass for control strings.

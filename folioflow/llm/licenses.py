@@ -24,49 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.license_texts import TEMPLATES
 from folioflow.llm.shared import mix, shingle_hashes, text_chunks, word_hashes
 
 WORDS = 5
 PERCENT = 80
 BANDS, BAND_ROWS = 12, 2
 
-# The wording of public licence notices.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
-        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-        "permissions and limitations under the License."
-    ),
-    "bsd-clauses": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met"
-    ),
-    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."
-    ),
-    "mit-line": "Released under the MIT License.",
-    "mit-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so"
-    ),
-    "mpl-2.0-notice": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
-    ),
-}
-
 
 def _fold() -> np.ndarray:
     """Bytes that are no part of a word count as spaces."""
@@ -135,25 +99,34 @@ class Templates:
             for size, held in places.items()
         }
 
-    def candidates(self, hashes: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """(row, template) pairs of which some window shares a band key; `row` numbers the shingles' texts."""
+    def candidates(self, hashes: np.ndarray, per_row: np.ndarray) -> set[tuple[int, int]]:
+        """(row, template) pairs of which some window of the row's shingles shares a band key."""
         found: set[tuple[int, int]] = set()
         for size, bands in self.bands.items():
-            if len(hashes) < size:
+            starts, row = windows(per_row, size)
+            if not len(starts):
                 continue
-            step = max(1, size // 2)
-            starts = np.arange(0, len(hashes) - size + 1, step)
             for keys, (known, templates) in zip(band_keys(hashes, size, starts), bands, strict=False):
                 at = np.searchsorted(known, keys)
                 at[at == len(known)] = 0
                 hits = np.flatnonzero(known[at] == keys)
-                for start, place in zip(starts[hits].tolist(), at[hits].tolist(), strict=True):
-                    # a window may run into the next text; either may hold the template
-                    for r in {int(row[start]), int(row[start + size - 1])}:
-                        found.update((r, t) for t in templates[place])
+                for r, place in zip(row[hits].tolist(), at[hits].tolist(), strict=True):
+                    found.update((r, t) for t in templates[place])
         return found
 
 
+def windows(per_row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of half-overlapping windows within each text, the last one at its end, and their texts' numbers."""
+    step = max(1, size // 2)
+    whole = np.where(per_row >= size, (per_row - size) // step + 1, 0)
+    tail = (per_row > size) & ((per_row - size) % step > 0)
+    count = whole + tail
+    row = np.repeat(np.arange(len(per_row)), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.cumsum(per_row) - per_row
+    return begin[row] + np.minimum(number * step, per_row[row] - size), row
+
+
 def best_containment(hashes: np.ndarray, template: np.ndarray) -> tuple[int, int]:
     """(shingles of the template, start) of the stretch that holds most of it; the first of equals."""
     width = len(template) + -(-len(template) // 4)
@@ -186,10 +159,9 @@ def license_matches(
         known = Templates(texts)
         for piece in text_chunks(batches):
             hashes, per_row = shingles(piece.column("text"))
-            row = np.repeat(np.arange(len(per_row)), per_row)
             stops = np.cumsum(per_row)
             rows, names, shares, starts = [], [], [], []
-            for r, t in sorted(known.candidates(hashes, row)):
+            for r, t in sorted(known.candidates(hashes, per_row)):
                 held, start = best_containment(hashes[stops[r] - per_row[r] : stops[r]], known.sets[t])
                 if 100 * held >= percent * len(known.sets[t]):
                     rows.append(r)

@@ -177,6 +177,33 @@ def test_license_scan_finds_whole_and_changed_notices(spark):
     assert licenses.license_matches(table(spark, [])).count() == 0
 
 
+def test_full_licence_texts_with_edits_are_found(spark):
+    """Whole texts survive a few changed words, wherever they stand; the other licences of a family are told apart."""
+    rng = random.Random(16)
+    rows, expected = [], set()
+    for n, name in enumerate(sorted(licenses.TEMPLATES)):
+        words = licenses.TEMPLATES[name].split()
+        for place in rng.sample(range(len(words)), len(words) // 60):
+            words[place] = "edited"
+        rows.append((n, f"{sentence(rng, rng.randrange(90))} {' '.join(words)} {sentence(rng, rng.randrange(90))}"))
+        expected.add((n, name))
+    found = {(r["doc_id"], r["template"]) for r in licenses.license_matches(table(spark, rows)).collect()}
+    assert len(licenses.TEMPLATES) >= 30 and expected <= found
+    names = sorted(licenses.TEMPLATES)
+    families = {n: {t.split("-")[0] for d, t in found if d == n} for n in range(len(names))}
+    assert families[names.index("mit")] == {"mit"} and families[names.index("zlib")] == {"zlib"}
+
+
+def test_windows_stay_within_their_text():
+    per_row = np.array([0, 3, 4, 9, 10, 0, 23])
+    for size in (1, 2, 4, 8):
+        starts, row = licenses.windows(per_row, size)
+        begin = np.cumsum(per_row) - per_row
+        assert (starts >= begin[row]).all() and (starts + size <= begin[row] + per_row[row]).all()
+        covered = {p for s in starts.tolist() for p in range(s, s + size)}
+        assert covered == {p for b, n in zip(begin.tolist(), per_row.tolist(), strict=True) if n >= size for p in range(b, b + n)}
+
+
 @pytest.mark.parametrize("size", [1, 3, 8, 70])
 def test_window_sizes_leave_three_windows_in_a_template(size):
     assert licenses.window_size(size) <= max(1, size // 2)
