@@ -526,6 +526,20 @@ SELECT chunk_id, programme AS "proposal.programme", call_id AS "proposal.call_id
        heading AS parent_section_heading, CAST(chunk_index AS INTEGER) AS chunk_index, source_status FROM chunks""",
 )
 
+# a document's fields come back from its sidecar unless that is spoilt: no mapping, an extra key or a list for a number
+oracle(
+    "sidecar_metadata",
+    ("proposals",),
+    "SELECT doc_id, problem, "
+    + ", ".join(
+        f"CASE WHEN problem IS NULL THEN {n} END AS {n}"
+        for n in ("programme", "call_id", "topic_id", "year", "outcome", "proposal_title", "consortium_acronym", "source_path",
+                  "language", "ingested_at", "content_hash")
+    )
+    + """ FROM (SELECT *, CASE doc_id % 17 WHEN 5 THEN 'malformed' WHEN 7 THEN 'not_a_mapping' WHEN 8 THEN 'not_a_mapping'
+                       WHEN 9 THEN 'extra:snippet' WHEN 3 THEN 'type:year' END AS problem FROM proposals)""",
+)
+
 # --- validation ---------------------------------------------------------------------------------------------------
 
 oracle(

@@ -32,7 +32,7 @@ from folioflow.operators import (
 )
 from folioflow.operators.lineage import broadcast_if_small, materialise, stored
 from folioflow.plans import views
-from folioflow.sources import dimensions, documents, event_log, reports
+from folioflow.sources import dimensions, documents, event_log, reports, sidecars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,6 +320,13 @@ def flat_metadata(spark, d):
     return documents.flatten_metadata(again).drop("text")
 
 
+@query
+def sidecar_metadata(spark, d):
+    """Proposal fields of YAML sidecars, and what is wrong with unreadable ones."""
+    rows = sidecars.sidecar_rows(views.sidecar_texts(spark, d), "sidecar_text", "doc_id")
+    return rows.withColumn("ingested_at", text.iso_utc(F.col("ingested_at")))
+
+
 # --- validation ------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow import vocab
 from folioflow.functions.ids import content_hash
-from folioflow.functions.text import let, lookup
+from folioflow.functions.text import iso_utc, let, lookup
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.embedding import hash_embedding
 from folioflow.operators.latency import exact_percentile
@@ -487,6 +487,35 @@ _CITATIONS = (
 # --- events -------------------------------------------------------------------------------------------
 
 
+def sidecar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML sidecar per document: flat or nested, with comments and quotes, some of them unreadable."""
+    p = proposals(spark, sf_dir)
+    doc = F.col("doc_id")
+
+    def quoted(c: Column) -> Column:
+        """A double-quoted scalar; the escapes of JSON are escapes here, too."""
+        return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{.x.:(.*)\}$", 1)
+
+    def line(name: str, value: Column, indent: Column) -> Column:
+        return F.concat(indent, F.lit(f"{name}: "), F.coalesce(value, F.lit("null")), F.lit("\n"))
+
+    nested = doc % 3 == 1
+    indent = F.when(nested, "  ").otherwise("")
+    year = F.when(doc % 17 == 3, F.lit("[2020]")).otherwise(F.col("year").cast("string"))
+    body = F.concat(
+        line("programme", F.col("programme"), indent), line("call_id", quoted(F.col("call_id")), indent),
+        line("topic_id", F.concat(F.lit("'"), "topic_id", F.lit("'  # within the call")), indent), line("year", year, indent),
+        line("outcome", F.col("outcome"), indent), line("proposal_title", quoted(F.col("proposal_title")), indent),
+        F.when(F.col("consortium_acronym").isNotNull(), line("consortium_acronym", F.col("consortium_acronym"), indent)).otherwise(""),
+        line("source_path", F.col("source_path"), indent), line("language", F.col("language"), indent),
+        line("ingested_at", iso_utc(F.col("ingested_at")), indent), line("content_hash", quoted(F.col("content_hash")), indent),
+        F.when(doc % 17 == 9, F.concat(indent, F.lit("snippet: x\n"))).otherwise(""),
+    )
+    text = F.concat(F.lit("# sidecar\n---\n"), F.when(nested, "chunk_index: 0\nproposal:\n").otherwise(""), body)
+    flawed = F.when(doc % 17 == 5, 'call_id: "open\nyear: [').when(doc % 17 == 7, "- programme\n- call_id\n").when(doc % 17 == 8, "")
+    return p.select("doc_id", F.coalesce(flawed, text).alias("sidecar_text"))
+
+
 def pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pilot per user with its mode and probe results."""
     e = table(spark, sf_dir, "events")

@@ -10,7 +10,7 @@ from folioflow.operators import egress, events, validation
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.events import with_defaults
 from folioflow.operators.validation import check_events
-from folioflow.sources import dimensions, documents, drafts, event_log, reports
+from folioflow.sources import dimensions, documents, drafts, event_log, reports, sidecars
 from folioflow.sources.chunk_table import ChunkTable
 from folioflow.sources.synthetic import synthetic_corpus
 from folioflow.streaming import ingest, logs
@@ -43,6 +43,28 @@ def test_sidecars_flat_and_nested(spark, tmp_path):
         documents.read_proposals(spark, str(tmp_path / "m")).collect()
 
 
+def test_yaml_sidecars_flat_nested_and_malformed(spark, tmp_path):
+    pytest.importorskip("yaml")
+    flat = "programme: cef\ncall_id: 'C: 1'  # quoted\nyear: 2020\noutcome: funded\nsource_path: rel/a.pdf\ningested_at: 2024-05-01T10:00:00+02:00\n"
+    nested = "chunk_index: 3\nproposal:\n  programme: cef\n  call_id: D\n  year: 2021\n  outcome: rejected\n  source_path: /abs/b.pdf\n  language: fr\n"
+    _write(tmp_path / "m" / "x" / "a.yaml", flat)
+    _write(tmp_path / "m" / "b.YML", nested)
+    _write(tmp_path / "m" / "c.txt", "no sidecar")
+    rows = {r["document_id"]: r for r in sidecars.read_sidecars(spark, str(tmp_path / "m")).collect()}
+    assert set(rows) == {"a", "b"}
+    assert (rows["a"]["call_id"], rows["a"]["year"], rows["a"]["language"]) == ("C: 1", 2020, "en")
+    assert rows["a"]["source_path"] == f"{tmp_path}/m/x/rel/a.pdf" and rows["a"]["ingested_at"].hour == 8
+    assert (rows["b"]["source_path"], rows["b"]["language"]) == ("/abs/b.pdf", "fr")
+    for name, text in {"d": "- a list", "e": 'call_id: "open', "f": flat + "text: secret\n", "g": flat.replace("2020", "[1]"), "h": "", "i": flat.replace("cef", "7")}.items():
+        _write(tmp_path / "m" / f"{name}.yaml", text)
+    kept = {r["sidecar"][-6:-5]: r["problem"] for r in sidecars.read_sidecars(spark, str(tmp_path / "m"), keep_problems=True).collect()}
+    assert {k: v for k, v in kept.items() if v} == {
+        "d": "not_a_mapping", "e": "malformed", "f": "extra:text", "g": "type:year", "h": "not_a_mapping", "i": "type:programme"
+    }
+    with pytest.raises(Exception, match="sidecar"):
+        sidecars.read_sidecars(spark, str(tmp_path / "m")).collect()
+
+
 def test_file_hashes_and_extension_filter(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.PDF").write_bytes(b"\x00\x01")
