@@ -193,9 +193,10 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _tokens(rows: DataFrame, shared) -> DataFrame:
-    """(token, fp, n, pos, last, size) of prefix shingles that pass a set filter.
+    """(token, fp, n, pos, last, own, score) of prefix shingles that pass a set filter.
 
-    pos is the place in the prefix, last its last shingle, size its length.
+    pos is the place in the prefix, last its last shingle, own the number of its shingles that do not
+    pass, and score the share of the set's shingles that do.
     """
 
     def spread(batches):
@@ -207,18 +208,99 @@ def _tokens(rows: DataFrame, shared) -> DataFrame:
             stops = np.cumsum(lengths)
             row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
             pos = (np.arange(len(values)) - np.repeat(stops - lengths, lengths))[kept]
+            shared_of = np.bincount(row, minlength=batch.num_rows)
+            score = shared_of / np.maximum(batch.column("n_shingles").to_numpy(), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(values[kept]), batch.column("fp").take(row), batch.column("n_shingles").take(row),
-                    pa.array(pos), pa.array(values[stops[row] - 1]), pa.array(lengths[row]),
+                    pa.array(pos), pa.array(values[stops[row] - 1]), pa.array((lengths - shared_of)[row]), pa.array(score[row]),
                 ],
-                names=["token", "fp", "n", "pos", "last", "size"],
+                names=["token", "fp", "n", "pos", "last", "own", "score"],
             )
 
-    schema = "token bigint, fp bigint, n bigint, pos bigint, last bigint, size bigint"
+    schema = "token bigint, fp bigint, n bigint, pos bigint, last bigint, own bigint, score double"
     return rows.select("fp", "n_shingles", "prefix").mapInArrow(spread, schema)
 
 
+#: Sets of one shingle that are held while its group is read, and up to which all its pairs are looked at.
+GROUP_ROWS, PAIR_ROWS = 4096, 128
+_HOPEFUL = (
+    "token bigint, fp bigint, n bigint, pos bigint, last bigint, own bigint, score double, sets bigint, x bigint, y bigint"
+)
+
+
+def _with_partner(n: np.ndarray, last: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have another one with which sizes and prefixes leave the threshold open (see `_possible`)."""
+    common = np.where(last[:, None] <= last, (n - own)[:, None], n - own)
+    common = np.maximum(common, common.T)
+    open_ = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+    open_ &= (100 + percent) * common >= percent * (n[:, None] + n)
+    np.fill_diagonal(open_, False)
+    return open_.any(axis=1)
+
+
+def _hopeful(batches, percent: int):
+    """Rows sorted by token, without those that have no partner in their token's group.
+
+    `sets`, `x` and `y` name the list of the group's sets that are left. A group of more than GROUP_ROWS
+    passes as it is, with sets -1, and is not held.
+    """
+    names = ["token", "fp", "n", "pos", "last", "own", "score"]
+
+    def emit(table: pa.Table, rows: np.ndarray, sets, x, y):
+        some = table.take(pa.array(rows)).combine_chunks()
+        columns = [some.column(c) for c in names] + [pa.array(v, pa.int64()) for v in (sets, x, y)]
+        yield from pa.table(columns, names=[*names, "sets", "x", "y"]).to_batches(max_chunksize=1 << 16)
+
+    def groups(table: pa.Table, edges: np.ndarray):
+        n, last, own, fp = (table.column(c).to_numpy() for c in ("n", "last", "own", "fp"))
+        fp = fp.view(np.uint64)
+        kept, sizes, xs, ys = [], [], [], []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if stop - start < 2:
+                continue
+            rows = np.arange(start, stop)
+            if len(rows) <= PAIR_ROWS:
+                rows = rows[_with_partner(n[start:stop], last[start:stop], own[start:stop], percent)]
+            if len(rows):
+                prints = fp[rows]
+                both = [np.bitwise_xor.reduce(mix(prints + np.uint64(k))).view(np.int64) for k in (11, 23)]
+                kept.append(rows)
+                sizes.append(len(rows))
+                xs.append(both[0])
+                ys.append(both[1])
+        if kept:
+            each = np.array(sizes)
+            yield from emit(table, np.concatenate(kept), np.repeat(each, each), np.repeat(xs, each), np.repeat(ys, each))
+
+    waiting, passing = None, None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if waiting is not None:
+            table = pa.concat_tables([waiting, table])
+        token = table.column("token").to_numpy()
+        if passing is not None:  # the rest of a large group
+            stop = int(np.searchsorted(token, passing, side="right"))
+            if stop:
+                nothing = np.full(stop, -1)
+                yield from emit(table, np.arange(stop), nothing, nothing, nothing)
+                table, token = table.slice(stop), token[stop:]
+            if not len(token):
+                waiting = None
+                continue
+            passing = None
+        edges = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token)) if len(token) else np.zeros(1, int)
+        if len(edges) > 2:
+            yield from groups(table, edges[:-1])
+        waiting = table.slice(int(edges[-2])) if len(edges) > 1 else None
+        if waiting is not None and waiting.num_rows > GROUP_ROWS:
+            nothing = np.full(waiting.num_rows, -1)
+            yield from emit(waiting, np.arange(waiting.num_rows), nothing, nothing, nothing)
+            passing, waiting = int(token[-1]), None
+    if waiting is not None:
+        yield from groups(waiting, np.array([0, waiting.num_rows]))
+
+
 class _Join:
     """The tables that the two steps of one join share; a node is a distinct shingle set."""
 
@@ -235,22 +317,24 @@ class _Join:
         Of shingles that exactly the same sets hold, the first stands for all. The score is the share of
         a set's shingles that others have in their prefixes, too: an original scores above its
         changed copies. `own` is the number of shingles in its prefix that are in no other prefix.
+        Sets that cannot reach the threshold with any other set of a shingle leave it at once, so what is
+        shared by chance goes no further.
         """
         held = self.linkable.select(F.explode("prefix").alias("token"), "fp")
         several = held.groupBy("token").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
         several = self.scratch.save(several.where("least <> most").select("token"), "several")
         passing = self.context.broadcast(set_filter(several, several.count()))
-        held = self.scratch.save(_tokens(self.linkable, passing).distinct(), "held")
-        lists = held.groupBy("token").agg(
+        ordered = _tokens(self.linkable, passing).distinct().repartition("token").sortWithinPartitions("token", "fp")
+        percent = self.percent
+        held = self.scratch.save(ordered.mapInArrow(lambda batches: _hopeful(batches, percent), _HOPEFUL), "held")
+        lists = held.where("sets < 0").groupBy("token").agg(
             F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("x"),
             F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
         )
-        chosen = lists.where("sets > 1").groupBy("sets", "x", "y").agg(F.min("token").alias("token"))
-        scores = held.groupBy("fp").agg(
-            (F.count("*") / F.max("n")).alias("score"), (F.max("size") - F.count("*")).alias("own")
-        )
-        tokens = held.join(chosen.select("token"), "token").join(scores, "fp")
-        tokens = self.scratch.save(tokens.select("token", "fp", "n", "pos", "last", "own", "score"), "tokens")
+        lists = lists.unionByName(held.where("sets > 0").select("token", "sets", "x", "y").distinct())
+        chosen = lists.groupBy("sets", "x", "y").agg(F.min("token").alias("token"))
+        tokens = held.drop("sets", "x", "y").join(chosen.select("token"), "token", "left_semi")
+        tokens = self.scratch.save(tokens, "tokens")
         self.scratch.drop("held")
         self.scratch.drop("several")
         return tokens
