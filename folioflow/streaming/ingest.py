@@ -54,14 +54,17 @@ def ingest_batch(
 
 
 def ingest_stream(
-    spark: SparkSession, inbox: str, table: ChunkTable, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession, inbox: str, table: ChunkTable, checkpoint: str, files_per_batch: int = 1000, *, force: bool = False
 ) -> StreamingQuery:
-    """Watch a folder of incoming documents (JSON lines) and keep the table current."""
+    """Watch a folder of incoming documents (JSON lines) and keep the table current.
+
+    With ``force`` a suspected duplicate replaces the record it conflicts with.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # the id is born with the checkpoint, so a new checkpoint is a new stream
         stored = spark.read.text(f"{checkpoint}/metadata").first()["value"]
-        ingest_batch(table, batch, (json.loads(stored)["id"], batch_id))
+        ingest_batch(table, batch, (json.loads(stored)["id"], batch_id), force=force)
 
     return (
         spark.readStream.schema(INCOMING)

@@ -283,6 +283,26 @@ def test_ingest_batch_with_repeated_id_keeps_the_last(spark, tmp_path):
     assert sorted(r["outcome"] for r in outcome.collect()) == ["added", "reindexed"]
 
 
+def test_forced_stream_replaces_in_order(spark, tmp_path):
+    """A forced document counts as admitted at once: its keys block and what it replaced is free again."""
+    table = ChunkTable(spark, str(tmp_path / "t"), "main")
+    inbox, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+
+    def run():
+        ingest.ingest_stream(spark, inbox, table, checkpoint, force=True).awaitTermination()
+        return sorted((r["document_id"], r["text"]) for r in table.read().collect())
+
+    first = [_incoming(1, "a", "h1", "A", "one"), _incoming(2, "b", "h2", "A", "two"), _incoming(3, "c", "h2", "C", "copy of b"),
+             _incoming(4, "d", "h1", "D", "bytes of a, which is gone")]
+    _write(tmp_path / "in" / "1.json", "\n".join(map(json.dumps, first)))
+    assert run() == [("b", "two"), ("d", "bytes of a, which is gone")]
+    second = [_incoming(5, "e", "h5", "A", "three"), _incoming(6, "b", "h2", "A", "two again")]
+    _write(tmp_path / "in" / "2.json", "\n".join(map(json.dumps, second)))
+    # e replaces b; then b's bytes are free, but its title is e's, so b replaces e
+    assert run() == [("b", "two again"), ("d", "bytes of a, which is gone")]
+    assert run() == [("b", "two again"), ("d", "bytes of a, which is gone")]
+
+
 def test_no_stream_batch_is_lost_to_other_writes_or_a_new_checkpoint(spark, tmp_path):
     table = ChunkTable(spark, str(tmp_path / "t"), "main")
     inbox = tmp_path / "in"
