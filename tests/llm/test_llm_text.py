@@ -207,31 +207,3 @@ def test_windows_stay_within_their_text():
 @pytest.mark.parametrize("size", [1, 3, 8, 70])
 def test_window_sizes_leave_three_windows_in_a_template(size):
     assert licenses.window_size(size) <= max(1, size // 2)
-
-
-@pytest.mark.parametrize("limit", [4096, 5])
-def test_sets_without_a_partner_leave_a_shingle(monkeypatch, limit):
-    """Against all pairs of each shingle, for groups that span batches and groups that are too large to hold."""
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", limit)
-    rng = random.Random(2)
-    rows = []
-    for token in range(60):
-        for fp in rng.sample(range(1000), rng.choice([1, 2, 2, 3, 4, 9])):
-            n = rng.choice([20, 22, 40, 300])
-            p = jaccard.prefix_length(n, 85)
-            rows.append((token, fp, n, rng.randrange(p), rng.randrange(1000), rng.randrange(p), 0.5))
-    rows.sort()
-    names = ["token", "fp", "n", "pos", "last", "own", "score"]
-    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
-    found = [r for b in jaccard._hopeful(iter(table.to_batches(max_chunksize=7)), 85) for r in b.to_pylist()]
-
-    def possible(x, y):
-        common = max(a[2] - a[5] for a, b in ((x, y), (y, x)) if a[4] <= b[4])
-        return 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2]) and 185 * common >= 85 * (x[2] + y[2])
-
-    groups = {t: [r for r in rows if r[0] == t] for t in range(60)}
-    expected = {r[:2] for g in groups.values() for r in g if any(o is not r and possible(r, o) for o in g)}
-    large = {r["token"] for r in found if r["sets"] < 0}
-    assert {(r["token"], r["fp"]) for r in found if r["token"] not in large} == {e for e in expected if e[0] not in large}
-    assert {(r["token"], r["fp"]) for r in found if r["token"] in large} == {r[:2] for r in rows if r[0] in large}
-    assert bool(large) == (limit == 5)
