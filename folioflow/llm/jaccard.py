@@ -2,9 +2,14 @@
 
 Two sets that reach the threshold must share a shingle within their prefixes (the first
 ``n - ceil(t n) + 1`` shingles) under *every* total order of all shingles. The first order is by
-corpus frequency, rarest first; the others are independent hash orders. A pair is verified only if
-it passes the filter of each order, and if parity sketches of the two sets do not rule it out (they
-bound the symmetric difference from below, so they lose nothing).
+the number of sets that hold a shingle, rarest first; the others are independent hash orders. A pair is
+verified only if it passes the filter of each order, and if parity sketches of the two sets do not rule
+it out (they bound the symmetric difference from below, so they lose nothing).
+
+A set whose prefix is filled by shingles that no other set has links with nothing. Most sets are told
+so by a quarter of all shingles, chosen by their hashes and counted exactly. They leave, and of the others
+all shingles are counted. So what sets share by chance, or in less than the threshold asks for, does not
+become candidates, and the shingles joined on grow with the documents that share nearly all they have.
 
 A shingle of many documents must not become all their pairs. Sets are nodes of a graph, so equal
 sets are one node, and work runs in two steps that together are exact for connected groups:
@@ -31,14 +36,16 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
 from folioflow.llm.shared import Scratch, mix, shingle_hashes, text_chunks, word_hashes
-from folioflow.llm.sketch import filled, may_hold, set_filter
+from folioflow.llm.sketch import may_hold, set_filter
 
 WORDS = 4
 PERCENT = 85
 #: Seeds of the second and the third order.
 _SEEDS = (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C)
-#: Frequencies are counted in 2^20 hash buckets: a table of 1 MB sent to tasks, whatever the corpus.
-BUCKET_BITS = 20
+#: Of so many shingles, told by their hashes, one is counted for every set.
+SAMPLE = 4
+
+
 def _sets(batch, k: int):
     """(row, sorted distinct shingle hashes) for each row of an Arrow batch."""
     words, counts = word_hashes(batch.column("text"))
@@ -53,37 +60,11 @@ def _fingerprint(found: np.ndarray) -> int:
     return int(mix(mix(both[0]) + both[1] * np.uint64(3) + np.uint64(len(found)))[0].view(np.int64))
 
 
-def shingle_levels(documents: DataFrame, k: int = WORDS) -> np.ndarray:
-    """The binary magnitude of the corpus count of every hash bucket, over all documents."""
-    shift = np.uint64(64 - BUCKET_BITS)
-
-    def count(batches, totals):
-        for piece in text_chunks(batches):
-            found = [s for _, s in _sets(piece, k)]
-            if found:
-                places = (np.concatenate(found) >> shift).astype(np.int64)
-                totals += np.bincount(places, minlength=len(totals)).astype(np.uint32)
-
-    totals = filled(documents.select("text"), count, 1 << BUCKET_BITS, np.uint32, np.add)
-    return np.ceil(np.log2(totals + 1.0)).astype(np.uint8)
-
-
 def prefix_length(n: int, percent: int) -> int:
     """Shingles to keep so that two sets reaching the threshold share one of them."""
     return n - -(-percent * n // 100) + 1
 
 
-def _first_order(found: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The ranks of the prefix by corpus frequency, rarest first, ties by the hash; in order.
-
-    A rank, the level above 58 bits of the hash, names its shingle.
-    """
-    places = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    rank = (level[places].astype(np.uint64) << np.uint64(58)) | (found & np.uint64((1 << 58) - 1))
-    p = prefix_length(len(found), percent)
-    return np.sort(np.partition(rank, p - 1)[:p] if p < len(found) else rank).view(np.int64)
-
-
 def _hash_order(found: np.ndarray, seed: int, percent: int) -> np.ndarray:
     """The prefix in a hash order; 32 bits of each hash, since a filter may pass too much."""
     order = mix(found ^ np.uint64(seed))
@@ -92,24 +73,24 @@ def _hash_order(found: np.ndarray, seed: int, percent: int) -> np.ndarray:
     return (kept >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def profiles(documents: DataFrame, levels, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, fp, prefix): set size, set fingerprint and prefix in the first order."""
+def profiles(documents: DataFrame, k: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, fp, sample): set size, set fingerprint and the sampled shingles."""
 
     def describe(batches):
         for piece in text_chunks(batches):
             sets = [found for _, found in _sets(piece, k)]
-            prefixes = [_first_order(s, levels.value, percent) if len(s) else None for s in sets]
+            samples = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(samples, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "fp", "prefix"],
+                names=["doc_id", "n_shingles", "fp", "sample"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, fp bigint, prefix array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, fp bigint, sample array<bigint>"
     return documents.select("doc_id", "text").mapInArrow(describe, schema)
 
 
@@ -192,31 +173,15 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(keep, "a bigint, b bigint, na bigint, nb bigint")
 
 
-def _tokens(rows: DataFrame, shared) -> DataFrame:
-    """(token, fp, n, pos, last, size) of prefix shingles that pass a set filter.
-
-    pos is the place in the prefix, last its last shingle, size its length.
-    """
+def _alone(least: DataFrame) -> DataFrame:
+    """(fp, alone) from the only holder of each shingle, `fp`: how many shingles no other set has."""
+    return least.groupBy("fp").agg(F.count("*").alias("alone"))
 
-    def spread(batches):
-        for batch in batches:
-            prefix = batch.column("prefix")
-            values = prefix.flatten().to_numpy()
-            kept = may_hold(shared.value, values)
-            lengths = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            stops = np.cumsum(lengths)
-            row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
-            pos = (np.arange(len(values)) - np.repeat(stops - lengths, lengths))[kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(values[kept]), batch.column("fp").take(row), batch.column("n_shingles").take(row),
-                    pa.array(pos), pa.array(values[stops[row] - 1]), pa.array(lengths[row]),
-                ],
-                names=["token", "fp", "n", "pos", "last", "size"],
-            )
 
-    schema = "token bigint, fp bigint, n bigint, pos bigint, last bigint, size bigint"
-    return rows.select("fp", "n_shingles", "prefix").mapInArrow(spread, schema)
+def _prefix_left(percent: int) -> Column:
+    """How many shingles of the prefix are not alone: `prefix_length` less `alone`."""
+    n = F.col("n_shingles")
+    return n - F.ceil(n * percent / F.lit(100)) + 1 - F.col("alone")
 
 
 class _Join:
@@ -225,34 +190,75 @@ class _Join:
     def __init__(self, documents: DataFrame, scratch: Scratch, k: int, percent: int):
         self.documents, self.scratch, self.k, self.percent = documents, scratch, k, percent
         self.context = documents.sparkSession.sparkContext
-        levels = self.context.broadcast(shingle_levels(documents, k))
-        self.rows = scratch.save(profiles(documents, levels, k, percent), "profiles")
+        self.rows = scratch.save(profiles(documents, k), "profiles")
         self.linkable = self.rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
 
+    def open_sets(self) -> DataFrame:
+        """(fp, n_shingles, alone) of the sets whose prefix is not filled by sampled shingles of their own."""
+        sampled = self.linkable.select(F.explode("sample").alias("token"), "fp")
+        holders = sampled.groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"))
+        sets = self.linkable.select("fp", "n_shingles").distinct()
+        return self._left(sets, holders.where("fp = most"))
+
+    def _left(self, sets: DataFrame, lone: DataFrame) -> DataFrame:
+        sets = sets.join(_alone(lone), "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("bigint")))
+        return sets.where(_prefix_left(self.percent) > 0)
+
+    def prefixes(self) -> DataFrame:
+        """(fp, n, alone, prefix) of the sets that may link: what is not alone in the prefix, in order.
+
+        A rank, the magnitude of the number of holders above 58 bits of the hash, names its shingle.
+        Sets that left before link with nothing, so they do not count as holders.
+        """
+        sets = self.scratch.save(self.open_sets(), "open-sets")
+        firsts = self.firsts().join(sets.select("fp"), "fp", "left_semi").select("doc_id")
+        firsts = self.scratch.save(firsts, "open-firsts")
+        wanted = self.context.broadcast(set_filter(firsts, firsts.count()))
+        whole = _whole_sets(self.documents, wanted, self.k).join(sets.select("fp"), "fp", "left_semi")
+        held = self.scratch.save(whole, "open-whole").select(F.explode("shingles").alias("token"), "fp")
+        holders = held.groupBy("token").agg(F.count("*").alias("sets"), F.min("fp").alias("fp"))
+        holders = self.scratch.save(holders, "holders")
+        left = self.scratch.save(self._left(sets.drop("alone"), holders.where("sets = 1")), "left")
+        level = F.least(F.ceil(F.log2("sets")), F.lit(31)).cast("bigint")
+        rank = F.shiftleft(level, 58).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 58) - 1)))
+        ranked = (
+            held.join(left.select("fp"), "fp", "left_semi")
+            .join(holders.where("sets > 1").select("token", rank.alias("rank")), "token")
+            .groupBy("fp").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+        )
+        prefix = F.slice("ranks", F.lit(1), _prefix_left(self.percent).cast("int"))
+        found = left.join(ranked, "fp").select("fp", F.col("n_shingles").alias("n"), "alone", prefix.alias("prefix"))
+        found = self.scratch.save(found, "prefixes")
+        for table in ("open-sets", "open-firsts", "open-whole", "holders", "left"):
+            self.scratch.drop(table)
+        return found
+
     def shared_shingles(self) -> DataFrame:
-        """(token, fp, n, pos, last, own, score) of the prefix shingles that different sets share.
+        """(token, fp, n, pos, last, own, alone, score) of the prefix shingles that different sets share.
 
-        Of shingles that exactly the same sets hold, the first stands for all. The score is the share of
-        a set's shingles that others have in their prefixes, too: an original scores above its
-        changed copies. `own` is the number of shingles in its prefix that are in no other prefix.
+        pos is the place in the prefix, last its last shingle. Of shingles that exactly the same sets hold,
+        the first stands for all. The score is the share of a set's shingles that others have, too: an
+        original scores above its changed copies. `own` is the number of shingles in its prefix that are
+        in no other prefix, `alone` that of all its shingles that are in no other set.
         """
-        held = self.linkable.select(F.explode("prefix").alias("token"), "fp")
-        several = held.groupBy("token").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
-        several = self.scratch.save(several.where("least <> most").select("token"), "several")
-        passing = self.context.broadcast(set_filter(several, several.count()))
-        held = self.scratch.save(_tokens(self.linkable, passing).distinct(), "held")
+        held = self.prefixes().select(
+            "fp", "n", "alone", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("others"),
+            F.posexplode("prefix").alias("at", "token"),
+        )
         lists = held.groupBy("token").agg(
             F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("x"),
             F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
         )
-        chosen = lists.where("sets > 1").groupBy("sets", "x", "y").agg(F.min("token").alias("token"))
-        scores = held.groupBy("fp").agg(
-            (F.count("*") / F.max("n")).alias("score"), (F.max("size") - F.count("*")).alias("own")
-        )
-        tokens = held.join(chosen.select("token"), "token").join(scores, "fp")
-        tokens = self.scratch.save(tokens.select("token", "fp", "n", "pos", "last", "own", "score"), "tokens")
-        self.scratch.drop("held")
-        self.scratch.drop("several")
+        lists = self.scratch.save(lists.where("sets > 1"), "lists")
+        held = self.scratch.save(held.join(lists.select("token"), "token"), "held")
+        chosen = lists.groupBy("sets", "x", "y").agg(F.min("token").alias("token"))
+        own = held.groupBy("fp").agg((F.max("alone") + F.max("others") - F.count("*")).alias("own"))
+        tokens = held.join(chosen.select("token"), "token").join(own, "fp")
+        pos, score = F.col("alone") + F.col("at"), F.lit(1) - F.col("alone") / F.col("n")
+        tokens = tokens.select("token", "fp", "n", pos.alias("pos"), "last", "own", "alone", score.alias("score"))
+        tokens = self.scratch.save(tokens, "tokens")
+        for table in ("held", "lists", "prefixes"):
+            self.scratch.drop(table)
         return tokens
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -287,11 +293,14 @@ class _Join:
             self.scratch.drop(f"{table}-{name}")
         return found
 
+    def firsts(self) -> DataFrame:
+        """(fp, doc_id): the smallest document with each set."""
+        return self.linkable.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+
     def holders(self, pairs: DataFrame, name: str):
         """A broadcast set filter of, for each end of the pairs, the smallest document with that set."""
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        firsts = self.linkable.select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        held = self.scratch.save(firsts.join(ends, "fp", "left_semi").select("doc_id"), f"holders-{name}")
+        held = self.scratch.save(self.firsts().join(ends, "fp", "left_semi").select("doc_id"), f"holders-{name}")
         return self.context.broadcast(set_filter(held, held.count()))
 
 
@@ -299,10 +308,11 @@ def _possible(x: str, y: str, percent: int) -> Column:
     """Whether sizes and prefixes leave it open that two sets reach the threshold.
 
     What is in the prefix that ends first and in the other set is in the other prefix, too. So the
-    shingles that only this prefix has are not common to the two sets.
+    shingles that only this prefix has are not common to the two sets. Nor are those that no other set has.
     """
     nx, ny = F.col(f"{x}_n"), F.col(f"{y}_n")
     common = F.when(F.col(f"{x}_last") <= F.col(f"{y}_last"), nx - F.col(f"{x}_own")).otherwise(ny - F.col(f"{y}_own"))
+    common = F.least(common, nx - F.col(f"{x}_alone"), ny - F.col(f"{y}_alone"))
     sizes = F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)
     return sizes & (F.lit(100 + percent) * common >= F.lit(percent) * (nx + ny))
 
@@ -324,7 +334,7 @@ def _first_common(x: str, y: str, percent: int) -> Column:
     return F.lit(100 + percent) * after >= F.lit(percent) * (nx + ny)
 
 
-_OF_SET = ("n", "pos", "last", "own")
+_OF_SET = ("n", "pos", "last", "own", "alone")
 
 
 def _stars(tokens: DataFrame, percent: int) -> DataFrame:
