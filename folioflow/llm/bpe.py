@@ -26,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import mix, text_chunks
+from folioflow.llm.shared import PASS_BYTES, mix, text_chunks
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Entries of a task's cache of pre-tokens, and characters of the longest pre-token it keeps.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two generations of a task's cache of pre-tokens (about 200 bytes each, in every
+#: worker), and characters of the longest pre-token it keeps.
+CACHE_ENTRIES = 100_000
 CACHE_CHARS = 64
 #: Pre-tokens of one text that are held at a time.
 PIECES = 200_000
@@ -249,7 +250,7 @@ def encode_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def encode(batches):
         encoder = Encoder(*shared.value)
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             ids = encoder.encode_all([t or "" for t in piece.column("text").to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
@@ -282,7 +283,7 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def digest(batches):
         encoder = Encoder(*shared.value)
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             ids = encoder.encode_all([t or "" for t in piece.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

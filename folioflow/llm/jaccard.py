@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.shared import Scratch, mix, shingle_hashes, text_chunks, word_hashes
+from folioflow.llm.shared import PASS_BYTES, Scratch, mix, shingle_hashes, text_chunks, word_hashes
 from folioflow.llm.sketch import may_hold, set_filter
 
 WORDS = 4
@@ -77,7 +77,7 @@ def profiles(documents: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, fp, sample): set size, set fingerprint and the sampled shingles."""
 
     def describe(batches):
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             sets = [found for _, found in _sets(piece, k)]
             samples = [s[s % np.uint64(SAMPLE) == 0].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -122,7 +122,7 @@ def _described(documents: DataFrame, wanted, k: int, schema: str, describe: Call
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for piece in text_chunks([batch.filter(pa.array(may_hold(wanted.value, ids)))]):
+            for piece in text_chunks([batch.filter(pa.array(may_hold(wanted.value, ids)))], size=PASS_BYTES):
                 kept = {}
                 for _, found in _sets(piece, k):
                     if len(found) and (fp := _fingerprint(found)) not in seen:

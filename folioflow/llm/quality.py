@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import column_bytes, text_chunks, word_hashes, word_spans
+from folioflow.llm.shared import PASS_BYTES, column_bytes, text_chunks, word_hashes, word_spans
 
 THRESHOLD = 0.3
 #: Weight of the pooled covariance in a class covariance, and of the diagonal in the pooled one.
@@ -135,7 +135,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame) -> Discriminant:
     size = len(FEATURES)
 
     def describe(batches):
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             values = statistics(piece.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,7 +174,7 @@ def scored(documents: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) for every row."""
 
     def score(batches):
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(model.scores(statistics(piece.column("text"))))],
                 names=["doc_id", "score"],
@@ -191,7 +191,7 @@ def accepted_documents(
     model = fit_quality(labelled, labels)
 
     def keep(batches):
-        for piece in text_chunks(batches):
+        for piece in text_chunks(batches, size=PASS_BYTES):
             passed = model.scores(statistics(piece.column("text"))) >= threshold
             yield piece.filter(pa.array(passed))
 
