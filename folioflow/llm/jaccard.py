@@ -28,6 +28,7 @@ their set size, have a null component and link with nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ PERCENT = 85
 _SEEDS = (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C)
 #: Of so many shingles, told by their hashes, one is counted for every set.
 SAMPLE = 4
+#: Shingles that a task counts in one pass, about 90 bytes each.
+COUNTED = 2 << 20
 
 
 def _sets(batch, k: int):
@@ -193,15 +196,37 @@ class _Join:
         self.rows = scratch.save(profiles(documents, k), "profiles")
         self.linkable = self.rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
 
+    def counted(self, held: DataFrame, source: DataFrame, share: int, count: Callable, name: str) -> DataFrame:
+        """count(rows) of all rows of held (token, fp), taken in passes over parts of the shingles.
+
+        held has one row for each `share` of the n_shingles of the rows of `source`. Shingles are nearly distinct,
+        so tasks hold them all: without passes, few tasks would sort and spill several times the input.
+        """
+        spark = held.sparkSession
+        rows = (source.agg(F.sum("n_shingles")).first()[0] or 0) // share
+        tasks = min(held.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        passes = -(-rows // (COUNTED * max(tasks, 1))) or 1
+        found = []
+        for turn in range(passes):
+            part = held.where(F.pmod(F.shiftright("token", 8), F.lit(passes)) == turn) if passes > 1 else held
+            found.append(self.scratch.save(count(part), f"{name}/{turn}"))
+            self.scratch.release()
+        return reduce(DataFrame.unionByName, found)
+
     def open_sets(self) -> DataFrame:
         """(fp, n_shingles, alone) of the sets whose prefix is not filled by sampled shingles of their own."""
+
+        def count(sampled):
+            holders = sampled.groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"))
+            return _alone(holders.where("fp = most"))
+
         sampled = self.linkable.select(F.explode("sample").alias("token"), "fp")
-        holders = sampled.groupBy("token").agg(F.min("fp").alias("fp"), F.max("fp").alias("most"))
+        lone = self.counted(sampled, self.linkable, SAMPLE, count, "sampled")
         sets = self.linkable.select("fp", "n_shingles").distinct()
-        return self._left(sets, holders.where("fp = most"))
+        return self._left(sets, lone.groupBy("fp").agg(F.sum("alone").alias("alone")))
 
-    def _left(self, sets: DataFrame, lone: DataFrame) -> DataFrame:
-        sets = sets.join(_alone(lone), "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("bigint")))
+    def _left(self, sets: DataFrame, alone: DataFrame) -> DataFrame:
+        sets = sets.join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("bigint")))
         return sets.where(_prefix_left(self.percent) > 0)
 
     def prefixes(self) -> DataFrame:
@@ -216,9 +241,12 @@ class _Join:
         wanted = self.context.broadcast(set_filter(firsts, firsts.count()))
         whole = _whole_sets(self.documents, wanted, self.k).join(sets.select("fp"), "fp", "left_semi")
         held = self.scratch.save(whole, "open-whole").select(F.explode("shingles").alias("token"), "fp")
-        holders = held.groupBy("token").agg(F.count("*").alias("sets"), F.min("fp").alias("fp"))
-        holders = self.scratch.save(holders, "holders")
-        left = self.scratch.save(self._left(sets.drop("alone"), holders.where("sets = 1")), "left")
+
+        def count(rows):
+            return rows.groupBy("token").agg(F.count("*").alias("sets"), F.min("fp").alias("fp"))
+
+        holders = self.counted(held, sets, 1, count, "holders")
+        left = self.scratch.save(self._left(sets.drop("alone"), _alone(holders.where("sets = 1"))), "left")
         level = F.least(F.ceil(F.log2("sets")), F.lit(31)).cast("bigint")
         rank = F.shiftleft(level, 58).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 58) - 1)))
         ranked = (
@@ -229,7 +257,7 @@ class _Join:
         prefix = F.slice("ranks", F.lit(1), _prefix_left(self.percent).cast("int"))
         found = left.join(ranked, "fp").select("fp", F.col("n_shingles").alias("n"), "alone", prefix.alias("prefix"))
         found = self.scratch.save(found, "prefixes")
-        for table in ("open-sets", "open-firsts", "open-whole", "holders", "left"):
+        for table in ("open-sets", "open-firsts", "open-whole", "sampled", "holders", "left"):
             self.scratch.drop(table)
         return found
 
